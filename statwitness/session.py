@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -39,6 +40,7 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and cut the lineage there (survives lost executors)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write once to the shared folder and read back: the lineage ends at files that outlive executors."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
