@@ -77,7 +77,7 @@ def main():
     from statwitness.session import local_session
 
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(args.sf_dir)
     bad = 0
     for name, q in all_queries().items():
