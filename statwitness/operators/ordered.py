@@ -87,6 +87,17 @@ def next_value(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[C
     )
 
 
+def previous_value(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column],
+                   values: dict[str, str]) -> DataFrame:
+    """For each name: the value (never null) of that column on the row before; null on the first row."""
+    inner = _inner(keys, block, order)
+    inside = df.withColumns({name: F.lag(column).over(inner) for name, column in values.items()})
+    last = df.groupBy(*keys, block).agg(F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_l"))
+    carry = last.select(*keys, block, F.lag("_l").over(W.partitionBy(*keys).orderBy(block)).alias("_c"))
+    return inside.join(carry, [*keys, block]).withColumns({
+        name: F.coalesce(name, F.col("_c")[column]) for name, column in values.items()}).drop("_c")
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
           name: str = "rank") -> DataFrame:
     """First ``n`` rows of each group. Every task keeps at most n rows per group before the shuffle."""
