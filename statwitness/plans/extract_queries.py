@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from statwitness.operators import extract as O, profile as PR
+from statwitness.plans.profile_queries import CELLS, SAMPLES
 from statwitness.plans.registry import query
 from statwitness.session import materialise
 
@@ -238,15 +239,14 @@ phrases AS (SELECT * FROM (VALUES ('average quantity','quantity_average'), ('sol
 metric_hits AS (SELECT DISTINCT headline_id, table_id, metric FROM headlines JOIN phrases
   ON contains(lower(paragraph), phrase) WHERE table_id = 'shipments' AND metric <> 'late_percent')"""
 _w = lambda c: f"' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' '"
-# All text columns of the statistics table have few distinct values, so all of them are samples.
-VALUE_HITS = STATS + ", " + HEADLINES_SQL + f""",
-samples AS (
-  SELECT 'returnflag' AS column_name, returnflag AS value FROM stats UNION SELECT 'region', region FROM stats
-  UNION SELECT 'geographic_level', geographic_level FROM stats
-  UNION SELECT 'time_period', time_period FROM stats
-  UNION SELECT 'nation', nation FROM (SELECT nation, count(*) AS n FROM stats GROUP BY 1 ORDER BY n DESC, nation LIMIT 10)),
+# The profile of the statistics table itself.
+PROFILE = STATS + ", cells AS (" + " UNION ALL ".join(
+    f"SELECT 'shipments' AS table_id, {i} AS col_no, '{c}' AS column_name, {c} AS value FROM stats"
+    for i, c in enumerate([*DIMS, *METRICS], 1)) + ")" + SAMPLES[len(CELLS):].replace("stats", "pstats")
+VALUE_HITS = PROFILE + ", " + HEADLINES_SQL + f""",
+fsamples AS (SELECT column_name, value FROM samples JOIN roles USING (table_id, col_no, column_name) WHERE role = 'filter'),
 value_hits AS (
-  SELECT DISTINCT headline_id, table_id, column_name, value FROM headlines JOIN samples
+  SELECT DISTINCT headline_id, table_id, column_name, value FROM headlines JOIN fsamples
   ON contains({_w('paragraph')}, {_w('value')}) WHERE table_id = 'shipments')"""
 BREAKDOWNS = VALUE_HITS + """,
 breakdowns AS (
@@ -301,7 +301,7 @@ def extracted(load) -> tuple[DataFrame, DataFrame]:
 
 _SCOPED = " AND ".join(f"(b.column_name = '{c}' OR l.{c} = '{v}')" for c, v in AGGREGATES.items())
 EXTRACTED = BREAKDOWNS + ", " + MATCHED_METRICS.replace(HEADLINES_SQL + ",", "") + ", " + LONG + f""",
-cells AS (
+xcells AS (
   SELECT b.headline_id, l.metric, l.time_period,
     CASE b.column_name WHEN 'returnflag' THEN l.returnflag WHEN 'region' THEN l.region WHEN 'nation' THEN l.nation
       WHEN 'geographic_level' THEN l.geographic_level ELSE l.time_period END AS bv, l.value,
@@ -315,7 +315,7 @@ tables AS (
   SELECT headline_id, metric, any_value(label) AS label, time_period,
          string_agg(bv || '=' || {_fmt('value')}, ', ' ORDER BY bv) AS cells,
          string_agg(bv, ',' ORDER BY bv) AS bvs
-  FROM cells GROUP BY headline_id, metric, time_period)"""
+  FROM xcells GROUP BY headline_id, metric, time_period)"""
 
 
 @query("extract_tables", f"""WITH {EXTRACTED}
@@ -352,7 +352,7 @@ def _(load):
 
 
 @query("select_columns_used", f"""WITH {EXTRACTED},
-cols AS (SELECT headline_id, string_agg(DISTINCT bv, ',' ORDER BY bv) AS c FROM cells GROUP BY 1),
+cols AS (SELECT headline_id, string_agg(DISTINCT bv, ',' ORDER BY bv) AS c FROM xcells GROUP BY 1),
 sizes AS (SELECT headline_id, count(*) AS row_count FROM tables GROUP BY 1)
 SELECT headline_id, row_count, 'metric,time_period,' || c AS columns_selected FROM cols JOIN sizes USING (headline_id)""")
 def _(load):
@@ -406,21 +406,13 @@ def _(load):
         "snippet_id", "has_import", F.array_join("keywords", ",").alias("keywords"), "unsafe")
 
 
-@query("extraction_context", f"""WITH {STATS}, {HEADLINES_SQL},
-samples AS (
-  SELECT 1 AS no, 'returnflag' AS c, 'text' AS kind, returnflag AS value, count(*) AS n FROM stats GROUP BY ALL
-  UNION ALL SELECT 2, 'region', 'text', region, count(*) FROM stats GROUP BY ALL
-  UNION ALL (SELECT 3, 'nation', 'text', nation, count(*) AS n FROM stats GROUP BY ALL ORDER BY n DESC, nation LIMIT 10)
-  UNION ALL SELECT 4, 'geographic_level', 'text', geographic_level, count(*) FROM stats GROUP BY ALL
-  UNION ALL SELECT 5, 'time_period', 'int', time_period, 0 FROM stats GROUP BY ALL),
-lines AS (
-  SELECT no, ' - ' || c || ': ' || kind || ' (sample values: [' || string_agg(value, ', ' ORDER BY n DESC, value) || '])' AS line
-  FROM samples GROUP BY no, c, kind
-  UNION ALL SELECT unnest([6, 7, 8]), unnest([' - quantity_average: (' || (SELECT CASE WHEN count(*) FILTER (WHERE quantity_average = 'c') > 0 THEN 'text' ELSE 'float' END FROM stats) || ', metric): Numeric column for analysis',
-    ' - discounted_percent: (' || (SELECT CASE WHEN count(*) FILTER (WHERE discounted_percent = 'c') > 0 THEN 'text' ELSE 'float' END FROM stats) || ', metric): Numeric column for analysis',
-    ' - taxed_percent: (' || (SELECT CASE WHEN count(*) FILTER (WHERE taxed_percent = 'z') > 0 THEN 'text' ELSE 'float' END FROM stats) || ', metric): Numeric column for analysis']))
+@query("extraction_context", f"""WITH {PROFILE}, {HEADLINES_SQL},
+lines AS (SELECT col_no, CASE WHEN role = 'filter' AND sample_values IS NOT NULL
+    THEN ' - ' || column_name || ': ' || kind || ' (sample values: [' || replace(sample_values, '|', ', ') || '])'
+    WHEN role = 'metric' THEN ' - ' || column_name || ': (' || kind || ', metric): Numeric column for analysis' END AS line
+  FROM roles LEFT JOIN lists USING (table_id, col_no, column_name))
 SELECT headline_id, headline_text, paragraph AS paragraphs_text,
-  CASE WHEN table_id = 'shipments' THEN (SELECT string_agg(line, chr(10) ORDER BY no) FROM lines) ELSE '' END AS columns_text
+  CASE WHEN table_id = 'shipments' THEN (SELECT string_agg(line, chr(10) ORDER BY col_no) FROM lines) ELSE '' END AS columns_text
 FROM headlines""")
 def _(load):
     heads = headlines(load).withColumn("paragraphs", F.array("paragraph"))
