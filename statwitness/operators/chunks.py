@@ -12,6 +12,7 @@ from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.functions.vectors import cosine
 from statwitness.operators import ordered
+from statwitness.session import materialise
 
 
 def chunk_fixed(docs: DataFrame, keys: list[str], text: str, size: int = P.CHUNK_CHARS,
@@ -138,11 +139,11 @@ def chunk_semantic(sentences: DataFrame, block_rows: int = 4096) -> DataFrame:
     open length (0..1000): each block of sentences is summarised as a table from entry to exit length,
     the tables of a document are chained, and all blocks then run in parallel.
     """
-    held = sentences.withColumns({
+    held = materialise(sentences).withColumns({
         "block": F.floor(F.col("pos") / block_rows), "length": F.length("text").cast("bigint")})
     paired = ordered.previous_value(held, ["doc_id"], "block", [F.col("pos")], {"_before": "embedding"})
     low = F.coalesce(cosine(F.col("_before"), F.col("embedding")), F.lit(0.0)) < P.SEMANTIC_SIMILARITY
-    flagged = paired.select("doc_id", "block", "pos", "length", low.alias("low"), "text")
+    flagged = materialise(paired.select("doc_id", "block", "pos", "length", low.alias("low"), "text"))
 
     def in_order(df: DataFrame, *columns: str) -> DataFrame:
         return df.repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "pos").select(*columns)

@@ -17,14 +17,17 @@ def split_sentences(paragraphs: DataFrame, keys: list[str], text: str) -> DataFr
     return paragraphs.select(*keys, F.posexplode(sentences_of(F.col(text))).alias("sentence_no", "sentence"))
 
 
-def _claims(sentence: Column) -> Column:
-    """Array of (claim_no, raw, pos): every number with its 1-based character position."""
-    found = F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0))
-    between = F.split(sentence, NUMBER)
-    chars = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, s: acc + F.length(s))
-    return F.transform(found, lambda raw, i: F.struct(
+def with_claims(df: DataFrame, sentence: str, name: str) -> DataFrame:
+    """Adds an array of (claim_no, raw, pos): every number with its 1-based character position.
+
+    The two regular expression results are columns of their own, so they run once per sentence.
+    """
+    parts = df.withColumns({
+        "_found": F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0)), "_between": F.split(sentence, NUMBER)})
+    chars = lambda texts: F.aggregate(texts, F.lit(0), lambda acc, s: acc + F.length(s))
+    return parts.withColumn(name, F.transform("_found", lambda raw, i: F.struct(
         i.alias("claim_no"), raw.alias("raw"),
-        (chars(F.slice(between, 1, i + 1)) + chars(F.slice(found, 1, i)) + 1).alias("pos")))
+        (chars(F.slice("_between", 1, i + 1)) + chars(F.slice("_found", 1, i)) + 1).alias("pos")))).drop("_found", "_between")
 
 
 def claim_value(raw: Column) -> Column:
@@ -38,7 +41,7 @@ def claim_decimals(raw: Column) -> Column:
 def extract_claims(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per number: value, percent flag, decimals, position and its sentence."""
     found = split_sentences(paragraphs, keys, text).filter(F.col("sentence").rlike("[0-9]"))
-    c = found.select(*keys, "sentence_no", "sentence", F.explode(_claims(F.col("sentence"))).alias("c"))
+    c = with_claims(found, "sentence", "_c").select(*keys, "sentence_no", "sentence", F.explode("_c").alias("c"))
     raw = F.col("c.raw")
     return c.select(
         *keys, "sentence_no", F.col("c.claim_no").alias("claim_no"), raw.alias("raw"),
@@ -46,15 +49,20 @@ def extract_claims(paragraphs: DataFrame, keys: list[str], text: str) -> DataFra
         claim_decimals(raw).alias("decimals"), "sentence")
 
 
-def _nearest(sentence: Column, claim: Column, entries: Column) -> Column:
-    """The entry whose mention is closest to the claim in the sentence; a mention before it wins a tie."""
-    before = F.substring(sentence, F.lit(1), claim["pos"] - 1)
-    after = F.substring(sentence, claim["pos"] + F.length(claim["raw"]), F.length(sentence))
+def _names_in_order(sentence: str, entries: str) -> Column:
+    """Names of the mentioned entries by their first mention."""
+    placed = F.filter(
+        F.transform(entries, lambda e: F.struct(F.instr(F.col(sentence), e["mention"]).alias("at"), e["name"].alias("name"))),
+        lambda s: s["at"] > 0)
+    return F.array_distinct(F.transform(F.array_sort(placed), lambda s: s["name"]))
+
+
+def _nearest(entries: str) -> Column:
+    """(distance, name) of the entry mentioned closest to the number; a mention before it wins a tie."""
 
     def distance(e: Column) -> Column:
-        back = F.instr(F.reverse(before), F.reverse(e["mention"]))
-        ahead = F.instr(after, e["mention"])
-        # An empty least() is null, so entries that are not mentioned drop out.
+        back = F.instr(F.col("_back"), F.reverse(e["mention"]))
+        ahead = F.instr(F.col("_ahead"), e["mention"])
         return F.least(F.when(back > 0, (back - 1) * 2), F.when(ahead > 0, (ahead - 1) * 2 + 1))
 
     return F.array_min(F.filter(
@@ -62,47 +70,43 @@ def _nearest(sentence: Column, claim: Column, entries: Column) -> Column:
         lambda s: s["distance"].isNotNull()))
 
 
-def _assign(sentence: Column, claims: Column, entries: Column) -> Column:
-    """For each claim (name, method): in order under "respectively", else by distance."""
-    placed = F.array_sort(F.filter(
-        F.transform(entries, lambda e: F.struct(F.instr(sentence, e["mention"]).alias("at"), e["name"].alias("name"))),
-        lambda s: s["at"] > 0))
-    names = F.array_distinct(F.transform(placed, lambda s: s["name"]))
-    m = F.size(names)
-    cue = F.instr(sentence, F.lit("respectively"))
-    listed = F.size(F.filter(claims, lambda c: c["pos"] < cue))
-    paired = (cue > 0) & (m >= 2) & (listed >= m)
-
-    def one(c: Column, i: Column) -> Column:
-        k = i - (listed - m)
-        in_list = paired & (k >= 0) & (k < m)
-        near = _nearest(sentence, c, entries)
-        return F.struct(
-            F.when(in_list, F.get(names, F.when(in_list, k).otherwise(0))).otherwise(near["name"]).alias("name"),
-            F.when(in_list, "respectively").when(near.isNotNull(), "nearest").alias("method"))
-
-    return F.transform(claims, one)
-
-
 def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
     """Each number with the metric and the filter value it speaks about.
 
     sentences(extraction_id, keys..., sentence_no, sentence); vocabulary(extraction_id, metrics, values)
     with arrays of (name, mention), mentions in lower case. Numbers that are themselves a filter value
-    (such as a year) are no claims. All work happens inside the sentence, so no pairs are shuffled.
+    (such as a year) are no claims. Under "respectively" the last numbers before that word go with the
+    mentioned names in order; every other number goes with the nearest mention. Numbers meet mentions
+    inside their sentence, so no pairs are shuffled.
     """
-    text = F.lower("sentence")
-    held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(vocabulary, "extraction_id").withColumn("_s", text)
-    s = F.col("_s")
+    held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(vocabulary, "extraction_id").withColumn("_s", F.lower("sentence"))
     mentions = F.transform("values", lambda v: v["mention"])
-    held = held.withColumn("_c", F.filter(_claims(s), lambda c: ~F.array_contains(mentions, c["raw"])))
-    linked = F.arrays_zip(
-        F.col("_c").alias("claim"), _assign(s, F.col("_c"), F.col("metrics")).alias("metric"),
-        _assign(s, F.col("_c"), F.col("values")).alias("value"))
-    out = held.select("extraction_id", *keys, "sentence_no", F.explode(linked).alias("l"))
-    raw = F.col("l.claim.raw")
-    return out.select(
-        "extraction_id", *keys, "sentence_no", F.col("l.claim.claim_no").alias("claim_no"), raw.alias("raw"),
+    found = with_claims(held, "_s", "_all").withColumn(
+        "_c", F.filter("_all", lambda c: ~F.array_contains(mentions, c["raw"])))
+    listed = found.withColumns({
+        "_metrics": _names_in_order("_s", "metrics"), "_values": _names_in_order("_s", "values"),
+        "_cue": F.instr("_s", F.lit("respectively"))}).withColumn(
+        "_n", F.size(F.filter("_c", lambda c: c["pos"] < F.col("_cue"))))
+    one = listed.select(
+        "extraction_id", *keys, "sentence_no", "_s", "metrics", "values", "_metrics", "_values", "_cue", "_n",
+        F.posexplode("_c").alias("_i", "c"))
+    around = one.withColumns({
+        "_back": F.reverse(F.substring("_s", F.lit(1), F.col("c.pos") - 1)),
+        "_ahead": F.substring("_s", F.col("c.pos") + F.length("c.raw"), F.length("_s"))})
+    near = around.withColumns({"_near_metric": _nearest("metrics"), "_near_value": _nearest("values")})
+
+    def assigned(names: str, nearest: str) -> tuple[Column, Column]:
+        m = F.size(names)
+        k = F.col("_i") - (F.col("_n") - m)
+        paired = (F.col("_cue") > 0) & (m >= 2) & (F.col("_n") >= m) & (k >= 0) & (k < m)
+        name = F.when(paired, F.get(names, k)).otherwise(F.col(nearest)["name"])
+        return name, F.when(paired, "respectively").when(F.col(nearest).isNotNull(), "nearest")
+
+    metric, metric_method = assigned("_metrics", "_near_metric")
+    value, value_method = assigned("_values", "_near_value")
+    raw = F.col("c.raw")
+    return near.select(
+        "extraction_id", *keys, "sentence_no", F.col("c.claim_no").alias("claim_no"), raw.alias("raw"),
         claim_value(raw).alias("stated"), claim_decimals(raw).alias("decimals"),
-        F.col("l.metric.name").alias("metric"), F.col("l.metric.method").alias("metric_method"),
-        F.col("l.value.name").alias("filter_value"), F.col("l.value.method").alias("value_method"))
+        metric.alias("metric"), metric_method.alias("metric_method"),
+        value.alias("filter_value"), value_method.alias("value_method"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.operators.ordered import top_n
+from statwitness.session import materialise
 
 KEYS = ["table_id", "col_no", "column_name"]
 
@@ -121,8 +122,12 @@ def sample_values(counts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def column_profile(counts: DataFrame) -> DataFrame:
-    """One row per column: type, role and its samples as an array (null where there are none)."""
-    stats = infer_column_role(column_stats(counts))
+    """One row per column: type, role and its samples as an array (null where there are none).
+
+    The counts are read several times and cost a scan of all tables, so they are written once.
+    """
+    counts = materialise(counts)
+    stats = materialise(infer_column_role(column_stats(counts)))
     small = stats.filter(F.col("n_distinct") <= P.INLINE_SAMPLES_MAX).select(*KEYS)
     samples = sample_values(counts, stats)
     # Long lists stay in the long table; what is collected here has a checked length.

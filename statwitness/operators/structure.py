@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.operators import ordered
+from statwitness.session import materialise
 
 LINE = ["doc_id", "page", "y"]
 
@@ -159,7 +160,8 @@ def find_headlines(glyphs: DataFrame) -> DataFrame:
         "level": headline_level(F.col("avg_size")),
         "confidence": headline_confidence(text, F.col("avg_size"), F.col("is_bold"), F.col("spacing")),
     })
-    return number_headlines(scored)
+    # Few lines are headlines: written once, they are numbered without reading the glyphs again.
+    return number_headlines(materialise(scored))
 
 
 def extract_headlines(glyphs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statwitness.operators import profile as O
 from statwitness.plans.registry import query
+from statwitness.session import materialise
 
 
 def day(c: str):
@@ -139,7 +140,7 @@ def _(load):
 
 @query("get_sample_values", f"WITH {SAMPLES} SELECT table_id, column_name, value, n, ordinal FROM samples")
 def _(load):
-    vc = counts(load)
+    vc = materialise(counts(load))
     return O.sample_values(vc, O.column_stats(vc)).select("table_id", "column_name", "value", "n", "ordinal")
 
 
@@ -194,7 +195,7 @@ SELECT table_id, column_name, arg_min(value, coalesce(ordinal, 0)) AS aggregate_
 FROM samples JOIN roles USING (table_id, col_no, column_name)
 WHERE role = 'filter' AND lower(value) IN ('total','all','national','overall') GROUP BY ALL""")
 def _(load):
-    vc = counts(load)
+    vc = materialise(counts(load))
     stats = O.infer_column_role(O.column_stats(vc))
     return O.aggregate_value(O.sample_values(vc, stats), stats).select("table_id", "column_name", "aggregate_value")
 

@@ -41,7 +41,20 @@ class Loader:
         self.sf_dir = sf_dir.rstrip("/")
 
     def __call__(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet"))
+
+
+SPREAD_FROM_BYTES = 512 * 1024
+SPREAD_BELOW_BYTES_PER_CORE = 16 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A file of one row group is read by one task. Where the whole input is small that leaves all other
+    cores idle, so its rows are spread first; large inputs are split by the reader and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM_BYTES < size < SPREAD_BELOW_BYTES_PER_CORE * cores else df
 
 
 def wide_types(df: DataFrame) -> DataFrame:
