@@ -67,10 +67,10 @@ def weighted_agreement(fb: DataFrame, key: str, rate: float = P.LEARNING_RATE, m
     """Running agreement where each answer moves the value by ``rate``; null below the minimum count.
 
     The fold r <- (1 - rate) r + rate x is a weighted sum once each answer's position is known; positions
-    are counted inside hours first, so a key with very many answers is spread over tasks.
+    are counted inside minutes first, so a key with very many answers is spread over tasks.
     """
-    held = fb.withColumn("_hour", F.date_trunc("hour", "ts"))
-    placed = ordered.row_number(held, [key], "_hour", [F.col("ts"), F.col("feedback_id")], "_i")
+    held = fb.withColumn("_minute", F.date_trunc("minute", "ts"))
+    placed = ordered.row_number(held, [key], "_minute", [F.col("ts"), F.col("feedback_id")], "_i")
     counts = fb.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     later = F.pow(F.lit(1.0 - rate), F.col("n") - F.col("_i"))
     weight = F.when(F.col("_i") == 1, later).otherwise(rate * later)

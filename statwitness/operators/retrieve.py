@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.operators.ordered import top_n
+from statwitness.session import materialise
 
 DISTANCE_DECIMALS = 9
 
@@ -86,6 +87,18 @@ def _search(shared, k: int, filtered: bool):
     return run
 
 
+def _query_blocks(queries: DataFrame, block_rows: int):
+    """Queries in blocks of about ``block_rows``: usually one, fetched in a single job."""
+    rows = queries.limit(block_rows + 1).collect()
+    if len(rows) <= block_rows:
+        yield rows
+        return
+    stored = materialise(queries)
+    blocks = math.ceil(2 * stored.count() / block_rows)
+    for b in range(blocks):
+        yield stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = P.TOP_K, filtered: bool = False,
           block_rows: int = P.QUERY_BLOCK_ROWS) -> DataFrame:
     """Exact k nearest vectors per query by squared L2 distance, similarity 1 / (1 + distance).
@@ -99,13 +112,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = P.TOP_K, filtered: bo
     spark = queries.sparkSession
     columns = ["query_id", "vector"] + (["filter_value"] if filtered else [])
     queries = queries.select(*columns)
-    blocks = max(1, math.ceil(queries.count() / block_rows))
     types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     scanned = vectors.select("id", "vector", *(["filter_value"] if filtered else []))
     hits = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = block.orderBy("query_id").collect()  # a bounded block of queries
+    for rows in _query_blocks(queries, block_rows):
         if not rows:
             continue
         shared = spark.sparkContext.broadcast((

@@ -13,6 +13,7 @@ from statwitness.operators import ordered
 from statwitness.session import materialise
 
 LINE = ["doc_id", "page", "y"]
+HEADLINES_PER_SEARCH = 50
 
 
 def line_position(top: Column) -> Column:
@@ -124,12 +125,13 @@ def _paragraphs(section: Column) -> Column:
 def section_paragraphs(headlines: DataFrame, texts: DataFrame) -> DataFrame:
     """Paragraphs between a headline and the next one.
 
-    headlines(doc_id, page, y, headline_no, text, ...), texts(doc_id, body_text). The headlines of a
-    report travel as one list to its text (they are part of that text, so the list is smaller than it);
-    the text itself is never repeated per headline.
+    headlines(doc_id, page, y, headline_no, text, ...), texts(doc_id, body_text). Headlines travel to the
+    text in lists of a fixed length: the text is not repeated per headline, and a report with very many
+    headlines is searched by several tasks.
     """
     chained = ordered.next_value(headlines, ["doc_id"], "page", [F.col("y")], F.col("text"), "next_text")
-    lists = chained.groupBy("doc_id").agg(F.collect_list(F.struct(
+    part = F.floor((F.col("headline_no") - 1) / HEADLINES_PER_SEARCH)
+    lists = chained.groupBy("doc_id", part.alias("_part")).agg(F.collect_list(F.struct(
         "headline_no", "text", "next_text")).alias("heads"))
     body = F.col("body_text")
 

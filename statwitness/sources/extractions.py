@@ -54,8 +54,9 @@ def save_extractions(df: DataFrame, path: str, saved_at: Column, include_metadat
         touched = old.join(new.select("folder").distinct(), "folder", "left_semi")
         kept = touched.join(new.select("safe_id"), "safe_id", "left_anti")
         merged = materialise(new.unionByName(kept))
+    # Files of even size whatever the folders hold.
     (
-        merged.repartition("folder").write.mode("overwrite")
+        merged.hint("rebalance", "folder").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
     )
 
