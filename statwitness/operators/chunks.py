@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.functions.rows import explode_computed
 from statwitness.functions.vectors import cosine
 from statwitness.operators import ordered
 from statwitness.session import materialise
@@ -29,7 +30,7 @@ def chunk_fixed(docs: DataFrame, keys: list[str], text: str, size: int = P.CHUNK
         i.alias("chunk_no"),
         F.concat(s, F.coalesce(F.substring(F.get(p, i + 1), 1, overlap), F.lit(""))).alias("chunk"), F.length(s).alias("n")))
     kept = F.filter(windows, lambda w: (w["n"] > overlap) | (w["chunk_no"] == 0) | (w["chunk_no"] < F.size(p) - 1))
-    return pieces.select(*keys, F.explode(kept).alias("w")).select(*keys, "w.chunk_no", "w.chunk")
+    return explode_computed(pieces, keys, kept, "w").select(*keys, "w.chunk_no", "w.chunk")
 
 
 def chunk_words(docs: DataFrame, keys: list[str], text: str, most: int = P.CHUNK_WORDS_MAX) -> DataFrame:
@@ -38,7 +39,7 @@ def chunk_words(docs: DataFrame, keys: list[str], text: str, most: int = P.CHUNK
     n = F.ceil(F.size("w") / most).cast("int")
     size = F.ceil(F.size("w") / n).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("w"), i * size + 1, size))
-    return words.select(*keys, F.posexplode(parts).alias("chunk_no", "part")).select(
+    return explode_computed(words, keys, parts, "part", "chunk_no").select(
         *keys, "chunk_no", F.size("part").alias("n_words"), F.array_join("part", " ").alias("chunk"))
 
 

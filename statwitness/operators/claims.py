@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from statwitness.functions.rows import explode_computed
+
 NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
 _BREAK = "\u0001"
 
@@ -14,7 +16,7 @@ def sentences_of(text: Column) -> Column:
 
 
 def split_sentences(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return paragraphs.select(*keys, F.posexplode(sentences_of(F.col(text))).alias("sentence_no", "sentence"))
+    return explode_computed(paragraphs, keys, sentences_of(F.col(text)), "sentence", "sentence_no")
 
 
 def with_claims(df: DataFrame, sentence: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def claim_decimals(raw: Column) -> Column:
 def extract_claims(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per number: value, percent flag, decimals, position and its sentence."""
     found = split_sentences(paragraphs, keys, text).filter(F.col("sentence").rlike("[0-9]"))
-    c = with_claims(found, "sentence", "_c").select(*keys, "sentence_no", "sentence", F.explode("_c").alias("c"))
+    c = explode_computed(with_claims(found, "sentence", "_c"), [*keys, "sentence_no", "sentence"], F.col("_c"), "c")
     raw = F.col("c.raw")
     return c.select(
         *keys, "sentence_no", F.col("c.claim_no").alias("claim_no"), raw.alias("raw"),
@@ -87,9 +89,8 @@ def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) ->
         "_metrics": _names_in_order("_s", "metrics"), "_values": _names_in_order("_s", "values"),
         "_cue": F.instr("_s", F.lit("respectively"))}).withColumn(
         "_n", F.size(F.filter("_c", lambda c: c["pos"] < F.col("_cue"))))
-    one = listed.select(
-        "extraction_id", *keys, "sentence_no", "_s", "metrics", "values", "_metrics", "_values", "_cue", "_n",
-        F.posexplode("_c").alias("_i", "c"))
+    keep = ["extraction_id", *keys, "sentence_no", "_s", "metrics", "values", "_metrics", "_values", "_cue", "_n"]
+    one = explode_computed(listed, keep, F.col("_c"), "c", "_i")
     around = one.withColumns({
         "_back": F.reverse(F.substring("_s", F.lit(1), F.col("c.pos") - 1)),
         "_ahead": F.substring("_s", F.col("c.pos") + F.length("c.raw"), F.length("_s"))})

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.functions.rows import explode_computed
 from statwitness.operators.ordered import top_n
 
 # ---- finding metrics, filter values and the breakdown -----------------------------------------
@@ -39,8 +40,7 @@ def match_metrics(paragraphs: DataFrame, phrases: DataFrame, columns: DataFrame)
     hits = F.array_distinct(F.transform(
         F.filter("known", lambda k: F.contains(text, k["phrase"])), lambda k: k["metric"]))
     return (
-        paragraphs.join(known, "table_id")
-        .select("headline_id", "table_id", F.explode(hits).alias("metric")).distinct()
+        explode_computed(paragraphs.join(known, "table_id"), ["headline_id", "table_id"], hits, "metric").distinct()
     )
 
 
@@ -54,7 +54,7 @@ def match_filter_values(paragraphs: DataFrame, samples: DataFrame) -> DataFrame:
     held = paragraphs.join(known, "table_id").withColumn("_text", _words(F.col("paragraph")))
     hits = F.filter("known", lambda k: F.contains(F.col("_text"), k["words"]))
     return (
-        held.select("headline_id", "table_id", F.explode(hits).alias("hit"))
+        explode_computed(held, ["headline_id", "table_id"], hits, "hit")
         .select("headline_id", "table_id", "hit.column_name", "hit.value").distinct()
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.functions.rows import explode_computed
 from statwitness.operators import ordered
 from statwitness.session import materialise
 
@@ -146,8 +147,7 @@ def section_paragraphs(headlines: DataFrame, texts: DataFrame) -> DataFrame:
             F.when(start == 0, F.array().cast("array<string>")).otherwise(_paragraphs(inside)).alias("paragraphs"))
 
     found = (
-        lists.join(texts.select("doc_id", "body_text"), "doc_id")
-        .select("doc_id", F.explode(F.transform("heads", section)).alias("s"))
+        explode_computed(lists.join(texts.select("doc_id", "body_text"), "doc_id"), ["doc_id"], F.transform("heads", section), "s")
         .select("doc_id", "s.headline_no", "s.paragraphs")
     )
     return headlines.join(found, ["doc_id", "headline_no"], "left").withColumn(

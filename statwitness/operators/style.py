@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.functions.rows import explode_computed
 from statwitness.operators.claims import split_sentences
 
 
@@ -83,7 +84,7 @@ def terminology_inconsistencies(sections: DataFrame, keys: list[str], text: str,
         F.struct(F.lit(term).alias("term"), F.lit(v).alias("variant")) for term, vs in variants.items() for v in vs])
     held = sections.withColumn("_w", words)
     hits = F.filter(known, lambda k: F.contains(F.col("_w"), F.concat(F.lit(" "), k["variant"], F.lit(" "))))
-    used = held.select(*keys, F.explode(hits).alias("h")).groupBy(*keys, "h.term", "h.variant").agg(
+    used = explode_computed(held, keys, hits, "h").groupBy(*keys, "h.term", "h.variant").agg(
         F.count(F.lit(1)).alias("n"))
     return used.groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("n_variants"),

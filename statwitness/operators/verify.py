@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.functions.rows import explode_computed
 from statwitness.operators.claims import NUMBER, claim_value
 from statwitness.operators.ordered import top_n
 
@@ -41,7 +42,7 @@ def verify_cells(extractions: DataFrame, mode: str = "number") -> DataFrame:
         _metric_entries(row), lambda e: F.struct(
             i.alias("row_no"), e["key"].alias("metric"), e["value"].alias("value"),
             F.coalesce(stated(e["value"]), F.lit(False)).alias("verified")))))
-    out = held.select("extraction_id", F.explode(cells).alias("c")).select("extraction_id", "c.*")
+    out = explode_computed(held, ["extraction_id"], cells, "c").select("extraction_id", "c.*")
     return out.withColumns({
         "confidence": F.when(F.col("verified"), P.DIRECT_MATCH_CONFIDENCE),
         "evidence_type": F.when(F.col("verified"), "direct_text_match").otherwise("not_stated"),
