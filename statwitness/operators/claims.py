@@ -19,17 +19,19 @@ def split_sentences(paragraphs: DataFrame, keys: list[str], text: str) -> DataFr
     return explode_computed(paragraphs, keys, sentences_of(F.col(text)), "sentence", "sentence_no")
 
 
-def with_claims(df: DataFrame, sentence: str, name: str) -> DataFrame:
-    """Adds an array of (claim_no, raw, pos): every number with its 1-based character position.
+def _numbers(sentence: str) -> dict[str, Column]:
+    """The numbers of a sentence and the text between them, as columns so each is computed once."""
+    return {"_found": F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0)), "_between": F.split(sentence, NUMBER)}
 
-    The two regular expression results are columns of their own, so they run once per sentence.
-    """
-    parts = df.withColumns({
-        "_found": F.regexp_extract_all(sentence, F.lit(NUMBER), F.lit(0)), "_between": F.split(sentence, NUMBER)})
+
+def _indexed() -> Column:
+    return F.transform("_found", lambda raw, i: F.struct(i.alias("claim_no"), raw.alias("raw")))
+
+
+def _position(claim_no: Column) -> Column:
+    """1-based character position of a number: all text and all numbers before it."""
     chars = lambda texts: F.aggregate(texts, F.lit(0), lambda acc, s: acc + F.length(s))
-    return parts.withColumn(name, F.transform("_found", lambda raw, i: F.struct(
-        i.alias("claim_no"), raw.alias("raw"),
-        (chars(F.slice("_between", 1, i + 1)) + chars(F.slice("_found", 1, i)) + 1).alias("pos")))).drop("_found", "_between")
+    return chars(F.slice("_between", F.lit(1), claim_no + 1)) + chars(F.slice("_found", F.lit(1), claim_no)) + 1
 
 
 def claim_value(raw: Column) -> Column:
@@ -42,12 +44,12 @@ def claim_decimals(raw: Column) -> Column:
 
 def extract_claims(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row per number: value, percent flag, decimals, position and its sentence."""
-    found = split_sentences(paragraphs, keys, text).filter(F.col("sentence").rlike("[0-9]"))
-    c = explode_computed(with_claims(found, "sentence", "_c"), [*keys, "sentence_no", "sentence"], F.col("_c"), "c")
+    found = split_sentences(paragraphs, keys, text).filter(F.col("sentence").rlike("[0-9]")).withColumns(_numbers("sentence"))
+    c = explode_computed(found, [*keys, "sentence_no", "sentence", "_found", "_between"], _indexed(), "c")
     raw = F.col("c.raw")
     return c.select(
         *keys, "sentence_no", F.col("c.claim_no").alias("claim_no"), raw.alias("raw"),
-        F.col("c.pos").alias("pos"), claim_value(raw).alias("value"), F.endswith(raw, F.lit("%")).alias("is_percent"),
+        _position(F.col("c.claim_no")).alias("pos"), claim_value(raw).alias("value"), F.endswith(raw, F.lit("%")).alias("is_percent"),
         claim_decimals(raw).alias("decimals"), "sentence")
 
 
@@ -82,18 +84,18 @@ def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) ->
     inside their sentence, so no pairs are shuffled.
     """
     held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(vocabulary, "extraction_id").withColumn("_s", F.lower("sentence"))
-    mentions = F.transform("values", lambda v: v["mention"])
-    found = with_claims(held, "_s", "_all").withColumn(
-        "_c", F.filter("_all", lambda c: ~F.array_contains(mentions, c["raw"])))
-    listed = found.withColumns({
+    held = held.withColumns(_numbers("_s")).withColumns({
+        "_mentions": F.transform("values", lambda v: v["mention"]), "_cue": F.instr("_s", F.lit("respectively"))})
+    is_claim = lambda raw: ~F.array_contains("_mentions", raw)
+    before_cue = F.regexp_extract_all(F.substring("_s", F.lit(1), F.greatest(F.col("_cue") - 1, F.lit(0))), F.lit(NUMBER), F.lit(0))
+    listed = held.withColumns({
         "_metrics": _names_in_order("_s", "metrics"), "_values": _names_in_order("_s", "values"),
-        "_cue": F.instr("_s", F.lit("respectively"))}).withColumn(
-        "_n", F.size(F.filter("_c", lambda c: c["pos"] < F.col("_cue"))))
-    keep = ["extraction_id", *keys, "sentence_no", "_s", "metrics", "values", "_metrics", "_values", "_cue", "_n"]
-    one = explode_computed(listed, keep, F.col("_c"), "c", "_i")
+        "_n": F.size(F.filter(before_cue, is_claim)), "_c": F.filter(_indexed(), lambda c: is_claim(c["raw"]))})
+    keep = ["extraction_id", *keys, "sentence_no", "_s", "_found", "_between", "metrics", "values", "_metrics", "_values", "_cue", "_n"]
+    one = explode_computed(listed, keep, F.col("_c"), "c", "_i").withColumn("_pos", _position(F.col("c.claim_no")))
     around = one.withColumns({
-        "_back": F.reverse(F.substring("_s", F.lit(1), F.col("c.pos") - 1)),
-        "_ahead": F.substring("_s", F.col("c.pos") + F.length("c.raw"), F.length("_s"))})
+        "_back": F.reverse(F.substring("_s", F.lit(1), F.col("_pos") - 1)),
+        "_ahead": F.substring("_s", F.col("_pos") + F.length("c.raw"), F.length("_s"))})
     near = around.withColumns({"_near_metric": _nearest("metrics"), "_near_value": _nearest("values")})
 
     def assigned(names: str, nearest: str) -> tuple[Column, Column]:
