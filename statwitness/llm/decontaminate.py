@@ -30,10 +30,11 @@ BINS = 1 << 13
 RANK, EXTRA = 64, 8
 PASSAGE = 48
 WINDOWS = ((24, 8), (48, 16))  # words and step; items go with the first size that is at least 2/3 of their length
-COSINE = 0.6
+COSINE = 0.5
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.7, 0.5, 0.8
 MAX_QUERY_WORDS = 2_000_000
 CHUNK_WORDS = 1 << 16  # words of documents worked on at once
+SLICE = 1 << 14  # candidates whose words are counted at once
 
 
 def bins_of(hashes: np.ndarray) -> np.ndarray:
@@ -202,16 +203,16 @@ def search(hashes: list[np.ndarray], embedding: np.ndarray, q: Queries, cosine:
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
         w, i = np.nonzero(x @ q.vectors[items].T >= cosine)
         i = items[i]
-        if not len(w):
-            continue
         # words of the window whose bin occurs in the item: an upper bound of the common subsequence inside it
         width = min(size, int(lengths.max()))
-        places = start[w][:, None] + offsets[owner[w]][:, None] + np.arange(width)
-        valid = np.arange(width) < (end - start)[w][:, None]
-        shared = (q.has[i[:, None], bins[np.minimum(places, len(bins) - 1)]] & valid).sum(axis=1)
         need = np.array([PARAPHRASE_SHARE * 0.6 * min(len(h), size) for h in q.hashes])
-        ok = shared >= need[i]
-        out += [(int(owner[a]), int(b), int(start[a]), int(end[a])) for a, b in zip(w[ok], i[ok])]
+        for at in range(0, len(w), SLICE):
+            ww, ii = w[at : at + SLICE], i[at : at + SLICE]
+            places = (start[ww] + offsets[owner[ww]])[:, None] + np.arange(width)
+            valid = np.arange(width) < (end - start)[ww][:, None]
+            shared = (q.has[ii[:, None], bins[np.minimum(places, len(bins) - 1)]] & valid).sum(axis=1)
+            ok = shared >= need[ii]
+            out += [(int(owner[x]), int(y), int(start[x]), int(end[x])) for x, y in zip(ww[ok], ii[ok])]
     return out
 
 
