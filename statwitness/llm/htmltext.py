@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from statwitness.llm.common import column, map_rows
 
 LOW_IMPORTANCE = 0.3
+SALTS = 32  # tasks that share the pages of one host
 MIN_PAGES = 5  # a node on fewer pages of a host is not judged by entropy
 
 # --- fixed values: HTML's own vocabulary ---
@@ -168,7 +169,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
            .groupBy("host").agg(F.collect_set("path").alias("low")))  # at most the nodes of one site's templates
     rows = pages.select(column(page_id).alias("page_id"), column(url).alias("url"), column(html).cast("string").alias("page"),
                         host_of(column(url).cast("string")).alias("host"))
-    joined = rows.join(low, "host", "left").drop("host")
+    # pages of a host are spread over SALTS tasks; the short lists of branches are repeated for each
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "page"), F.lit(SALTS)).cast("int"))
+    repeated = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(repeated, ["host", "salt"], "left").drop("host", "salt")
 
     def fn(ids, urls, texts, lows):
         return ids, urls, [main_text(t, set(v or ())) for t, v in zip(texts, lows)]
