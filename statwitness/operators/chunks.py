@@ -93,7 +93,8 @@ def _exit_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if key is not None:
                 out.append((*key, state.tolist()))
             key, state = (doc, block), np.arange(_STATES)
-        state = np.where(_breaks(state, length, low), length, state + length)
+        # a sentence at or above the maximum leaves the chunk full
+        state = np.minimum(np.where(_breaks(state, length, low), length, state + length), _STATES - 1)
         if len(out) >= 256:
             yield pd.DataFrame(out, columns=["doc_id", "block", "exits"])
             out = []
@@ -134,12 +135,13 @@ def _chunk_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def chunk_semantic(sentences: DataFrame, block_rows: int = 4096) -> DataFrame:
     """Chunks of neighbouring sentences that belong together.
 
-    sentences(doc_id bigint, pos, text, embedding), texts not empty and at most 1000 characters. A new
+    sentences(doc_id, pos, text, embedding), texts not empty; a sentence above 1000 characters is a chunk of its own. A new
     chunk starts where similarity to the sentence before is under 0.7 and the open chunk has at least
     100 characters, or where it would exceed 1000. The rule is sequential, but its state is only the
     open length (0..1000): each block of sentences is summarised as a table from entry to exit length,
     the tables of a document are chained, and all blocks then run in parallel.
     """
+    id_type = dict(sentences.dtypes)["doc_id"]
     held = materialise(sentences).withColumns({
         "block": F.floor(F.col("pos") / block_rows), "length": F.length("text").cast("bigint")})
     paired = ordered.previous_value(held, ["doc_id"], "block", [F.col("pos")], {"_before": "embedding"})
@@ -153,12 +155,12 @@ def chunk_semantic(sentences: DataFrame, block_rows: int = 4096) -> DataFrame:
     several = flagged.filter("block > 0").groupBy("doc_id").agg(F.max("block").alias("_last"))
     long_docs = flagged.join(several, "doc_id").filter(F.col("block") < F.col("_last"))
     exits = in_order(long_docs, "doc_id", "block", "pos", "length", "low").mapInPandas(
-        _exit_states, "doc_id bigint, block bigint, exits array<bigint>")
+        _exit_states, f"doc_id {id_type}, block bigint, exits array<bigint>")
     entries = exits.repartition("doc_id").sortWithinPartitions("doc_id", "block").mapInPandas(
-        _entry_states, "doc_id bigint, block bigint, entry bigint")
+        _entry_states, f"doc_id {id_type}, block bigint, entry bigint")
     ready = flagged.join(entries, ["doc_id", "block"], "left").fillna(0, ["entry"])
     starts = in_order(ready, "doc_id", "block", "pos", "length", "low", "entry").mapInPandas(
-        _chunk_starts, "doc_id bigint, block bigint, pos bigint, start bigint")
+        _chunk_starts, f"doc_id {id_type}, block bigint, pos bigint, start bigint")
     numbered = ordered.running_sum(starts, ["doc_id"], "block", [F.col("pos")], F.col("start"), "chunk_no")
     return (
         numbered.join(flagged.select("doc_id", "pos", "text"), ["doc_id", "pos"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statwitness.functions.rows import explode_computed
 
-NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
+# a sign belongs to the number unless a word, a number or a mark stands right before it
+NUMBER = r"(?:(?<![\w.,%)])[-\u2212])?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
 _BREAK = "\u0001"
 
 
@@ -35,7 +36,7 @@ def _position(claim_no: Column) -> Column:
 
 
 def claim_value(raw: Column) -> Column:
-    return F.regexp_replace(raw, "[,%]", "").try_cast("double")
+    return F.translate(raw, "\u2212,%", "-").try_cast("double")
 
 
 def claim_decimals(raw: Column) -> Column:
@@ -53,24 +54,33 @@ def extract_claims(paragraphs: DataFrame, keys: list[str], text: str) -> DataFra
         claim_decimals(raw).alias("decimals"), "sentence")
 
 
-def _names_in_order(sentence: str, entries: str) -> Column:
-    """Names of the mentioned entries by their first mention."""
+def _as_words(text: Column) -> Column:
+    """The text with a space for every mark, and one at both ends, so that whole words can be found by position."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]", " "), F.lit(" "))
+
+
+def _names_in_order(words: str, entries: str) -> Column:
+    """Names of the entries mentioned as whole words, by their first mention; one inside a longer mention does not count."""
     placed = F.filter(
-        F.transform(entries, lambda e: F.struct(F.instr(F.col(sentence), e["mention"]).alias("at"), e["name"].alias("name"))),
+        F.transform(entries, lambda e: F.struct(
+            F.instr(F.col(words), _as_words(e["mention"])).alias("at"), F.length(e["mention"]).alias("length"), e["name"].alias("name"))),
         lambda s: s["at"] > 0)
-    return F.array_distinct(F.transform(F.array_sort(placed), lambda s: s["name"]))
+    outer = F.filter(placed, lambda s: ~F.exists(placed, lambda o: (o["length"] > s["length"]) & (o["at"] <= s["at"]) & (
+        o["at"] + o["length"] >= s["at"] + s["length"])))
+    return F.array_distinct(F.transform(F.array_sort(F.transform(outer, lambda s: F.struct(s["at"], s["name"]))), lambda s: s["name"]))
 
 
 def _nearest(entries: str) -> Column:
-    """(distance, name) of the entry mentioned closest to the number; a mention before it wins a tie."""
+    """(distance, -length, name) of the entry mentioned as whole words closest to the number; a mention before it wins a
+    tie, then the longer one."""
 
     def distance(e: Column) -> Column:
-        back = F.instr(F.col("_back"), F.reverse(e["mention"]))
-        ahead = F.instr(F.col("_ahead"), e["mention"])
+        back = F.instr(F.col("_back"), F.reverse(_as_words(e["mention"])))
+        ahead = F.instr(F.col("_ahead"), _as_words(e["mention"]))
         return F.least(F.when(back > 0, (back - 1) * 2), F.when(ahead > 0, (ahead - 1) * 2 + 1))
 
     return F.array_min(F.filter(
-        F.transform(entries, lambda e: F.struct(distance(e).alias("distance"), e["name"].alias("name"))),
+        F.transform(entries, lambda e: F.struct(distance(e).alias("distance"), (-F.length(e["mention"])).alias("shorter"), e["name"].alias("name"))),
         lambda s: s["distance"].isNotNull()))
 
 
@@ -84,18 +94,18 @@ def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) ->
     inside their sentence, so no pairs are shuffled.
     """
     held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(vocabulary, "extraction_id").withColumn("_s", F.lower("sentence"))
-    held = held.withColumns(_numbers("_s")).withColumns({
+    held = held.withColumns(_numbers("_s")).withColumn("_w", _as_words(F.col("_s"))).withColumns({
         "_mentions": F.transform("values", lambda v: v["mention"]), "_cue": F.instr("_s", F.lit("respectively"))})
     is_claim = lambda raw: ~F.array_contains("_mentions", raw)
     before_cue = F.regexp_extract_all(F.substring("_s", F.lit(1), F.greatest(F.col("_cue") - 1, F.lit(0))), F.lit(NUMBER), F.lit(0))
     listed = held.withColumns({
-        "_metrics": _names_in_order("_s", "metrics"), "_values": _names_in_order("_s", "values"),
+        "_metrics": _names_in_order("_w", "metrics"), "_values": _names_in_order("_w", "values"),
         "_n": F.size(F.filter(before_cue, is_claim)), "_c": F.filter(_indexed(), lambda c: is_claim(c["raw"]))})
     keep = ["extraction_id", *keys, "sentence_no", "_s", "_found", "_between", "metrics", "values", "_metrics", "_values", "_cue", "_n"]
     one = explode_computed(listed, keep, F.col("_c"), "c", "_i").withColumn("_pos", _position(F.col("c.claim_no")))
     around = one.withColumns({
-        "_back": F.reverse(F.substring("_s", F.lit(1), F.col("_pos") - 1)),
-        "_ahead": F.substring("_s", F.col("_pos") + F.length("c.raw"), F.length("_s"))})
+        "_back": F.reverse(_as_words(F.substring("_s", F.lit(1), F.col("_pos") - 1))),
+        "_ahead": _as_words(F.substring("_s", F.col("_pos") + F.length("c.raw"), F.length("_s")))})
     near = around.withColumns({"_near_metric": _nearest("metrics"), "_near_value": _nearest("values")})
 
     def assigned(names: str, nearest: str) -> tuple[Column, Column]:

@@ -26,12 +26,11 @@ def map_headlines(headlines: DataFrame, choices: DataFrame) -> DataFrame:
 
 def explode_mapping(mappings: DataFrame, first_only: bool = False) -> DataFrame:
     """One row per headline and table; ``first_only`` keeps the first paragraph and the first table."""
-    item = mappings.select(
-        "pdf_filename", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.posexplode("mappings").alias("pos", "m"))
+    item = mappings.select("pdf_filename", F.posexplode("mappings").alias("pos", "m"))
     files = F.slice("m.csv_files", 1, 1) if first_only else F.col("m.csv_files")
     paragraphs = F.slice("m.paragraphs", 1, 1) if first_only else F.col("m.paragraphs")
     return item.select(
-        "pdf_filename", "part_no", "pos", F.col("m.headline_text").alias("headline_text"),
+        "pdf_filename", "pos", F.col("m.headline_text").alias("headline_text"),
         F.col("m.headline_page").alias("headline_page"), paragraphs.alias("paragraphs"),
         F.explode_outer(files).alias("csv_file"))
 

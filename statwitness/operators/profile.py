@@ -48,7 +48,7 @@ def column_stats(counts: DataFrame) -> DataFrame:
         F.count("value").alias("n_distinct"),
         rows_where(numeric, "n_numeric"),
         rows_where(value.rlike(T.INTEGER_PATTERN), "n_integer"),
-        rows_where(value.isin("True", "False"), "n_bool"),
+        rows_where(F.lower(value).isin("true", "false"), "n_bool"),
     )
     return stats.withColumn("kind", _kind())
 
@@ -62,7 +62,7 @@ def approximate_column_stats(cells: DataFrame, rsd: float = 0.02) -> DataFrame:
         F.approx_count_distinct("value", rsd).alias("n_distinct"),
         F.count_if(value.rlike(T.NUMBER_PATTERN)).alias("n_numeric"),
         F.count_if(value.rlike(T.INTEGER_PATTERN)).alias("n_integer"),
-        F.count_if(value.isin("True", "False")).alias("n_bool"),
+        F.count_if(F.lower(value).isin("true", "false")).alias("n_bool"),
     ).withColumn("kind", _kind())
 
 
@@ -124,17 +124,16 @@ def sample_values(counts: DataFrame, stats: DataFrame) -> DataFrame:
 def column_profile(counts: DataFrame) -> DataFrame:
     """One row per column: type, role and its samples as an array (null where there are none).
 
-    The counts are read several times and cost a scan of all tables, so they are written once.
+    A time-like column lists every distinct value at any size; consumers that need rows instead of the list
+    take ``sample_values``. The counts are read several times and cost a scan of all tables, so they are written once.
     """
     counts = materialise(counts)
     stats = materialise(infer_column_role(column_stats(counts)))
-    small = stats.filter(F.col("n_distinct") <= P.INLINE_SAMPLES_MAX).select(*KEYS)
-    samples = sample_values(counts, stats)
-    # Long lists stay in the long table; what is collected here has a checked length.
-    listed = samples.filter(F.col("ordinal").isNotNull()).unionByName(
-        samples.filter(F.col("ordinal").isNull()).join(small, KEYS, "left_semi"))
+    # numbers of a time-like number column in their own order, texts as texts
+    numbers = stats.filter(F.col("kind").isin("int", "float")).select(*KEYS, F.lit(True).alias("numbers"))
+    listed = sample_values(counts, stats).join(numbers, KEYS, "left")
     position = F.struct(
-        F.col("ordinal"), T.to_number(F.col("value")).alias("num"), F.col("value").alias("value"))
+        F.col("ordinal"), F.when(F.col("numbers"), T.to_number(F.col("value"))).alias("num"), F.col("value").alias("value"))
     arrays = listed.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(position)), lambda s: s["value"]).alias("sample_values"))
     return stats.join(arrays, KEYS, "left")

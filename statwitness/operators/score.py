@@ -8,10 +8,11 @@ from statwitness import params as P
 
 
 def quality_score(numeric: DataFrame, style: DataFrame) -> DataFrame:
-    """0.7 times numeric confidence plus 0.3 times style; passed from 0.85."""
+    """0.7 times numeric confidence plus 0.3 times style; passed from 0.85. An extraction that only one side
+    knows is scored too: no numeric report is confidence 0, no style report is a failed one."""
     style_part = F.when(F.col("all_passed"), 1.0).otherwise(P.STYLE_FAILED_SCORE)
-    score = F.col("overall_confidence") * P.NUMERIC_WEIGHT + style_part * P.STYLE_WEIGHT
-    return numeric.join(style, "extraction_id").withColumn("quality_score", score).withColumn(
+    score = F.coalesce("overall_confidence", F.lit(0.0)) * P.NUMERIC_WEIGHT + style_part * P.STYLE_WEIGHT
+    return numeric.join(style, "extraction_id", "full").fillna(0, ["verified_cells", "total_cells"]).withColumn("quality_score", score).withColumn(
         "passed", F.round("quality_score", 9) >= P.PASS_SCORE)
 
 
@@ -29,7 +30,7 @@ def failed_extractions(scores: DataFrame) -> DataFrame:
     unverified = F.col("total_cells") - F.col("verified_cells")
     cells = F.when(unverified > 0, F.array(F.concat(unverified.cast("string"), F.lit(" cells could not be verified"))))
     return scores.filter(~F.col("passed")).withColumn(
-        "all_issues", F.concat(F.coalesce(cells, F.array().cast("array<string>")), "issues")
+        "all_issues", F.concat(F.coalesce(cells, F.array().cast("array<string>")), F.coalesce("issues", F.array().cast("array<string>")))
     ).orderBy("quality_score", "extraction_id")
 
 

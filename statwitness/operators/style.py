@@ -16,8 +16,9 @@ def all_cells(extractions: DataFrame) -> DataFrame:
     return rows.select("extraction_id", "row_no", F.explode("row").alias("column_name", "value"))
 
 
-def check_unit_consistency(cells: DataFrame) -> DataFrame:
-    """Percent columns must lie in 0..1 or in 0..100; gives the offending columns per extraction."""
+def check_unit_consistency(cells: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
+    """Percent columns must lie in 0..1 or in 0..100; gives the offending columns per extraction. Extractions
+    without cells pass if ``extractions`` (extraction_id) names them."""
     num = T.to_number(F.regexp_replace("value", "%$", ""))
     per_column = (
         cells.filter(F.contains(F.lower("column_name"), F.lit("percent")))
@@ -30,7 +31,7 @@ def check_unit_consistency(cells: DataFrame) -> DataFrame:
         "column_name", F.lit(": Mixed formats detected (range: "), T.plain_number(F.col("low")), F.lit("-"),
         T.plain_number(F.col("high")), F.lit(")")))
     found = per_column.groupBy("extraction_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
-    return _per_extraction(cells, found, "unit_consistency")
+    return _per_extraction(cells if extractions is None else extractions, found, "unit_consistency")
 
 
 def _per_extraction(cells: DataFrame, found: DataFrame, check: str) -> DataFrame:
@@ -52,8 +53,8 @@ def check_suppression_markers(extractions: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>")).alias("issues"))
 
 
-def check_time_format(cells: DataFrame, column: str = "time_period") -> DataFrame:
-    """All periods of a table in one notation; a table without the column passes."""
+def check_time_format(cells: DataFrame, column: str = "time_period", extractions: DataFrame | None = None) -> DataFrame:
+    """All periods of a table in one notation; a table without the column, or without rows, passes."""
     value = F.col("value")
     notation = F.when(value.rlike("^[0-9]{6}$"), "YYYYYY").when(F.contains(value, F.lit("-")), "YYYY-YY").otherwise("other")
     sets = (
@@ -63,7 +64,7 @@ def check_time_format(cells: DataFrame, column: str = "time_period") -> DataFram
             F.lit("Mixed time formats detected: "), F.array_join("formats", ", ")))).otherwise(
                 F.array().cast("array<string>")).alias("issues"))
     )
-    return _per_extraction(cells, sets, "time_format")
+    return _per_extraction(cells if extractions is None else extractions, sets, "time_format")
 
 
 def style_report(*checks: DataFrame) -> DataFrame:

@@ -78,18 +78,23 @@ def agrees(stated: Column, computed: Column, decimals: Column) -> Column:
 
 
 def verify_claims(claims: DataFrame, cells: DataFrame) -> DataFrame:
-    """PASS, FAIL or UNMATCHED per claim, with the table value as evidence.
+    """PASS, FAIL, UNMATCHED or AMBIGUOUS per claim, with the table value as evidence; one row per claim.
 
     claims(extraction_id, metric, filter_value, stated, decimals, ...), cells(extraction_id, metric,
-    filter_value, row_no, value)
+    filter_value, row_no, value). Where several cells carry the metric and the filter value, a dimension is open that the text
+    does not name: the claim is AMBIGUOUS, ``candidates`` counts the cells, and none is named as evidence.
     """
-    found = cells.select("extraction_id", "metric", "filter_value", "row_no", F.col("value").alias("table_value"))
+    one = F.count(F.lit(1)) == 1
+    found = cells.groupBy("extraction_id", "metric", "filter_value").agg(
+        F.count(F.lit(1)).alias("candidates"), F.when(one, F.min("row_no")).alias("row_no"),
+        F.when(one, F.min("value")).alias("table_value"))
     out = claims.join(found, ["extraction_id", "metric", "filter_value"], "left")
     num = T.to_number(F.col("table_value"))
-    return out.withColumn(
-        "status",
-        F.when(F.col("table_value").isNull() | num.isNull(), "UNMATCHED")
-        .when(agrees(F.col("stated"), num, F.col("decimals")), "PASS").otherwise("FAIL"))
+    return out.withColumns({
+        "candidates": F.coalesce("candidates", F.lit(0)),
+        "status": F.when(F.col("candidates") > 1, "AMBIGUOUS")
+        .when(F.col("table_value").isNull() | num.isNull(), "UNMATCHED")
+        .when(agrees(F.col("stated"), num, F.col("decimals")), "PASS").otherwise("FAIL")})
 
 
 def _judged(claims: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,11 +150,14 @@ def verify_extreme(claims: DataFrame, totals: DataFrame, keys: list[str], group:
         .when(F.col("top_group") == F.col("stated_group"), "PASS").otherwise("FAIL"))
 
 
-def numeric_report(cell_reports: DataFrame) -> DataFrame:
-    """Per extraction: verified cells, all cells, their ratio, and the cells themselves."""
+def numeric_report(cell_reports: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
+    """Per extraction: verified cells, all cells, their ratio, and the cells themselves. With ``extractions``
+    (extraction_id) those without any metric cell are there too, with confidence 0."""
     done = cell_reports.groupBy("extraction_id").agg(
         F.count_if("verified").alias("verified_cells"), F.count(F.lit(1)).alias("total_cells"),
         F.array_sort(F.collect_list(F.struct("row_no", "metric", "value", "verified"))).alias("cell_reports"))
+    if extractions is not None:
+        done = extractions.select("extraction_id").join(done, "extraction_id", "left").fillna(0, ["verified_cells", "total_cells"])
     return done.withColumn("overall_confidence", F.coalesce(
         F.try_divide(F.col("verified_cells"), F.col("total_cells")), F.lit(0.0)))
 

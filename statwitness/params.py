@@ -16,9 +16,6 @@ NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-# A time-like column lists every distinct value. Above this count the list stays in the long
-# sample table (which is always whole) and is not folded into the one-row-per-column document.
-INLINE_SAMPLES_MAX = 10_000
 
 # --- headline detection (font sizes in points) ------------------------------------------------
 H1_MIN_SIZE = 16.0

@@ -133,10 +133,11 @@ def _(load):
 SELECT strftime(d, '%Y-%m-%d') AS day, n, n_agree, round(n_agree::DOUBLE / n, 9) AS agreement FROM w
 WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def _(load):
-    """All events as a file stream. Days that may still receive late answers are not emitted yet."""
+    """All events as a file stream, of one file or a folder of part files (a pattern names either). Days that may still
+    receive late answers are not emitted yet."""
     events = load("events")
     stream = (
-        load.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(load.sf_dir)
+        load.spark.readStream.schema(events.schema).parquet(f"{load.sf_dir}/events.parque[t]")
         .select("ts", (F.col("value") > 20).alias("agree"))
     )
     out = new_folder(load.spark, "agreement")

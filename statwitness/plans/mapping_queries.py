@@ -99,7 +99,7 @@ SELECT CASE WHEN bad THEN 'Invalid JSON' END AS error, count(*) AS n_documents,
 def _(load):
     """Documents with one or four or seven ... headlines are cut short on purpose before reading."""
     path = new_folder(load.spark, "mappings")
-    text = F.to_json(F.struct("pdf_filename", "created_at", "part_no", "mappings"))
+    text = F.to_json(F.struct("pdf_filename", "created_at", "mappings"))
     cut = F.when(F.size("mappings") % 3 == 1, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
     documents(load).select(cut.alias("value")).write.text(path)
     return MP.read_mappings(load.spark, path).groupBy("error").agg(
@@ -233,7 +233,7 @@ def _(load):
   UNION ALL SELECT 'orders', 'o_orderpriority', CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_orderpriority END FROM orders
   UNION ALL SELECT 'orders', 'price', CASE WHEN o_totalprice < 50000 THEN 'c' ELSE CAST(o_totalprice AS VARCHAR) END FROM orders
   UNION ALL SELECT 'documents', 'doc_id', CAST(doc_id AS VARCHAR) FROM documents
-  UNION ALL SELECT 'documents', 'text', replace(text, chr(10), ' ') FROM documents)
+  UNION ALL SELECT 'documents', 'text', text FROM documents)
 SELECT table_id, column_name, count(*) AS n_rows, count(value) AS n_non_null, count(DISTINCT value) AS n_distinct FROM cells GROUP BY ALL""")
 def _(load):
     """Write two tables as CSV, read them back as text cells."""
@@ -242,7 +242,7 @@ def _(load):
         "o_orderkey", F.when(F.col("o_totalprice") > 300000, "N/A").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("o_totalprice") < 50000, "c").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
     ).write.csv(f"{folder}/orders.csv", header=True, escape='"')
-    load("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).write.csv(
+    load("documents").select("doc_id", "text").write.csv(
         f"{folder}/documents.csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cells = read_data_tables(load.spark, [f"{folder}/orders.csv", f"{folder}/documents.csv"])
     return column_stats(value_counts(cells)).select("table_id", "column_name", "n_rows", "n_non_null", "n_distinct")
@@ -259,7 +259,8 @@ def _(load):
     from statwitness.operators.ordered import row_number
 
     checked = O.mapping_errors(pairs(load), known_tables(load))
-    numbered = row_number(checked, ["pdf_filename"], "part_no", [F.col("pos"), F.col("csv_file")], "extraction_number")
+    blocked = checked.withColumn("block", F.floor(F.col("pos") / 1000))
+    numbered = row_number(blocked, ["pdf_filename"], "block", [F.col("pos"), F.col("csv_file")], "extraction_number")
     results = numbered.select(
         "pdf_filename", "extraction_number", "headline_text", F.get("paragraphs", 0).alias("paragraph"),
         F.col("csv_file").alias("csv_filename"), "error",
@@ -269,14 +270,12 @@ def _(load):
     path = new_folder(load.spark, "results")
     exports.export_results(results, ["pdf_filename"], path)
     back = load.spark.read.schema(
-        "pdf_filename string, part_no int, total_headlines bigint, successful_extractions bigint, failed_extractions bigint, "
+        "pdf_filename string, total_headlines bigint, successful_extractions bigint, failed_extractions bigint, "
         "extractions array<struct<extraction_number bigint, status string, error string, metadata struct<row_count int>>>").json(path)
     shown = lambda e: F.concat(
         e["extraction_number"], F.lit(":"), e["status"], F.lit(":"), F.coalesce(e["error"], e["metadata"]["row_count"].cast("string")))
-    parts = back.select("pdf_filename", "part_no", "total_headlines", "successful_extractions", "failed_extractions",
-                        F.array_join(F.transform("extractions", shown), ";").alias("entries"))
-    return parts.groupBy("pdf_filename", "total_headlines", "successful_extractions", "failed_extractions").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "entries"))), lambda p: p["entries"]), ";").alias("entries"))
+    return back.select("pdf_filename", "total_headlines", "successful_extractions", "failed_extractions",
+                       F.array_join(F.transform("extractions", shown), ";").alias("entries"))
 
 
 @query("export_tables_csv", f"""WITH {STATS},

@@ -85,7 +85,7 @@ stats0 AS (
          count(DISTINCT value) AS n_distinct,
          count(*) FILTER (WHERE {NUM.format('value')}) AS n_numeric,
          count(*) FILTER (WHERE {INT.format('value')}) AS n_integer,
-         count(*) FILTER (WHERE value IN ('True','False')) AS n_bool
+         count(*) FILTER (WHERE lower(value) IN ('true','false')) AS n_bool
   FROM cells GROUP BY ALL),
 stats AS (
   SELECT *, CASE WHEN n_numeric = n_non_null THEN CASE WHEN n_non_null = n_rows AND n_integer = n_rows
@@ -116,8 +116,8 @@ samples AS (
   WHERE ordinal <= CASE WHEN n_distinct <= 20 THEN 20 ELSE 10 END),
 lists AS (
   SELECT table_id, col_no, column_name,
-         string_agg(value, '|' ORDER BY ordinal, TRY_CAST(value AS DOUBLE), value) AS sample_values
-  FROM samples GROUP BY ALL)"""
+         string_agg(value, '|' ORDER BY ordinal, CASE WHEN kind IN ('int','float') THEN TRY_CAST(value AS DOUBLE) END, value) AS sample_values
+  FROM samples JOIN (SELECT table_id, col_no, column_name, kind FROM roles) USING (table_id, col_no, column_name) GROUP BY ALL)"""
 
 
 @query("column_stats", f"WITH {STATS} SELECT table_id, column_name, n_rows, n_non_null, n_distinct, n_numeric FROM stats")

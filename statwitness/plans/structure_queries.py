@@ -115,7 +115,7 @@ def _(load):
 
     path = new_folder(load.spark, "glyphs")
     glyphs(load).write.parquet(path)
-    return read_glyphs(load.spark, path).groupBy("doc_id", "page").agg(
+    return read_glyphs(load.spark, path, id_type="bigint").groupBy("doc_id", "page").agg(
         F.count(F.lit(1)).alias("n_glyphs"), F.sum(F.length("text")).alias("n_chars"),
         F.max("x0").alias("max_x0"), F.max("size").alias("max_size"))
 

@@ -75,13 +75,13 @@ def checked_claims(load) -> DataFrame:
 
 
 def numeric(load) -> DataFrame:
-    return V.numeric_report(V.verify_cells(extractions(load)))
+    return V.numeric_report(V.verify_cells(extractions(load)), extractions(load))
 
 
 def style(load) -> DataFrame:
     ext = extractions(load)
     cells = Y.all_cells(ext)
-    return Y.style_report(Y.check_unit_consistency(cells), Y.check_suppression_markers(ext), Y.check_time_format(cells))
+    return Y.style_report(Y.check_unit_consistency(cells, ext), Y.check_suppression_markers(ext), Y.check_time_format(cells, extractions=ext))
 
 
 def scores(load) -> DataFrame:
@@ -142,6 +142,12 @@ claims1 AS (SELECT doc_id, line_no, sentence_no, claim_no, raw,
   CAST(coalesce(list_sum(list_transform(parts[1:claim_no + 1], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(found[1:claim_no], lambda p: length(p))), 0) + 1 AS BIGINT) AS pos,
   CAST(regexp_replace(raw, '[,%]', '', 'g') AS DOUBLE) AS value, raw LIKE '%\\%' ESCAPE '\\' AS is_percent,
   length(regexp_extract(raw, '\\.([0-9]+)', 1)) AS decimals FROM claims)"""
+def _words(text: str) -> str:
+    """SQL: the text with a space for every mark and at both ends."""
+    return f"(' ' || regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]', ' ', 'g') || ' ')"
+
+
+_BACK, _AHEAD = _words("substring(s, 1, pos - 1)"), _words("substring(s, pos + length(raw))")
 LINKED = ACC + f""",
 lsents AS (SELECT extraction_id, y, lower(unnest({_SENT.format('paragraph')})) AS s, unnest(range(len({_SENT.format('paragraph')}))) AS sentence_no FROM acc),
 lcl AS (SELECT *, regexp_extract_all(s, '{_NUMBER}') AS found, regexp_split_to_array(s, '{_NUMBER}') AS parts FROM lsents WHERE regexp_matches(s, '[0-9]')),
@@ -152,15 +158,16 @@ lclaims AS (SELECT extraction_id, y, sentence_no, s, claim_no, raw,
 entries AS (SELECT extraction_id, 'value' AS kind, time_period AS name, CAST(y AS VARCHAR) AS mention FROM acc
   UNION ALL SELECT DISTINCT extraction_id, 'metric', unnest(['price_average','urgent_percent','standard_percent']), unnest(['average price','urgent','standard']) FROM acc),
 near AS (SELECT c.extraction_id, c.y, c.sentence_no, c.claim_no, kind, name,
-    least(CASE WHEN strpos(reverse(substring(s, 1, pos - 1)), reverse(mention)) > 0 THEN (strpos(reverse(substring(s, 1, pos - 1)), reverse(mention)) - 1) * 2 END,
-          CASE WHEN strpos(substring(s, pos + length(raw)), mention) > 0 THEN (strpos(substring(s, pos + length(raw)), mention) - 1) * 2 + 1 END) AS d
+    length(mention) AS len,
+    least(CASE WHEN strpos(reverse({_BACK}), reverse({_words('mention')})) > 0 THEN (strpos(reverse({_BACK}), reverse({_words('mention')})) - 1) * 2 END,
+          CASE WHEN strpos({_AHEAD}, {_words('mention')}) > 0 THEN (strpos({_AHEAD}, {_words('mention')}) - 1) * 2 + 1 END) AS d
   FROM lclaims c JOIN entries USING (extraction_id)),
-nearest AS (SELECT extraction_id, y, sentence_no, claim_no, kind, arg_min(name, (d, name)) AS name FROM near WHERE d IS NOT NULL GROUP BY ALL),
+nearest AS (SELECT extraction_id, y, sentence_no, claim_no, kind, arg_min(name, (d, -len, name)) AS name FROM near WHERE d IS NOT NULL GROUP BY ALL),
 listed AS (SELECT extraction_id, y, sentence_no, s, count(*) FILTER (WHERE pos < strpos(s, 'respectively')) AS n FROM lclaims GROUP BY ALL),
 order0 AS (SELECT l.extraction_id, l.y, l.sentence_no, kind, name, n, strpos(s, 'respectively') AS cue,
-  row_number() OVER (PARTITION BY l.extraction_id, l.y, l.sentence_no, kind ORDER BY strpos(s, mention), name) - 1 AS j,
+  row_number() OVER (PARTITION BY l.extraction_id, l.y, l.sentence_no, kind ORDER BY strpos({_words('s')}, {_words('mention')}), name) - 1 AS j,
   count(*) OVER (PARTITION BY l.extraction_id, l.y, l.sentence_no, kind) AS m
-  FROM listed l JOIN entries e USING (extraction_id) WHERE strpos(s, mention) > 0),
+  FROM listed l JOIN entries e USING (extraction_id) WHERE strpos({_words('s')}, {_words('mention')}) > 0),
 nclaims AS (SELECT *, row_number() OVER (PARTITION BY extraction_id, y, sentence_no ORDER BY claim_no) - 1 AS i FROM lclaims),
 paired AS (SELECT c.extraction_id, c.y, c.sentence_no, c.claim_no, o.kind, o.name FROM nclaims c JOIN order0 o
   ON o.extraction_id = c.extraction_id AND o.y = c.y AND o.sentence_no = c.sentence_no AND o.j = c.i - (n - m)

@@ -25,12 +25,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; one is made only if none is set."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local session without it gets
+    one of its own. On a cluster the setting is required: a folder of one machine is no place for results."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statwitness-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ENTRIES_PER_DOCUMENT = 1000
-
 
 def results_documents(results: DataFrame, keys: list[str]) -> DataFrame:
     """Run header with counts and one entry per headline; failed ones carry the error instead of a table.
 
     results(keys..., extraction_number, headline_text, paragraph, csv_filename, error, pivot_table,
-    row_count, confidence, ...). Long runs continue in further parts with the same header.
+    row_count, confidence, ...). One document per run, whatever its length.
     """
     ok = F.col("error").isNull()
     entry = F.struct(
@@ -20,14 +18,10 @@ def results_documents(results: DataFrame, keys: list[str]) -> DataFrame:
         F.when(ok, F.col("pivot_table")).alias("pivot_table"),
         F.when(ok, F.struct("row_count", "columns_selected", "filters_applied", "confidence", "extracted_at")).alias("metadata"),
         F.when(~ok, F.col("error")).alias("error"))
-    part = F.floor((F.col("extraction_number") - 1) / ENTRIES_PER_DOCUMENT).cast("int")
-    header = results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_headlines"), F.count_if(ok).alias("successful_extractions"),
-        F.count_if(~ok).alias("failed_extractions"))
     by_number = lambda a, b: (a["extraction_number"] - b["extraction_number"]).cast("int")
-    parts = results.withColumn("part_no", part).groupBy(*keys, "part_no").agg(
-        F.array_sort(F.collect_list(entry), by_number).alias("extractions"))
-    return parts.join(header, keys)
+    return results.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_headlines"), F.count_if(ok).alias("successful_extractions"),
+        F.count_if(~ok).alias("failed_extractions"), F.array_sort(F.collect_list(entry), by_number).alias("extractions"))
 
 
 def export_results(results: DataFrame, keys: list[str], path: str) -> None:

@@ -6,8 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _ITEM = "headline_text string, headline_page int, paragraphs array<string>, csv_files array<string>"
-MAPPING_SCHEMA = f"pdf_filename string, created_at string, part_no int, mappings array<struct<{_ITEM}>>"
-HEADLINES_PER_DOCUMENT = 1000
+MAPPING_SCHEMA = f"pdf_filename string, created_at string, mappings array<struct<{_ITEM}>>"
 
 
 def read_mappings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -28,15 +27,14 @@ def read_mappings(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
 
 def mapping_documents(mapped: DataFrame, created_at: Column) -> DataFrame:
-    """One document per report. Reports with very many headlines continue in further parts, so the
-    collected list has a fixed bound and no headline is left out.
+    """One document per report, as the file format has it, whatever the number of headlines: like the report's text, its list
+    of headlines is one value.
 
     mapped(pdf_filename, headline_no, headline_text, headline_page, paragraphs, csv_files)
     """
-    part = F.floor((F.col("headline_no") - 1) / HEADLINES_PER_DOCUMENT).cast("int")
     entry = F.struct("headline_no", "headline_text", "headline_page", "paragraphs", "csv_files")
     return (
-        mapped.withColumn("part_no", part).groupBy("pdf_filename", "part_no")
+        mapped.groupBy("pdf_filename")
         .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("headline_no")).alias("mappings"))
         .withColumn("created_at", created_at)
     )

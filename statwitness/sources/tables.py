@@ -26,6 +26,10 @@ def table_name(path: str) -> str:
     return name[:-4] if name.endswith(".csv") else name
 
 
-def read_data_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Cells of any number of tables with different columns: (table_id, col_no, column_name, value)."""
-    return reduce(DataFrame.unionByName, [long_values(read_data_table(spark, p), table_name(p)) for p in paths])
+def read_data_tables(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """Cells of any number of tables with different columns: (table_id, col_no, column_name, value).
+
+    Line breaks inside quotes are part of a value. A file is then read by one task; folders of part files
+    are read in parallel. Without such values ``multi_line=False`` lets large single files be split.
+    """
+    return reduce(DataFrame.unionByName, [long_values(read_data_table(spark, p, multi_line), table_name(p)) for p in paths])

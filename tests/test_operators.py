@@ -220,3 +220,61 @@ def test_text_helpers(spark):
     assert df.select(T.strip(F.col("t")), T.word_count(F.col("t"))).first()[:] == ("a b", 2)
     nums = spark.createDataFrame([(x,) for x in ["1", "-2.5e3", " 7 ", "1d", "NaN", "c", "1,000"]], "t string")
     assert [r[0] for r in nums.select(T.to_number(F.col("t"))).collect()] == [1.0, -2500.0, 7.0, None, None, None, None]
+
+
+def test_time_samples_are_whole_and_in_their_order(spark):
+    from statwitness.operators import profile as O
+
+    rows = [(i, f"{20000 - i}") for i in range(12_000)]
+    cells = O.long_values(spark.createDataFrame(rows, "a int, period string").withColumn("a", F.col("a").cast("string")), "t")
+    texts = O.long_values(spark.createDataFrame([("n/k",), ("9",), ("10",)], "month string"), "u")
+    flags = O.long_values(spark.createDataFrame([("true",), ("FALSE",)], "ok string"), "v")
+    got = {(r.table_id, r.column_name): r for r in O.column_profile(O.value_counts(cells.union(texts).union(flags))).collect()}
+    assert got["t", "period"].sample_values == [str(v) for v in sorted(20000 - i for i in range(12_000))]
+    assert got["u", "month"].sample_values == ["10", "9", "n/k"]
+    assert (got["v", "ok"].kind, got["v", "ok"].role) == ("bool", "unknown")
+
+
+def test_claims_with_signs_and_whole_words(spark):
+    from statwitness.operators import claims as C
+
+    text = "The average score for women was 19.6, a change of -2.5 points; men had 18.0 in 2022-23. White British pupils had 5.5."
+    found = C.extract_claims(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t").orderBy("sentence_no", "pos").collect()
+    assert [r.value for r in found] == [19.6, -2.5, 18.0, 2022.0, 23.0, 5.5]
+    names = lambda *ns: [(n, n.lower()) for n in ns]
+    vocabulary = spark.createDataFrame([("e", names("Score"), names("Men", "Women", "White", "White British"))],
+                                       "extraction_id string, metrics array<struct<name:string,mention:string>>, values array<struct<name:string,mention:string>>")
+    sentences = spark.createDataFrame([("e", i, s) for i, s in enumerate([text.split(";")[0], text.split(". ")[-1]])], "extraction_id string, sentence_no int, sentence string")
+    linked = {r.raw: r.filter_value for r in C.link_claims(sentences, vocabulary, []).collect()}
+    assert linked["19.6"] == "Women" and linked["5.5"] == "White British"
+
+
+def test_a_claim_is_one_row_and_open_dimensions_are_ambiguous(spark):
+    claims = spark.createDataFrame([("e", "score", "Girls", "19.6", 19.6, 1), ("e", "score", "Boys", "7", 7.0, 0), ("e", "score", "All", "9", 9.0, 0)],
+                                   "extraction_id string, metric string, filter_value string, raw string, stated double, decimals int")
+    cells = spark.createDataFrame([("e", "score", "Girls", i, v) for i, v in enumerate(["19.6", "19.0", "18.8", "18.1"])] + [("e", "score", "Boys", 4, "8")],
+                                  "extraction_id string, metric string, filter_value string, row_no int, value string")
+    checked = V.verify_claims(claims, cells)
+    assert {r.filter_value: (r.status, r.candidates) for r in checked.collect()} == {"Girls": ("AMBIGUOUS", 4), "Boys": ("FAIL", 1), "All": ("UNMATCHED", 0)}
+    assert checked.count() == 3 and [r.filter_value for r in V.suggest_corrections(checked).collect()] == ["Boys"]
+
+
+def test_extractions_without_cells_are_scored(spark):
+    from statwitness.operators import score as Q, style as Y
+
+    table = "extraction_id string, paragraphs array<string>, extracted_table array<map<string,string>>"
+    ext = spark.createDataFrame([("good", ["Was 5.0."], [{"score_average": "5.0"}]), ("empty", ["x"], []), ("plain", ["x"], [{"name": "y"}])], table)
+    cells = Y.all_cells(ext)
+    style = Y.style_report(Y.check_unit_consistency(cells, ext), Y.check_suppression_markers(ext), Y.check_time_format(cells, extractions=ext))
+    scores = Q.quality_score(V.numeric_report(V.verify_cells(ext), ext).drop("cell_reports"), style)
+    d = Q.quality_dashboard(scores).first()
+    assert (d.total, d.passed, d.failed) == (3, 1, 2) and Q.failed_extractions(scores).count() == 2
+
+
+def test_semantic_chunks_with_a_sentence_above_the_maximum(spark):
+    from statwitness.operators.chunks import chunk_semantic
+
+    rng = [("d", i, "x" * (1200 if i == 3 else 60), [1.0, 0.0]) for i in range(9)]
+    rows = spark.createDataFrame(rng, "doc_id string, pos bigint, text string, embedding array<double>")
+    a, b = (sorted(map(str, chunk_semantic(rows, block_rows=n).collect())) for n in (2, 4096))
+    assert a == b and len(a) == 3

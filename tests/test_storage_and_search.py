@@ -49,7 +49,7 @@ def test_mappings_missing_and_snapshot(spark):
     path = new_folder(spark, "snap")
     MP.write_mappings(docs, path, snapshot=True)
     back = MP.read_mappings(spark, path)
-    assert sorted(r.n for r in back.select(F.size("mappings").alias("n")).collect()) == [501, 1000, 1000]
+    assert [r.n for r in back.select(F.size("mappings").alias("n")).collect()] == [2501]  # one document at any number
     assert mapping.explode_mapping(back).count() == 2501
 
 
@@ -143,3 +143,39 @@ def test_embed_is_unit_length_and_repeatable(spark):
     a = {r.id: r.embedding for r in R.embed(df, dimension=64).collect()}
     b = {r.id: r.embedding for r in R.embed(df.repartition(3), dimension=64).collect()}
     assert a == b and len(a[1]) == 64 and abs(np.linalg.norm(a[1]) - 1) < 1e-5 and np.linalg.norm(a[3]) == 0
+
+
+def test_csv_values_with_line_breaks(spark, tmp_path):
+    from statwitness.sources.tables import read_data_tables
+
+    (tmp_path / "t.csv").write_text('a,b\n1,"two\nlines"\n2,x\n')
+    cells = {(r.column_name, r.value) for r in read_data_tables(spark, [str(tmp_path / "t.csv")]).collect()}
+    assert cells == {("a", "1"), ("b", "two\nlines"), ("a", "2"), ("b", "x")}
+
+
+def test_glyphs_keep_text_ids(spark, tmp_path):
+    from statwitness.sources.glyphs import read_glyphs
+
+    (tmp_path / "g.json").write_text('{"doc_id": "report a", "page": 1, "glyph_no": 1, "text": "x", "size": 9.0, "font": "f", "top": 1.0, "x0": 0.0}\n')
+    assert [r.doc_id for r in read_glyphs(spark, str(tmp_path / "g.json"), "json").collect()] == ["report a"]
+
+
+def test_stream_over_a_folder_of_part_files(spark):
+    from statwitness.plans import all_queries
+
+    root = new_folder(spark, "folder-tables")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{root}/events.parquet")
+    build = all_queries()["stream_agreement"].build
+    folder, single = (sorted(map(tuple, build(spark, d).collect())) for d in (root, "/root/testdata/sf0.001"))
+    assert folder == single and folder
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from statwitness.session import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
