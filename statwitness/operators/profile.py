@@ -34,6 +34,16 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def table_value_counts(df: DataFrame, table_id: str) -> DataFrame:
+    """``value_counts`` of one table: rows are counted by column number and value, names are added to the counts."""
+    names = df.columns
+    cells = df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in names])).alias("pos", "value"))
+    counted = cells.groupBy("pos", T.na_to_null(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(
+        F.lit(table_id).alias("table_id"), (F.col("pos") + 1).alias("col_no"),
+        F.element_at(F.array(*[F.lit(c) for c in names]), F.col("pos") + 1).alias("column_name"), "value", "n")
+
+
 def column_stats(counts: DataFrame) -> DataFrame:
     """Rows, non-null rows, distinct non-null values and rows that parse as numbers, per column."""
     value, n = F.col("value"), F.col("n")

@@ -15,6 +15,7 @@ from statwitness.operators.ordered import top_n
 from statwitness.session import materialise
 
 DISTANCE_DECIMALS = 9
+MAX_BLOCK_BYTES = 64 << 20  # vectors of one broadcast block of queries
 
 
 def embed(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DIMENSION, model=None) -> DataFrame:
@@ -88,13 +89,10 @@ def _search(shared, k: int, filtered: bool):
 
 
 def _query_blocks(queries: DataFrame, block_rows: int):
-    """Queries in blocks of about ``block_rows``: usually one, fetched in a single job."""
-    rows = queries.limit(block_rows + 1).collect()
-    if len(rows) <= block_rows:
-        yield rows
-        return
+    """Queries in blocks of about ``block_rows`` rows, one at a time; a block's bytes are checked before it is broadcast."""
     stored = materialise(queries)
-    blocks = math.ceil(2 * stored.count() / block_rows)
+    count, width = stored.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, math.ceil(2 * count / block_rows), math.ceil(2 * count * width * 8 / MAX_BLOCK_BYTES))
     for b in range(blocks):
         yield stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
 

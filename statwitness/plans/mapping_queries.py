@@ -167,14 +167,18 @@ def payloads(load) -> DataFrame:
         F.struct("lang", F.length("text").alias("n_chars"), F.size(F.split("text", "\n")).alias("n_lines")).alias("data"))
 
 
-def stored(load) -> DataFrame:
-    """Save all documents, then save the labelled ones again with a later time, then load everything."""
+def saved(load) -> str:
+    """The folder of a store: all documents, then the labelled ones again with a later time."""
     path = new_folder(load.spark, "extractions")
     all_docs = payloads(load)
     X.save_extractions(all_docs.drop("key"), path, F.lit(CREATED))
     again = all_docs.join(load("labels").select(F.col("doc_id").alias("key")), "key", "left_semi").drop("key")
     X.save_extractions(again, path, F.lit("2024-02-01T00:00:00"))
-    return X.load_extractions(load.spark, path)
+    return path
+
+
+def stored(load) -> DataFrame:
+    return X.load_extractions(load.spark, saved(load))
 
 
 STORED = f"""docs AS (SELECT doc_id AS key, 'doc ' || source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '_' END || doc_id // 2 AS doc_id,
@@ -190,7 +194,7 @@ listing AS (SELECT safe_id AS doc_id, safe_id || '.json' AS filename, round(strl
 
 @query("save_extractions", f"WITH {STORED} SELECT safe_id, doc_id, document, modified FROM stored")
 def _(load):
-    return stored(load)
+    return stored(load).drop("size_bytes")
 
 
 @query("load_extractions", f"""WITH {STORED}
@@ -220,7 +224,9 @@ def _(load):
     labelled = load("labels").filter("quality = 1").select(F.col("doc_id").alias("key"))
     ids = payloads(load).join(labelled, "key", "left_semi").select("doc_id").unionByName(
         load("benchmark").select(F.concat(F.lit("missing "), "item_id").alias("doc_id")))
-    remaining, report = X.delete_extractions(stored(load), ids)
+    path = saved(load)
+    report = X.delete_extractions(load.spark, path, ids)
+    remaining = X.load_extractions(load.spark, path)
     return remaining.select("safe_id", F.lit("remaining").alias("outcome")).unionByName(report.select(
         F.col("doc_id").alias("safe_id"), F.when(F.col("deleted"), "deleted").otherwise("not found").alias("outcome")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from statwitness.operators import profile as O
@@ -47,7 +49,8 @@ def cells(load) -> DataFrame:
 
 
 def counts(load) -> DataFrame:
-    return O.value_counts(cells(load))
+    parts = [O.table_value_counts(df, name) for name, df in text_tables(load).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _TABLES = {

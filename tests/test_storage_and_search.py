@@ -25,9 +25,16 @@ def test_save_load_list_delete(spark):
     listing = X.list_extractions(stored)
     assert {r.filename for r in listing.collect()} == {"test_doc.json", "test_doc_with_spaces.json", "doc_001.json"}
     assert X.storage_stats(listing).first().total_files == 3
-    kept, report = X.delete_extractions(stored, spark.createDataFrame([("test doc/with spaces",), ("nope",)], "doc_id string"))
-    assert {r.doc_id: r.deleted for r in report.collect()} == {"test doc/with spaces": True, "nope": False}
-    assert kept.count() == 2
+    gone = spark.createDataFrame([("test doc/with spaces",), ("nope",)], "doc_id string")
+    assert {r.doc_id: r.deleted for r in X.delete_extractions(spark, path, gone).collect()} == {"test doc/with spaces": True, "nope": False}
+    assert {r.safe_id for r in X.load_extractions(spark, path).collect()} == {"test_doc", "doc_001"}
+    assert X.delete_extractions(spark, path, gone).filter("deleted").count() == 0
+    X.save_extractions(df([("test doc/with spaces", (["back"],))]), path, F.lit("2024-01-03"))
+    assert X.load_extractions(spark, path).count() == 3
+    X.compact_extractions(spark, path, f"{path}-compact")
+    assert sorted(map(tuple, X.load_extractions(spark, f"{path}-compact").collect())) == sorted(map(tuple, X.load_extractions(spark, path).collect()))
+    plan = X.list_extractions(X.load_extractions(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "document" not in plan.split("Relation")[0]  # bodies are not carried
 
 
 def test_save_without_envelope_and_file_listing(spark):
