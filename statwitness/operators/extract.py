@@ -287,11 +287,12 @@ def extract_tables(specs: DataFrame, data: DataFrame, labels: DataFrame, time_co
     return good.select("headline_id", "spec_id").join(shown, "spec_id")
 
 
-def select_columns_used(tables: DataFrame) -> DataFrame:
-    """Per headline: the columns of its table in order, and its row count."""
+def select_columns_used(tables: DataFrame, extracted_at: Column) -> DataFrame:
+    """Per headline: the columns of its table in order, its row count, and the time of extraction."""
     keys = tables.select("headline_id", F.explode(F.map_keys("cells")).alias("c")).groupBy("headline_id").agg(
         F.array_sort(F.collect_set("c")).alias("breakdown_columns"))
     sizes = tables.groupBy("headline_id").agg(F.count(F.lit(1)).alias("row_count"))
     return sizes.join(keys, "headline_id").select(
         "headline_id", "row_count",
-        F.concat(F.array(F.lit("metric"), F.lit("time_period")), "breakdown_columns").alias("columns_selected"))
+        F.concat(F.array(F.lit("metric"), F.lit("time_period")), "breakdown_columns").alias("columns_selected"),
+        extracted_at.cast("string").alias("extracted_at"))

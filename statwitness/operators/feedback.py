@@ -25,18 +25,20 @@ def categorize_feedback(fb: DataFrame) -> DataFrame:
 
 
 def feedback_patterns(fb: DataFrame) -> DataFrame:
-    """Counts in one long table: section (total, error, headline), name, n and, for the top errors, rank."""
-    typed = categorize_feedback(fb)
-    n = F.count(F.lit(1)).alias("n")
-    errors = typed.groupBy(F.col("error_type").alias("name")).agg(n)
-    top = errors.orderBy(F.desc("n"), "name").limit(P.TOP_ERRORS)
-    ranked = ordered.top_n(top.withColumn("_all", F.lit(1)), ["_all"], [F.desc("n"), F.asc("name")], P.TOP_ERRORS)
-    section = lambda df, s, rank=None: df.select(
-        F.lit(s).alias("section"), "name", "n", (F.col("rank") if rank else F.lit(None).cast("int")).alias("rank"))
-    total = fb.agg(n).select(F.lit("all").alias("name"), "n")
-    headlines = fb.groupBy(F.col("headline_text").alias("name")).agg(n)
-    return section(total, "total").unionByName(section(ranked, "top_error", True)).unionByName(
-        section(errors, "error")).unionByName(section(headlines, "headline"))
+    """Counts in one long table: section (total, error, headline), name, n and, for the top errors, rank. One pass
+    over the feedback; ranks are given among the few error types only."""
+    counted = categorize_feedback(fb).groupingSets([["error_type"], ["headline_text"], []], "error_type", "headline_text").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("error_type").alias("_e"), F.grouping("headline_text").alias("_h"))
+    named = counted.select(
+        F.when(F.col("_e") == 0, "error").when(F.col("_h") == 0, "headline").otherwise("total").alias("section"),
+        F.when(F.col("_e") == 0, F.col("error_type")).when(F.col("_h") == 0, F.col("headline_text")).otherwise("all").alias("name"), "n")
+    is_error = F.col("section") == "error"
+    among = W.partitionBy("section", F.when(~is_error, F.col("name"))).orderBy(F.desc("n"), F.asc("name"))
+    ranked = named.withColumn("_rank", F.row_number().over(among))
+    rows = F.array_compact(F.array(
+        F.struct("section", F.lit(None).cast("int").alias("rank")),
+        F.when(is_error & (F.col("_rank") <= P.TOP_ERRORS), F.struct(F.lit("top_error").alias("section"), F.col("_rank").alias("rank")))))
+    return ranked.select("name", "n", F.inline(rows)).select("section", "name", "n", "rank")
 
 
 def guidance_triggers(patterns: DataFrame) -> DataFrame:
@@ -58,9 +60,15 @@ def correction_diff(original: DataFrame, corrected: DataFrame) -> DataFrame:
         *keys, "change", F.col("old.value").alias("old_value"), F.col("new.value").alias("new_value"))
 
 
-def agreement_rate(fb: DataFrame, by: str) -> DataFrame:
-    return fb.groupBy(F.col(by).cast("string").alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("agree").cast("double")).alias("agreement")).withColumn("by", F.lit(by))
+def agreement_rate(fb: DataFrame, *by: str) -> DataFrame:
+    """Answers and share of agreement per value of each of the columns, in one pass."""
+    counted = fb.groupingSets([[b] for b in by], *by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("agree").cast("double")).alias("agreement"),
+        *[F.grouping(b).alias(f"_g{i}") for i, b in enumerate(by)])
+    own = [F.col(f"_g{i}") == 0 for i in range(len(by))]
+    return counted.select(
+        F.coalesce(*[F.when(o, F.col(b).cast("string")) for o, b in zip(own, by)]).alias("name"), "n", "agreement",
+        F.coalesce(*[F.when(o, F.lit(b)) for o, b in zip(own, by)]).alias("by"))
 
 
 def weighted_agreement(fb: DataFrame, key: str, rate: float = P.LEARNING_RATE, minimum: int = P.MIN_FEEDBACK) -> DataFrame:

@@ -18,28 +18,35 @@ DISTANCE_DECIMALS = 9
 MAX_BLOCK_BYTES = 64 << 20  # vectors of one broadcast block of queries
 
 
-def embed(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DIMENSION, model=None) -> DataFrame:
-    """Adds ``embedding``: hashed term counts, weighted by rarity, unit length. Pass a fitted ``model``
-    to embed queries with the weights of the indexed chunks."""
-    from pyspark.ml.functions import vector_to_array
-
-    model = model or embedding_model(chunks, text, dimension)
-    words = chunks.withColumn("_words", T.word_list(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))))
-    return model.transform(words).withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_words", "_counts", "_weighted", "_unit")
-
-
-def embedding_model(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DIMENSION):
-    """Term weights of a corpus (one aggregate pass)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    words = chunks.withColumn("_words", T.word_list(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))))
-    return Pipeline(stages=[
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit"),
-    ]).fit(words)
+def term_bins(text: str, dimension: int) -> Column:
+    """One bin per word: the first eight hex digits of its md5, modulo the dimension."""
+    words = T.word_list(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimension).cast("int"))
+
+
+def embedding_model(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DIMENSION) -> list[float]:
+    """Rarity weight of each bin in a corpus, ln((chunks + 1) / (chunks with the bin + 1)); one aggregate pass."""
+    seen = chunks.select(F.explode_outer(F.array_append(F.array_distinct(term_bins(text, dimension)), F.lit(-1))).alias("bin"))
+    found = {r["bin"]: r["n"] for r in seen.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most dimension + 1 rows
+    total = found.get(-1, 0)
+    return [math.log((total + 1) / (found.get(b, 0) + 1)) for b in range(dimension)]
+
+
+def embed(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DIMENSION, model: list[float] | None = None) -> DataFrame:
+    """Adds ``embedding``: hashed term counts, weighted by rarity, unit length (zeros for a text without words). Pass
+    the ``model`` of the indexed chunks to embed queries with the same weights."""
+    weights = np.array(model or embedding_model(chunks, text, dimension))
+
+    @F.pandas_udf("array<double>")
+    def unit(bins: pd.Series) -> pd.Series:
+        def one(b):
+            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=len(weights)) * weights
+            length = math.sqrt(float(v @ v))
+            return v / length if length else v
+
+        return bins.map(one)
+
+    return chunks.withColumn("embedding", unit(F.coalesce(term_bins(text, len(weights)), F.array().cast("array<int>"))))
 
 
 def _nearest(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:

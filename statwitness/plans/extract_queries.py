@@ -354,9 +354,9 @@ def _(load):
 @query("select_columns_used", f"""WITH {EXTRACTED},
 cols AS (SELECT headline_id, string_agg(DISTINCT bv, ',' ORDER BY bv) AS c FROM xcells GROUP BY 1),
 sizes AS (SELECT headline_id, count(*) AS row_count FROM tables GROUP BY 1)
-SELECT headline_id, row_count, 'metric,time_period,' || c AS columns_selected FROM cols JOIN sizes USING (headline_id)""")
+SELECT headline_id, row_count, 'metric,time_period,' || c AS columns_selected, '2024-01-15T10:30:00' AS extracted_at FROM cols JOIN sizes USING (headline_id)""")
 def _(load):
-    return O.select_columns_used(extracted(load)[1]).withColumn("columns_selected", F.array_join("columns_selected", ","))
+    return O.select_columns_used(extracted(load)[1], F.lit("2024-01-15T10:30:00")).withColumn("columns_selected", F.array_join("columns_selected", ","))
 
 
 # ---- logged snippets, one per order -------------------------------------------------------------

@@ -77,9 +77,7 @@ def _(load):
     f"SELECT CAST({by} AS VARCHAR) AS name, count(*) AS n, round(avg(CASE WHEN agree THEN 1.0 ELSE 0.0 END), 9) AS agreement, '{by}' AS \"by\" FROM fb GROUP BY 1"
     for by in ["agent", "headline_text", "week"]))
 def _(load):
-    fb = feedback(load)
-    parts = [O.agreement_rate(fb, by) for by in ["agent", "headline_text", "week"]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("agreement", F.round("agreement", 9))
+    return O.agreement_rate(feedback(load), "agent", "headline_text", "week").withColumn("agreement", F.round("agreement", 9))
 
 
 @query("weighted_agreement", f"""WITH {FB},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from statwitness.functions import vectors as VX
+from statwitness import params as P
 from statwitness.operators import chunks as O, profile as PR, retrieve as R
 from statwitness.operators.claims import split_sentences
 from statwitness.plans.profile_queries import SAMPLES, counts
@@ -114,11 +115,24 @@ def _(load):
     return O.explode_chunks(extractions(load))
 
 
-@query("embed")
+_TERMS = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), '\\s+'), lambda w: w <> '')"
+
+
+@query("embed", f"""WITH {EXT},
+keyed AS (SELECT extraction_id || ':' || pos AS chunk_id, text FROM chunks),
+terms AS (SELECT chunk_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {P.EMBEDDING_DIMENSION} AS bin, count(*) AS tf
+  FROM (SELECT chunk_id, unnest({_TERMS}) AS w FROM keyed) GROUP BY ALL),
+idf AS (SELECT bin, ln(((SELECT count(*) FROM keyed) + 1)::DOUBLE / (count(*) + 1)) AS weight FROM terms GROUP BY bin),
+parts AS (SELECT chunk_id, bin, tf * weight AS x, sqrt(sum(tf * weight * tf * weight) OVER (PARTITION BY chunk_id)) AS len FROM terms JOIN idf USING (bin))
+SELECT chunk_id, {P.EMBEDDING_DIMENSION}::BIGINT AS dimension, round(coalesce(sqrt(sum(x / len * x / len)), 0), 6) AS length,
+       round(coalesce(sum((bin + 1) * x / len), 0), 6) AS checksum
+FROM keyed LEFT JOIN parts USING (chunk_id) GROUP BY 1""")
 def _(load):
-    """Vectors of all chunks; the length check stands in for an SQL comparison."""
+    """Vectors of all chunks: their length, and a sum over the positions."""
     vectors = R.embed(O.explode_chunks(extractions(load)))
-    return vectors.select("chunk_id", F.size("embedding").alias("dimension"), F.round(VX.norm(F.col("embedding")), 4).alias("length"))
+    checksum = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return vectors.select("chunk_id", F.size("embedding").alias("dimension"), F.round(VX.norm(F.col("embedding")), 6).alias("length"),
+                          F.round(checksum, 6).alias("checksum"))
 
 
 # ---- search in the embeddings -------------------------------------------------------------------------
