@@ -154,10 +154,14 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node of each connected component, by alternating star contraction. Each step keeps
-    the components and brings nodes nearer to their smallest one; it ends when a step changes nothing."""
+    the components and brings nodes nearer to their smallest one; it ends when every node has one edge, to a node without any."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+            edges.select("v", F.lit(0), F.lit(1)))
+        unfinished = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 or (out > 0 and in > 0)")
+        if unfinished.isEmpty():
+            break
         # every neighbour above a node goes to the node's smallest neighbour
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -166,10 +170,6 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -188,15 +188,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
     sets = materialise(sets_of(docs, wanted, k, text, doc_id))
     empty_pairs = spark.createDataFrame([], "a binary, b binary, shared bigint, joined bigint")
     verified, comps, hubs_done = empty_pairs, None, None
-    turn = 0
+    members, turn = members.withColumn("component", F.col("digest")), 0
     while True:
-        # a band is decided when all its members that were no hubs are in one component
-        placed = members if comps is None else members.join(comps.withColumnRenamed("node", "digest"), "digest", "left")
-        placed = placed.withColumn("component", F.coalesce("component", "digest") if comps is not None else F.col("digest"))
-        if hubs_done is not None:
+        if turn:
+            # a band is decided when all its members that were no hubs are in one component
+            placed = members.join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
             placed = placed.join(hubs_done, ["bucket", "digest"], "left_anti")
-        still = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-        members = materialise(placed.join(still, "bucket").select("bucket", "digest", "n", "sketch", "component"))
+            still = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+            members = materialise(placed.join(still, "bucket").select("bucket", "digest", "n", "sketch", "component"))
         if members.isEmpty():
             break
         if turn == 0:
@@ -213,9 +212,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
         pairs = pairs.filter("digest <> h").select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
         if turn:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
-        verified = materialise(verified.union(verify(pairs, sets)))
-        links = verified.filter(100 * F.col("shared") >= threshold * F.col("joined"))
-        comps = components(links)
+        new = materialise(verify(pairs, sets))
+        linked = 100 * F.col("shared") >= threshold * F.col("joined")
+        verified = verified.union(new)
+        if comps is None or not new.filter(linked).isEmpty():
+            comps = components(verified.filter(linked))
         hubs_done = hubs.select("bucket", "digest") if hubs_done is None else materialise(hubs_done.union(hubs.select("bucket", "digest")))
         members = members.drop("component")
         turn += 1
