@@ -181,37 +181,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
     feats = materialise(features(docs, k, share, text, doc_id))
     classes = materialise(feats.filter("digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    keyed = classes.select("digest", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "digest")
+    keyed = classes.select("digest", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "digest")
     shared_keys = keyed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    members = materialise(keyed.join(shared_keys, "bucket").join(classes.select("digest", "n", "sketch"), "digest"))
+    members = materialise(keyed.join(shared_keys, "bucket").join(classes.select("digest", "n", "sketch", "bands"), "digest"))
     wanted = members.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
     sets = materialise(sets_of(docs, wanted, k, text, doc_id))
     empty_pairs = spark.createDataFrame([], "a binary, b binary, shared bigint, joined bigint")
     verified, comps, hubs_done = empty_pairs, None, None
-    members, turn = members.withColumn("component", F.col("digest")), 0
+    held = ["bucket", "band", "digest", "n", "sketch", "bands", "component"]
+    members, turn = members.withColumn("component", F.col("digest")).select(*held), 0
     while True:
         if turn:
             # a band is decided when all its members that were no hubs are in one component
             placed = members.join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
             placed = placed.join(hubs_done, ["bucket", "digest"], "left_anti")
             still = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-            members = materialise(placed.join(still, "bucket").select("bucket", "digest", "n", "sketch", "component"))
+            members = materialise(placed.join(still, "bucket").select(*held))
         if members.isEmpty():
             break
         if turn == 0:
-            hubs = members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "sketch", "component")).alias("h")).select("bucket", "h.*")
+            hubs = members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "sketch", "bands", "component")).alias("h")).select("bucket", "h.*")
         else:
             # members of small components first: they are the ones still undecided
             sized = members.join(members.groupBy("bucket", "component").agg(F.count("*").alias("size")), ["bucket", "component"])
-            hubs = top_n(sized, ["bucket"], [F.col("size"), F.xxhash64("digest"), F.col("digest")], HUB_GROWTH**turn).select("bucket", "digest", "n", "sketch", "component")
+            hubs = top_n(sized, ["bucket"], [F.col("size"), F.xxhash64("digest"), F.col("digest")], HUB_GROWTH**turn).select("bucket", "digest", "n", "sketch", "bands", "component")
         hubs = materialise(hubs)
-        h = hubs.select("bucket", F.col("digest").alias("h"), F.col("n").alias("hn"), F.col("sketch").alias("hs"), F.col("component").alias("hc"))
+        h = hubs.select("bucket", F.col("digest").alias("h"), F.col("n").alias("hn"), F.col("sketch").alias("hs"), F.col("bands").alias("hb"), F.col("component").alias("hc"))
         pairs = members.join(h, "bucket").filter(
             (F.col("component") != F.col("hc")) & (100 * F.least("n", "hn") >= threshold * F.greatest("n", "hn"))
-            & (differing("sketch", "hs") <= sketch_bound(share)))
+            & (differing("sketch", "hs") <= sketch_bound(share))
+            # a pair is made in the first band that it shares, not in each
+            & (F.array_position(F.zip_with("bands", "hb", lambda x, y: x == y), True) == F.col("band") + 1))
         pairs = pairs.filter("digest <> h").select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(verified, ["a", "b"], "left_anti")
         new = materialise(verify(pairs, sets))
         linked = 100 * F.col("shared") >= threshold * F.col("joined")
         verified = verified.union(new)
