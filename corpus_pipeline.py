@@ -20,7 +20,7 @@ from statwitness.llm.common import materialise  # noqa: E402
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon learned from the labels rejects go."""
-    return toxicity.reject_toxic(docs, toxicity.train(queries.toxic_training(spark, sf_dir)))
+    return toxicity.reject_toxic(docs, queries.toxic_lexicon(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

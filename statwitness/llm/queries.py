@@ -39,15 +39,14 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-def toxic_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, text, toxic of the labelled documents outside the held-out part."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").filter(
-        ~langid.held_out(F.col("doc_id"), 5, 0)).select(F.col("doc_id").alias("key"), "text", "toxic")
+def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    """Learned from the labelled documents outside the held-out part."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text").filter(~langid.held_out(F.col("key"), 5, 0))
+    return toxicity.train(texts, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "toxic"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = toxicity.train(toxic_training(spark, sf_dir))
+    lexicon = toxic_lexicon(spark, sf_dir)
     scored = toxicity.score_texts(table(spark, sf_dir, "documents"), lexicon)
     return scored.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id"), 5, 0).alias("held_out"), "score", "predicted")
 

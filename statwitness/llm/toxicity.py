@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from statwitness.llm.common import column, map_rows, shingle_set
+from statwitness.llm.common import column, map_rows, materialise, shingle_set
 
 # --- fixed values: letters and digits that stand for Latin letters ---
 LOOK_ALIKES = {
@@ -155,13 +155,16 @@ def best_cut(points: list[tuple[float, int]]) -> tuple[float, float]:
     return middle, 4 / max(cut - middle, 0.02)
 
 
-def train(labelled: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> Lexicon:
-    """A lexicon from rows (key, text, toxic 0/1). Rows without a label are not used."""
-    labelled = labelled.filter(F.col("toxic").isin(0, 1))
+def train(texts: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> Lexicon:
+    """A lexicon from texts(key, text) and labels(key, toxic 0/1). Rows without a label are not used.
+
+    The sample is drawn among the keys; only its few texts, as many as the two bounds say, are fetched and stored."""
+    labelled = texts.select("key").join(labels.filter(F.col("toxic").isin(0, 1)).select("key", F.col("toxic").cast("int").alias("toxic")), "key").distinct()
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = lambda n, rows: min(1.0, rows / n) if n else 0.0
     draw = F.pmod(F.xxhash64(F.col("key"), F.lit("toxicity sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.filter(draw < F.when(F.col("toxic") == 1, share(sizes.get(1), toxic_rows)).otherwise(share(sizes.get(0), clean_rows)))
+    chosen = labelled.filter(draw < F.when(F.col("toxic") == 1, share(sizes.get(1), toxic_rows)).otherwise(share(sizes.get(0), clean_rows)))
+    sample = materialise(texts.join(F.broadcast(chosen), "key").select("key", "text", "toxic"))  # about toxic_rows + clean_rows keys
 
     def describe(keys, texts, marks):
         near = []
@@ -170,7 +173,7 @@ def train(labelled: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int =
             near.append(int(s[0]) - (1 << 63) if len(s) else 0)  # the smallest shingle hash: near copies share it
         return near, [int(m) for m in marks], [_candidates(t) for t in texts]
 
-    once = map_rows(sample.select("key", "text", F.col("toxic").cast("int").alias("toxic")), describe, ["key", "text", "toxic"],
+    once = map_rows(sample, describe, ["key", "text", "toxic"],
                     "near bigint, toxic int, forms array<string>").groupBy("near", "toxic").agg(F.min_by("forms", F.size("forms")).alias("forms"))
     forms = once.select("toxic", F.explode("forms").alias("form")).groupBy("form").agg(F.sum("toxic").cast("bigint").alias("t"), F.count("*").alias("n"))
     totals = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -185,7 +188,7 @@ def train(labelled: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int =
         m = Matcher(draft)
         return [m.evidence(t) for t in texts], [int(v) for v in marks]
 
-    points = map_rows(sample.select("text", F.col("toxic").cast("int").alias("toxic")), levels, ["text", "toxic"], "level double, toxic int").collect()
+    points = map_rows(sample, levels, ["text", "toxic"], "level double, toxic int").collect()
     cut, slope = best_cut([(r["level"], r["toxic"]) for r in points])
     return draft._replace(cut=cut, slope=slope)
 

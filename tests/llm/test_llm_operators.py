@@ -205,6 +205,11 @@ def test_style_tree_cuts_what_every_page_of_a_host_repeats(spark):
 # ---- toxicity ----------------------------------------------------------------------------------
 
 
+def learn(spark, rows):
+    df = spark.createDataFrame(rows, "key bigint, text string, toxic int")
+    return toxicity.train(df.select("key", "text"), df.select("key", "toxic"))
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(8)
     rows = []
@@ -214,7 +219,7 @@ def test_toxicity_learns_words_and_beginnings(spark):
             w[rng.randrange(len(w))] = "grobian" + rng.choice(["", "en", "isch", "heit"])
             w[rng.randrange(len(w))] = rng.choice(["Scυm", "1D10T", "sc​um"])
         rows.append((i, " ".join(w), toxic))
-    lexicon = toxicity.train(spark.createDataFrame(rows, "key bigint, text string, toxic int"))
+    lexicon = learn(spark, rows)
     assert "grobian" in lexicon.entries
     table = docs(spark, [(i, t, None, None) for i, t, _ in rows] + [(5000, "He is an ID10T proof, idiot proof thing", None, None)])
     got = {r.id: r for r in toxicity.score_texts(table, lexicon).collect()}
@@ -225,7 +230,7 @@ def test_toxicity_learns_words_and_beginnings(spark):
 
 
 def test_toxicity_without_labels_and_odd_rows(spark):
-    lexicon = toxicity.train(spark.createDataFrame([(1, "x", None)], "key bigint, text string, toxic int"))
+    lexicon = learn(spark, [(1, "x", None)])
     m = toxicity.Matcher(lexicon)
     assert m.score("you worthless idiot") >= 0.5 > m.score("an idiot proof device") and m.score(None) == m.score("") < 0.5
     assert toxicity.score_texts(docs(spark, ODD), lexicon).count() == len(ODD)
@@ -233,7 +238,7 @@ def test_toxicity_without_labels_and_odd_rows(spark):
     rng = random.Random(2)
     one = " ".join(prose(rng, 50, 10_000))
     rows = [(i, one, 1) for i in range(100)] + [(1000 + i, " ".join(prose(rng, 50)), 0) for i in range(300)]
-    assert set(toxicity.train(spark.createDataFrame(rows, "key bigint, text string, toxic int")).entries) == {w + " " for w in toxicity.SEED}
+    assert set(learn(spark, rows).entries) == {w + " " for w in toxicity.SEED}
 
 
 # ---- chat --------------------------------------------------------------------------------------
