@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents give TF-IDF vectors over ``BINS`` hashed words. A randomised decomposition of that matrix A is
+Words of all documents are hashed once and stored. Passages give TF-IDF vectors over ``BINS`` hashed words; bins that
+occur in more than ``COMMON`` of the passages tell passages of a language alike, not apart, and weigh nothing. A randomised decomposition of that matrix A is
 computed over the whole corpus: one pass counts document frequencies, one pass sums A'A W for a random W of
 ``RANK + EXTRA`` columns task by task, and from that product alone the leading right singular vectors follow
 (Nystroem). Only tables of ``BINS`` rows reach the driver, whatever the corpus.
@@ -24,21 +25,23 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from statwitness.llm.common import column, map_rows, mix64, word_hashes, words
+from statwitness.llm.common import column, map_rows, materialise, word_hashes, words
 
 BINS = 1 << 13
 RANK, EXTRA = 64, 8
+COMMON = 0.04  # share of passages above which a bin has no weight
 PASSAGE = 48
+STEP = 8  # words of a block; windows begin and end at blocks
 WINDOWS = ((24, 8), (48, 16))  # words and step; items go with the first size that is at least 2/3 of their length
-COSINE = 0.5
+COSINE = 0.45
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.7, 0.5, 0.8
 MAX_QUERY_WORDS = 2_000_000
-CHUNK_WORDS = 1 << 16  # words of documents worked on at once
+CHUNK_WORDS = 1 << 14  # words of documents worked on at once
 SLICE = 1 << 14  # candidates whose words are counted at once
 
 
 def bins_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(BINS)).astype(np.int32)
+    return (hashes % np.uint32(BINS)).astype(np.int32)
 
 
 def _passages(n: int) -> np.ndarray:
@@ -46,75 +49,92 @@ def _passages(n: int) -> np.ndarray:
     return np.arange(n) // PASSAGE
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """id and the 32-bit hashes of its words as bytes, written once for the passes that follow."""
+
+    def fn(ids, texts):
+        return ids, [(word_hashes(words(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
+
+    return materialise(map_rows(docs, fn, ["id", "text"], f"id {dict(docs.dtypes)['id']}, words binary"))
+
+
+def document_frequency(hashed: DataFrame) -> tuple[np.ndarray, int]:
     """In how many passages of the corpus each bin occurs, and how many passages there are."""
 
-    def fn(texts):
+    def fn(docs):
         df, total = np.zeros(BINS, np.int64), 0
-        for t in texts:
-            b = bins_of(word_hashes(words(t)))
+        for d in docs:
+            b = bins_of(np.frombuffer(d, np.uint32))
             if len(b):
-                pairs = np.unique(_passages(len(b)) * BINS + b)
-                df += np.bincount(pairs % BINS, minlength=BINS)
+                pairs = np.sort(_passages(len(b)) * BINS + b)
+                df += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])] % BINS, minlength=BINS)
                 total += -(-len(b) // PASSAGE)
         at = np.nonzero(df)[0]
         return np.append(at, BINS), np.append(df[at], total)
 
-    rows = map_rows(docs, fn, ["text"], "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS + 1 rows
+    rows = map_rows(hashed, fn, ["words"], "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS + 1 rows
     out = np.zeros(BINS + 1, np.int64)
     out[rows["bin"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
     return out[:BINS], int(out[BINS])
 
 
-def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+def weights_of(df: np.ndarray, passages: int) -> np.ndarray:
+    return np.where(df > COMMON * passages, 0.0, np.log((1 + passages) / (1 + df)))
+
+
+def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
     """BINS x rank: leading right singular vectors of the TF-IDF matrix of all passages."""
     width = rank + EXTRA
     omega = np.random.default_rng(seed).standard_normal((BINS, width)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((omega * idf[:, None].astype(np.float32), idf.astype(np.float32)))
-
-    def add(z, weighted, held):
-        b = np.concatenate(held)
-        starts = np.cumsum([0] + [-(-len(x) // PASSAGE) for x in held])
-        p = np.concatenate([_passages(len(x)) + s for x, s in zip(held, starts)])
-        first = np.searchsorted(p, np.arange(starts[-1]))
-        y = np.add.reduceat(weighted[b], first, axis=0)  # a row of A W
+    shared = hashed.sparkSession.sparkContext.broadcast((omega * idf[:, None].astype(np.float32), idf > 0))
+
+    def add(z, weighted, bins, passages):
+        b, p = np.concatenate(bins), np.concatenate(passages)
+        begin = np.nonzero(np.append(True, p[1:] != p[:-1]))[0]
+        y = np.add.reduceat(weighted[b], begin, axis=0)  # a row of A W for each passage
+        row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(b))))
         order = np.argsort(b, kind="stable")
-        at, begin = np.unique(b[order], return_index=True)
-        z[at] += np.add.reduceat(y[p[order]], begin, axis=0)
+        at, first = np.unique(b[order], return_index=True)
+        z[at] += np.add.reduceat(y[row[order]], first, axis=0)
 
     def run(batches):
         import pyarrow as pa
 
-        weighted, _ = shared.value
-        z, held, size, some = np.zeros((BINS, width), np.float64), [], 0, False
+        weighted, used = shared.value
+        z, bins, passages, size, number, some = np.zeros((BINS, width), np.float64), [], [], 0, 0, False
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                b = bins_of(word_hashes(words(t)))
-                if len(b):
-                    held.append(b)
-                    size += len(b)
+            for d in batch.column("words").to_pylist():
+                b = bins_of(np.frombuffer(d, np.uint32))
+                keep = used[b]
+                if keep.any():
+                    bins.append(b[keep])
+                    passages.append(_passages(len(b))[keep] + number)
+                    number += -(-len(b) // PASSAGE)
+                    size += len(bins[-1])
                     some = True
                 if size >= CHUNK_WORDS:
-                    add(z, weighted, held)
-                    held, size = [], 0
-        if held:
-            add(z, weighted, held)
+                    add(z, weighted, bins, passages)
+                    bins, passages, size = [], [], 0
+        if bins:
+            add(z, weighted, bins, passages)
         if some:
             at = np.nonzero(z.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(z[at, i]) for i in range(width)]],
                                              names=["bin", *[f"z{i}" for i in range(width)]])
 
     schema = "bin int, " + ", ".join(f"z{i} double" for i in range(width))
-    summed = docs.select("text").mapInArrow(run, schema).groupBy("bin").agg(*[F.sum(f"z{i}").alias(f"z{i}") for i in range(width)])
+    summed = hashed.select("words").mapInArrow(run, schema).groupBy("bin").agg(*[F.sum(f"z{i}").alias(f"z{i}") for i in range(width)])
     table = summed.toPandas()  # at most BINS rows
     z = np.zeros((BINS, width))
     if len(table):
         z[table["bin"].to_numpy(dtype=np.int64)] = table[[f"z{i}" for i in range(width)]].to_numpy(dtype=float) * idf[table["bin"].to_numpy(dtype=np.int64)][:, None]
     # A'A is about Z (W'Z)^-1 Z': its eigenvectors are the left singular vectors of Z C^-T with W'Z = C C'
     shift = 1e-6 * (np.linalg.norm(z) + 1e-9)
-    z = z + shift * omega
+    z = z + shift * omega * (idf > 0)[:, None]
     core = omega.T.astype(float) @ z
     core = (core + core.T) / 2
+    if not z.any():
+        return np.zeros((BINS, rank), np.float32)  # nothing but common words
     values, vectors = np.linalg.eigh(core)
     keep = values > values.max() * 1e-10
     half = z @ (vectors[:, keep] / np.sqrt(values[keep]))
@@ -124,7 +144,7 @@ def latent_basis(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
 class Queries(NamedTuple):
     ids: list  # item ids
-    hashes: list[np.ndarray]  # words of the items
+    hashes: list[np.ndarray]  # words of the items, 32-bit
     tier: np.ndarray  # which window size
     vectors: np.ndarray  # unit latent vectors
     has: np.ndarray  # item x bin: whether the bin occurs in the item
@@ -161,7 +181,7 @@ def judge(item: np.ndarray, doc: np.ndarray, start: int, end: int) -> float:
 
 def prepare(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, Queries]:
     embedding = (basis * idf[:, None]).astype(np.float32)
-    kept = [(i, word_hashes(words(t))) for i, t in items]
+    kept = [(i, (word_hashes(words(t)) >> np.uint64(32)).astype(np.uint32)) for i, t in items]
     kept = [(i, h) for i, h in kept if len(h)]
     vectors = np.zeros((len(kept), basis.shape[1]), np.float32)
     has = np.zeros((len(kept), BINS), bool)
@@ -173,46 +193,53 @@ def prepare(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> tuple[np.
     return embedding, Queries([i for i, _ in kept], [h for _, h in kept], tier, vectors, has)
 
 
-def windows(n: int, size: int, step: int) -> np.ndarray:
-    """Starts of the windows of a text of n words; the last one ends with the text."""
-    if n <= size:
-        return np.zeros(1, np.int64)
-    starts = np.arange(0, n - size + 1, step)
-    return starts if starts[-1] == n - size else np.append(starts, n - size)
+def windows(blocks: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first block of every window of documents of so many blocks; the last window ends with the text."""
+    last = np.maximum(blocks - size // STEP, 0)
+    count = -(-last // (step // STEP)) + 1
+    owner = np.repeat(np.arange(len(blocks)), count)
+    rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return owner, np.minimum(rank * (step // STEP), last[owner])
 
 
 def search(hashes: list[np.ndarray], embedding: np.ndarray, q: Queries, cosine: float = COSINE) -> list[tuple[int, int, int, int]]:
-    """Candidates (document, item, start, end): windows near an item in the latent space that can hold enough of it."""
+    """Candidates (document, item, start, end): windows near an item in the latent space that can hold enough of it.
+    An item of common words only has no direction there; all windows are its candidates."""
     out = []
-    lengths = np.array([len(h) for h in hashes])
-    if not lengths.sum() or not q.ids:
+    places = [d for d, h in enumerate(hashes) if len(h)]
+    if not places or not q.ids:
         return out
+    lengths = np.array([len(hashes[d]) for d in places])
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    bins = bins_of(np.concatenate(hashes))
-    sums = np.zeros((len(bins) + 1, embedding.shape[1]))
-    np.cumsum(embedding[bins], axis=0, dtype=np.float64, out=sums[1:])
+    bins = bins_of(np.concatenate([hashes[d] for d in places]))
+    blocks = -(-lengths // STEP)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    begin = np.repeat(offsets[:-1] - first[:-1] * STEP, blocks) + np.arange(first[-1]) * STEP
+    sums = np.zeros((first[-1] + 1, embedding.shape[1]))
+    np.cumsum(np.add.reduceat(embedding[bins], begin, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+    lost = ~q.vectors.any(axis=1)
     for k, (size, step) in enumerate(WINDOWS):
         items = np.nonzero(q.tier == k)[0]
         if not len(items):
             continue
-        starts = [windows(n, size, step) for n in lengths]
-        owner = np.repeat(np.arange(len(lengths)), [len(s) for s in starts])
-        start = np.concatenate(starts)
-        end = np.minimum(start + size, lengths[owner])
-        x = (sums[end + offsets[owner]] - sums[start + offsets[owner]]).astype(np.float32)
+        owner, block = windows(blocks, size, step)
+        until = np.minimum(block + size // STEP, blocks[owner])
+        x = (sums[until + first[owner]] - sums[block + first[owner]]).astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-        w, i = np.nonzero(x @ q.vectors[items].T >= cosine)
+        near = x @ q.vectors[items].T >= cosine
+        near[:, lost[items]] = True
+        w, i = np.nonzero(near)
         i = items[i]
+        start, end = block * STEP, np.minimum(until * STEP, lengths[owner])
         # words of the window whose bin occurs in the item: an upper bound of the common subsequence inside it
-        width = min(size, int(lengths.max()))
         need = np.array([PARAPHRASE_SHARE * 0.6 * min(len(h), size) for h in q.hashes])
         for at in range(0, len(w), SLICE):
             ww, ii = w[at : at + SLICE], i[at : at + SLICE]
-            places = (start[ww] + offsets[owner[ww]])[:, None] + np.arange(width)
-            valid = np.arange(width) < (end - start)[ww][:, None]
-            shared = (q.has[ii[:, None], bins[np.minimum(places, len(bins) - 1)]] & valid).sum(axis=1)
+            where = (start[ww] + offsets[owner[ww]])[:, None] + np.arange(size)
+            valid = np.arange(size) < (end - start)[ww][:, None]
+            shared = (q.has[ii[:, None], bins[np.minimum(where, len(bins) - 1)]] & valid).sum(axis=1)
             ok = shared >= need[ii]
-            out += [(int(owner[x]), int(y), int(start[x]), int(end[x])) for x, y in zip(ww[ok], ii[ok])]
+            out += [(places[owner[x]], int(y), int(start[x]), int(end[x])) for x, y in zip(ww[ok], ii[ok])]
     return out
 
 
@@ -237,13 +264,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         raise ValueError(f"the benchmark has {size} characters; more than the broadcast bound. Split it into several calls")
     items = sorted(((r["item"], r["text"]) for r in asked.collect()), key=lambda r: (r[0] is None, r[0]))
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
-    df, passages = document_frequency(rows)
-    idf = np.log((1 + passages) / (1 + df))
-    basis = latent_basis(rows, idf, rank)
+    hashed = hashed_words(rows)
+    idf = weights_of(*document_frequency(hashed))
+    basis = latent_basis(hashed, idf, rank)
     shared = spark.sparkContext.broadcast(prepare(items, idf, basis))
     types = {**dict(rows.dtypes), "item": dict(asked.dtypes)["item"]}
 
-    def fn(ids, texts):
+    def fn(ids, docs_words):
         embedding, q = shared.value
         results: list = [None] * len(ids)
         held: list[tuple[int, np.ndarray]] = []
@@ -255,8 +282,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 results[held[d][0]] = per_item
             held.clear()
 
-        for at, t in enumerate(texts):
-            h = word_hashes(words(t))
+        for at, d in enumerate(docs_words):
+            h = np.frombuffer(d, np.uint32)
             held.append((at, h))
             size += len(h)
             if size >= CHUNK_WORDS:
@@ -268,7 +295,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         return (ids, [r is not None for r in results], [len(r or ()) for r in results],
                 [q.ids[b[0]] if b else None for b in best], [b[1] if b else 0.0 for b in best])
 
-    return map_rows(rows, fn, ["id", "text"], f"id {types['id']}, contaminated boolean, n_items bigint, item_id {types['item']}, share double")
+    return map_rows(hashed, fn, ["id", "words"], f"id {types['id']}, contaminated boolean, n_items bigint, item_id {types['item']}, share double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
