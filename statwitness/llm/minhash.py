@@ -207,12 +207,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
             hubs = top_n(sized, ["bucket"], [F.col("size"), F.xxhash64("digest"), F.col("digest")], HUB_GROWTH**turn).select("bucket", "digest", "n", "sketch", "bands", "component")
         hubs = materialise(hubs)
         h = hubs.select("bucket", F.col("digest").alias("h"), F.col("n").alias("hn"), F.col("sketch").alias("hs"), F.col("bands").alias("hb"), F.col("component").alias("hc"))
-        pairs = members.join(h, "bucket").filter(
-            (F.col("component") != F.col("hc")) & (100 * F.least("n", "hn") >= threshold * F.greatest("n", "hn"))
+        # of two hubs of a band only the larger one meets the other
+        marked = members.join(hubs.select("bucket", "digest", F.lit(True).alias("is_hub")), ["bucket", "digest"], "left")
+        pairs = marked.join(h, "bucket").filter(
+            (F.col("is_hub").isNull() | (F.col("digest") > F.col("h")))
+            & (F.col("component") != F.col("hc")) & (100 * F.least("n", "hn") >= threshold * F.greatest("n", "hn"))
             & (differing("sketch", "hs") <= sketch_bound(share))
             # a pair is made in the first band that it shares, not in each
             & (F.array_position(F.zip_with("bands", "hb", lambda x, y: x == y), True) == F.col("band") + 1))
-        pairs = pairs.filter("digest <> h").select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
+        pairs = pairs.select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
         new = materialise(verify(pairs, sets))
         linked = 100 * F.col("shared") >= threshold * F.col("joined")
         verified = verified.union(new)
