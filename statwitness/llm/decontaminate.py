@@ -20,12 +20,13 @@ of equally good items the smallest id is named.
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from statwitness.llm.common import column, map_rows, materialise, word_hashes, words
+from statwitness.llm.common import column, map_rows, materialise, words
 
 BINS = 1 << 13
 RANK, EXTRA = 64, 8
@@ -40,8 +41,15 @@ CHUNK_WORDS = 1 << 14  # words of documents worked on at once
 SLICE = 1 << 14  # candidates whose words are counted at once
 
 
+def hashes_of(text: str | None) -> np.ndarray:
+    """32-bit hashes of the words of a text."""
+    ws = words(text)
+    return np.fromiter(map(zlib.crc32, ws), np.uint32, len(ws))
+
+
 def bins_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint32(BINS)).astype(np.int32)
+    """The top bits of a multiplied hash; 16-bit numbers, which sort by radix."""
+    return ((hashes * np.uint32(0x9E3779B1)) >> np.uint32(33 - BINS.bit_length())).astype(np.uint16)
 
 
 def _passages(n: int) -> np.ndarray:
@@ -53,7 +61,7 @@ def hashed_words(docs: DataFrame) -> DataFrame:
     """id and the 32-bit hashes of its words as bytes, written once for the passes that follow."""
 
     def fn(ids, texts):
-        return ids, [(word_hashes(words(t)) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
+        return ids, [hashes_of(t).tobytes() for t in texts]
 
     return materialise(map_rows(docs, fn, ["id", "text"], f"id {dict(docs.dtypes)['id']}, words binary"))
 
@@ -181,7 +189,7 @@ def judge(item: np.ndarray, doc: np.ndarray, start: int, end: int) -> float:
 
 def prepare(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, Queries]:
     embedding = (basis * idf[:, None]).astype(np.float32)
-    kept = [(i, (word_hashes(words(t)) >> np.uint64(32)).astype(np.uint32)) for i, t in items]
+    kept = [(i, hashes_of(t)) for i, t in items]
     kept = [(i, h) for i, h in kept if len(h)]
     vectors = np.zeros((len(kept), basis.shape[1]), np.float32)
     has = np.zeros((len(kept), BINS), bool)

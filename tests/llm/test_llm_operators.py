@@ -403,11 +403,10 @@ def test_decontamination_against_brute_force(spark):
         rows.append((d, " ".join(w), None, None))
     bench = spark.createDataFrame(items + [(99, None), (98, "")], "item_id bigint, text string")
     got = {r.id: r for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
-    of = lambda t: (decontaminate.word_hashes(words(t)) >> np.uint64(32)).astype(np.uint32)
-    hashed = {i: of(t) for i, t in items}
+    hashed = {i: decontaminate.hashes_of(t) for i, t in items}
     brute = set()
     for d, t, *_ in rows:  # every window against every item
-        h = of(t)
+        h = decontaminate.hashes_of(t)
         for v in hashed.values():
             if any(decontaminate.judge(v, h, s, min(s + 48, len(h))) for s in range(0, max(1, len(h) - 24), 8)):
                 brute.add(d)
