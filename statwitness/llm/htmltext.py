@@ -1,12 +1,12 @@
 """Main text of web pages by a site style tree.
 
-All pages of a host are merged into one tree of styles: a node is the path of tags and classes down to a block. A
-node's importance is measured over the pages that have it. With m pages, a text that stands on c of them has entropy
-log_m c: 0 if it is a page's own, 1 if every page repeats it; the node's importance is one less the mean entropy of
-its texts. Branches of low importance are cut from each page. So are branches whose tag, class or role says that they
-are menus, adverts, forms, comments and the like: such presentation has importance 0 by definition, since on one page, or with rotating
-adverts, entropy cannot tell. The branch of the article itself (``article``, ``main``) is never cut for being repeated:
-mirrors of an article are still articles.
+All pages of a host are merged into one tree of styles: a node is the path of tags and classes down to a block or to an
+element above it; ``<path>/`` stands for the text that an element holds itself. A node's importance is measured over the pages that have it.
+With m pages, a text that stands on c of them has entropy log_m c: 0 if it is a page's own, 1 if every page repeats it; the
+node's importance is one less the mean entropy of the texts under it. Nodes of low importance are cut from each page, inside the
+article (``article``, ``main``) as elsewhere. A node that holds most of a page's text is never cut there: mirrors of an article are still
+articles. Branches whose tag, class or role says that they are menus, adverts, forms, comments and the like have importance 0 by
+definition, since on one page, or with rotating adverts, entropy cannot tell.
 
 Pages are parsed one by one and only counts per (host, path, text hash) are shuffled, so a host of any size is spread.
 
@@ -120,18 +120,45 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
         own = _noisy(tag, attrs, main)
         if tag in ("article", "main") and not main:
             noise, main = own, not own  # whatever was left open before it
-        style = tag + "".join("." + c for c in sorted(attrs.get("class", "").lower().split()))
+        style = tag + "".join("." + c for c in sorted(attrs.get("class", "").lower().replace("/", "|").split()))
         stack.append((tag, f"{path}/{style}", noise or own, main))
     close_block()
     return out
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks that stay, in page order. If the page has an article, its blocks; otherwise all that no rule cuts."""
+def nodes_of(path: str) -> list[str]:
+    """The nodes that hold a block of this path, the outermost first; the last one is the text of the element itself."""
+    parts = path.split("/")
+    return ["/".join(parts[: i + 1]) for i in range(1, len(parts))] + [path + "/"]
+
+
+def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset(), low_importance: float = LOW_IMPORTANCE) -> str:
+    """The blocks that stay, in page order. If the page has an article, they are among its blocks. Nodes in ``low`` go, but for
+    one that holds most of the text. Where the share of text outside of further low nodes is below ``low_importance``, in such a
+    node or in the page, repetition does not tell the parts apart and all of them stay."""
     blocks = [(p, t, m) for p, t, noise, m in blocks_of(page) if not noise]
     if any(m for _, _, m in blocks):
-        return "\n\n".join(t for _, t, m in blocks if m)
-    return "\n\n".join(t for p, t, _ in blocks if p not in low)
+        blocks = [b for b in blocks if b[2]]
+    if not low:
+        return "\n\n".join(t for _, t, _ in blocks)
+    held: dict[str, int] = {}  # characters under each low node of the page
+    own: dict[str, int] = {}  # of them, those that no low node holds more closely
+    found = [[""] + [n for n in nodes_of(p) if n in low] for p, _, _ in blocks]  # the page is a node, too
+    total = sum(len(t) for _, t, _ in blocks)
+    for (_, t, _), nodes in zip(blocks, found):
+        for i, n in enumerate(nodes):
+            held[n] = held.get(n, 0) + len(t)
+            own[n] = own.get(n, 0) + len(t) * (i == len(nodes) - 1)
+
+    def stays(nodes: list[str]) -> bool:
+        for n in nodes:
+            if 2 * held[n] <= total:
+                return False
+            if own[n] < low_importance * held[n]:
+                return True
+        return True
+
+    return "\n\n".join(t for (_, t, _), nodes in zip(blocks, found) if stays(nodes))
 
 
 def host_of(url):
@@ -146,19 +173,26 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     def fn(hosts, texts):
         rows = []
         for h, t in zip(hosts, texts):
-            seen, paths = set(), set()
-            for path, text, _, _ in blocks_of(t):
-                key = (path, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                if key not in seen:
-                    seen.add(key)
-                    rows.append((h, *key, int(path not in paths)))
-                    paths.add(path)
-        return list(zip(*rows)) if rows else ([], [], [], [])
+            seen = {}
+            for path, text, noise, _ in blocks_of(t):
+                if not noise:  # noise is cut anyway
+                    seen[path + "/", xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] = None
+            rows += [(h, *key) for key in seen]
+            rows += [(h, n, None) for n in {n: None for path, _ in seen for n in nodes_of(path[:-1])}]  # the page has the node
+        return list(zip(*rows)) if rows else ([], [], [])
 
     rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("page"))
-    found = map_rows(rows, fn, ["host", "page"], "host string, path string, feature bigint, first int")
-    features = found.groupBy("host", "path", "feature").agg(F.count("*").alias("c"), F.sum("first").alias("first"))
-    nodes = features.groupBy("host", "path").agg(F.sum("first").alias("pages"), F.avg(F.ln("c")).alias("entropy"))
+    found = map_rows(rows, fn, ["host", "page"], "host string, path string, feature bigint")
+    features = found.groupBy("host", "path", "feature").agg(F.count("*").alias("c"))
+    # texts and pages of each node by itself, then texts summed over the nodes above; the pages of those are counted, not summed
+    single = features.groupBy("host", "path").agg(
+        F.sum(F.when(F.col("feature").isNull(), F.col("c"))).alias("pages"), F.count("feature").alias("texts"),
+        F.sum(F.when(F.col("feature").isNotNull(), F.ln("c"))).alias("repeated"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    under = single.filter(F.col("texts") > 0).select("host", F.explode(above).alias("path"), F.lit(None).cast("bigint").alias("pages"), "texts", "repeated")
+    nodes = under.unionByName(single.filter("pages is not null").select("host", "path", "pages", F.lit(0).cast("bigint").alias("texts"), F.lit(0.0).alias("repeated")))
+    nodes = nodes.groupBy("host", "path").agg(F.sum("pages").alias("pages"), (F.sum("repeated") / F.sum("texts")).alias("entropy"))
     return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("entropy") / F.ln("pages")).otherwise(F.lit(1.0)).alias("importance"))
 
 
@@ -175,7 +209,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     joined = salted.join(repeated, ["host", "salt"], "left").drop("host", "salt")
 
     def fn(ids, urls, texts, lows):
-        return ids, urls, [main_text(t, set(v or ())) for t, v in zip(texts, lows)]
+        return ids, urls, [main_text(t, set(v or ()), low_importance) for t, v in zip(texts, lows)]
 
     types = dict(rows.dtypes)
     return map_rows(joined, fn, ["page_id", "url", "page", "low"], f"page_id {types['page_id']}, url {types['url']}, text string")

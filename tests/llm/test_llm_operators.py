@@ -202,6 +202,23 @@ def test_style_tree_cuts_what_every_page_of_a_host_repeats(spark):
     assert htmltext.extract(mirrors.limit(0)).count() == 0
 
 
+def pages_of(spark, bodies):
+    return spark.createDataFrame([(i, "http://h.example/", b) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+
+
+def test_style_tree_also_judges_nodes_inside_the_article(spark):
+    own = [" ".join(prose(random.Random(i), 30)) for i in range(20)]
+    # every page repeats the box; what stands in it on two pages only goes with it
+    rare = ["<h4>Now</h4>" if i < 2 else "" for i in range(20)]
+    bodies = [f"<article><h1>T{i}</h1><div class=x7><p>Join our list</p><ul><li>It is free</ul>{rare[i]}</div><p>{own[i]}</p></article>" for i in range(20)]
+    got = {r.page_id: r.text for r in htmltext.extract(pages_of(spark, bodies)).collect()}
+    assert got == {i: f"T{i}\n\n{own[i]}" for i in range(20)}
+    # the article is mirrored with other adverts: all of it stays
+    mirrors = [f"<article><h2>Title</h2><p>{own[0]}</p><ul><li>{own[1]}</ul><div class=x7>{i} off</div></article>" for i in range(20)]
+    got = {r.page_id: r.text for r in htmltext.extract(pages_of(spark, mirrors)).collect()}
+    assert got == {i: f"Title\n\n{own[0]}\n\n{own[1]}\n\n{i} off" for i in range(20)}
+
+
 # ---- toxicity ----------------------------------------------------------------------------------
 
 
