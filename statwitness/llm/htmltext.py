@@ -8,10 +8,13 @@ article (``article``, ``main``) as elsewhere. A node that holds most of a page's
 articles. Branches whose tag, class or role says that they are menus, adverts, forms, comments and the like have importance 0 by
 definition, since on one page, or with rotating adverts, entropy cannot tell.
 
-Pages are parsed one by one and only counts per (host, path, text hash) are shuffled, so a host of any size is spread.
+Pages of a host with equal blocks outside of such branches count once. The fewer pages have a node, the less its entropy
+counts: a text that each of m pages repeats gives importance 1 / m.
+
+Pages are parsed one by one; hashes of their blocks and counts per (host, path, text hash) are shuffled, so a host of any size is spread.
 
 Defined results: null and empty html give empty text; unclosed and misnested tags are closed as browsers do, a tag or
-comment cut off by the end of the page is dropped; pages without a host are one host; repeated pages count as pages.
+comment cut off by the end of the page is dropped; pages without a host are one host; a repeated page gives a row each time.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from statwitness.llm.common import column, map_rows
 
 LOW_IMPORTANCE = 0.3
 SALTS = 32  # tasks that share the pages of one host
-MIN_PAGES = 5  # a node on fewer pages of a host is not judged by entropy
+DOUBT = 1.0  # a node on m different pages of a host is judged with (m - 1) / (m - 1 + DOUBT) of its entropy
 
 # --- fixed values: HTML's own vocabulary ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,18 +174,23 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     import xxhash
 
     def fn(hosts, texts):
-        rows = []
-        for h, t in zip(hosts, texts):
-            seen = {}
+        digests, paths, features = [], [], []
+        for t in texts:
+            seen, whole = {}, xxhash.xxh3_64()
             for path, text, noise, _ in blocks_of(t):
                 if not noise:  # noise is cut anyway
-                    seen[path + "/", xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] = None
-            rows += [(h, *key) for key in seen]
-            rows += [(h, n, None) for n in {n: None for path, _ in seen for n in nodes_of(path[:-1])}]  # the page has the node
-        return list(zip(*rows)) if rows else ([], [], [])
+                    digest = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    seen[path + "/", digest] = None
+                    whole.update(f"{path}\n{digest}\n".encode("utf-8", "surrogatepass"))
+            nodes = {n: None for path, _ in seen for n in nodes_of(path[:-1])}  # the page has the node
+            digests.append(whole.intdigest() - (1 << 63))
+            paths.append([p for p, _ in seen] + list(nodes))
+            features.append([f for _, f in seen] + [None] * len(nodes))
+        return hosts, digests, paths, features
 
     rows = pages.select(host_of(column(url).cast("string")).alias("host"), column(html).cast("string").alias("page"))
-    found = map_rows(rows, fn, ["host", "page"], "host string, path string, feature bigint")
+    found = map_rows(rows, fn, ["host", "page"], "host string, digest bigint, path array<string>, feature array<bigint>")
+    found = found.dropDuplicates(["host", "digest"]).select("host", F.explode(F.arrays_zip("path", "feature")).alias("x")).select("host", "x.*")
     features = found.groupBy("host", "path", "feature").agg(F.count("*").alias("c"))
     # texts and pages of each node by itself, then texts summed over the nodes above; the pages of those are counted, not summed
     single = features.groupBy("host", "path").agg(
@@ -197,9 +205,10 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-            low_importance: float = LOW_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
+            low_importance: float = LOW_IMPORTANCE, doubt: float = DOUBT) -> DataFrame:
     """page_id, url and text of every page."""
-    low = (style_tree(pages, url, html).filter((F.col("importance") < low_importance) & (F.col("pages") >= min_pages))
+    others = F.col("pages") - 1
+    low = (style_tree(pages, url, html).filter(1 - (1 - F.col("importance")) * others / (others + doubt) < low_importance)
            .groupBy("host").agg(F.collect_set("path").alias("low")))  # at most the nodes of one site's templates
     rows = pages.select(column(page_id).alias("page_id"), column(url).alias("url"), column(html).cast("string").alias("page"),
                         host_of(column(url).cast("string")).alias("host"))

@@ -219,6 +219,23 @@ def test_style_tree_also_judges_nodes_inside_the_article(spark):
     assert got == {i: f"Title\n\n{own[0]}\n\n{own[1]}\n\n{i} off" for i in range(20)}
 
 
+def test_style_tree_counts_equal_pages_once_and_trusts_few_pages_less(spark):
+    def body(i):
+        text = " ".join(prose(random.Random(i), 20))
+        return f"<div class=t><h2>T{i}</h2></div><div class=b><p>{text}</p></div>"
+
+    # mirrors of one page, without and with adverts that differ; groups of copies among other pages
+    for bodies in ([body(0)] * 9, [body(0) + f"<div class=x7>{i} off</div>" for i in range(9)], [body(i) for i in range(40) for _ in range(6)]):
+        got = htmltext.extract(pages_of(spark, bodies)).collect()
+        assert all(r.text == htmltext.main_text(bodies[r.page_id]) for r in got)
+    few = {r.path: r for r in htmltext.style_tree(pages_of(spark, [body(0)] * 5 + [body(1)])).collect()}
+    assert few["/div.b"].pages == 2 and few["/div.b/p"].importance == 1.0
+    # the same menu goes on a host of four pages as on one of twenty
+    for n in (4, 5, 20):
+        got = htmltext.extract(pages_of(spark, ["<div class=m>Home</div>" + body(i) for i in range(n)])).collect()
+        assert all("Home" not in r.text and r.text.startswith("T") for r in got)
+
+
 # ---- toxicity ----------------------------------------------------------------------------------
 
 
