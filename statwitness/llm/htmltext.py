@@ -5,8 +5,9 @@ element above it; ``<path>/`` stands for the text that an element holds itself.
 With m pages, a text that stands on c of them has entropy log_m c: 0 if it is a page's own, 1 if every page repeats it; the
 node's importance is one less the mean entropy of the texts under it. Nodes of low importance are cut from each page, inside the
 article (``article``, ``main``) as elsewhere. A node that holds most of a page's text is never cut there: mirrors of an article are still
-articles. Branches whose tag, class or role says that they are menus, adverts, forms, comments and the like have importance 0 by
-definition, since on one page, or with rotating adverts, entropy cannot tell.
+articles. Branches whose tag or role, or a whole name among class and id, says that they are menus, adverts, forms, comments and the like have
+importance 0 by definition, since on one page, or with rotating adverts, entropy cannot tell. A name never makes noise of an article, a
+heading, the body, or an element that holds most of the page's text.
 
 Pages of a host with equal blocks outside of such branches count once. The fewer pages have a node, the less its entropy
 counts: a text that each of m pages repeats gives importance 1 / m.
@@ -32,7 +33,7 @@ DOUBT = 1.0  # a node on m different pages of a host is judged with (m - 1) / (m
 
 # --- fixed values: HTML's own vocabulary ---
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg math iframe object textarea title select".split())
+RAW = frozenset("script style template noscript svg iframe object textarea title select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -43,12 +44,19 @@ NOISE_WORDS = frozenset(
     "discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay paywall popup promo "
     "promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
     "toolbar topbar widget".split())
+# words that a name can hold besides: what is left of it still names a part of the layout
+LAYOUT_WORDS = frozenset(
+    "area bar block bottom box btn button buttons center container form global group icons inner item items left link links list main outer page panel "
+    "posts primary right row secondary section site slot small top unit wrap wrapper x zone".split())
+TALK = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+CONTENT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # no name makes them noise
 CELLS = frozenset(("td", "th", "br", "option", "img", "input"))
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[a-z]+")
+_SVG = re.compile(r"<(/?)svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|\Z", re.I)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -56,17 +64,44 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _noisy(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not in_main) or attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
-    names = set(_NAME.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-    return bool(names & NOISE_WORDS) or ("header" in names and not in_main)
+    """Whether tag or role say that an element is noise."""
+    return tag in NOISE_TAGS or (tag == "header" and not in_main) or attrs.get("role", "").lower() in NOISE_ROLES
+
+
+def _named_noise(tag: str, attrs: dict[str, str], in_main: bool) -> int:
+    """Whether a whole class or id names noise: each of its words does or is a word of layouts. 2 if it names readers' comments."""
+    if tag in CONTENT_TAGS:
+        return 0
+    found = 0
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
+        ws = set(_NAME.findall(name))
+        noise = {w for w in ws if w in NOISE_WORDS or (w == "header" and not in_main)}
+        if noise and ws - noise <= LAYOUT_WORDS:
+            found = max(found, 2 if noise & TALK else 1)
+    return found
+
+
+def _svg_end(page: str, at: int) -> int | None:
+    """Where an svg opened before ``at`` ends: at its own end tag or, if nesting is broken, at the first one. None if there is none."""
+    depth, here, first = 1, at, None
+    while depth:
+        m = _SVG.search(page, here)
+        if not m[0]:
+            return first
+        here = m.end()
+        if m[1]:
+            depth, first = depth - 1, first or here
+        else:
+            depth += not m[0].endswith("/>")
+    return here
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
     """The text blocks of a page in order: path, text, inside noise, inside the article."""
-    out: list[tuple[str, str, bool, bool]] = []
-    # open elements: tag, path, noise, main
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    out: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+    # open elements: tag, path, noise, main, elements around it and itself that a name calls noise
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+    named: list[int] = []  # what _named_noise says of each such element
     held: list[str] = []
     page = page or ""
 
@@ -76,8 +111,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             held.clear()
             if text:
                 # the path goes down to the block, not to the inline tags in it
-                _, path, noise, main = next((f for f in reversed(stack) if f[0] in BLOCKS), stack[0])
-                out.append((path, text, noise, main))
+                _, path, noise, main, names = next((f for f in reversed(stack) if f[0] in BLOCKS), stack[0])
+                out.append((path, text, noise, main, names))
 
     def pop_to(tag: str) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -86,7 +121,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
                 return True
         return False
 
-    at, skip = 0, None
+    at, svg_ends = 0, True
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -106,6 +141,11 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
             continue
         if tag in CELLS:
             held.append(" ")
+        if tag == "svg":
+            if svg_ends and not raw.rstrip().endswith("/"):
+                end = _svg_end(page, at)
+                at, svg_ends = end or at, end is not None  # one without an end tag holds nothing
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = end.end()
@@ -119,14 +159,27 @@ def blocks_of(page: str | None) -> list[tuple[str, str, bool, bool]]:
         if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         attrs = _attributes(raw)
-        _, path, noise, main = stack[-1]
+        _, path, noise, main, names = stack[-1]
         own = _noisy(tag, attrs, main)
+        by_name = _named_noise(tag, attrs, main)
+        if by_name:
+            names = (*names, len(named))
+            named.append(by_name)
         if tag in ("article", "main") and not main:
-            noise, main = own, not own  # whatever was left open before it
+            # whatever was left open before it, but for readers' comments
+            names = tuple(n for n in names if named[n] == 2)
+            noise, main = own, not own and not names
         style = tag + "".join("." + c for c in sorted(attrs.get("class", "").lower().replace("/", "|").split()))
-        stack.append((tag, f"{path}/{style}", noise or own, main))
+        stack.append((tag, f"{path}/{style}", noise or own, main, names))
     close_block()
-    return out
+    # a name does not outweigh that the element holds most of the text; readers' comments only stay where there is nothing else
+    total = sum(len(text) for _, text, noise, _, _ in out if not noise)
+    held = [0] * len(named)
+    for _, text, noise, _, names in out:
+        for n in names:
+            held[n] += len(text) * (not noise)
+    holds = [n == total if kind == 2 else 2 * n > total for n, kind in zip(held, named)]
+    return [(path, text, noise or not all(holds[n] for n in names), main) for path, text, noise, main, names in out]
 
 
 def nodes_of(path: str) -> list[str]:

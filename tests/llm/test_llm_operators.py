@@ -188,6 +188,17 @@ def test_page_text_cases():
     assert t("<div>1 < 2</div><p class='x' title=\"a>b\">y") == "1 < 2\n\ny"
 
 
+def test_page_text_is_not_lost_to_words_in_names_or_to_empty_svg():
+    t = htmltext.main_text
+    assert t("<p>One two three</p><h2 id='related-work'>Related</h2><section id=search-methods><p>We search</p></section>") == "One two three\n\nRelated\n\nWe search"
+    assert t("<body class=has-sidebar><p>Text</p><div class=sidebar>Side</div></body>") == t("<body class=sidebar><p>Text</p></body>") == "Text"
+    assert t("<article class='post comments-open widget'><p>Text</p></article>") == "Text"
+    assert t("<div class='widget'><p>The whole of a page</p></div><p>End</p>") == "The whole of a page\n\nEnd"
+    assert t("<p>Long enough to be most</p><div class='sidebar-widget-2'>a</div><div id=share_bar>b</div><div class=site-header>c</div>") == "Long enough to be most"
+    assert t("<p>Short</p><div class=comments><article>A far longer comment than the text</article></div>") == "Short"
+    assert t("<p>a <svg class='x' /> b <svg viewBox='0 > 1'><title>t</title><svg/></svg> c <svg> d <math><mi>x</mi><mo>=</mo><mn>1</mn></math> e <math/> f") == "a b c d x=1 e f"
+
+
 def test_style_tree_cuts_what_every_page_of_a_host_repeats(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=top>Same line</div><div class=body><p>own text {i}</p></div><div class=end>End</div>") for i in range(20)]
     rows += [(100, "http://other.example/", rows[0][2]), (101, None, None), (102, "http://h.example/x", "")]
