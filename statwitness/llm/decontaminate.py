@@ -8,8 +8,11 @@ computed over the whole corpus: one pass counts document frequencies, one pass s
 
 Benchmark items are the stated queries. Their latent vectors are broadcast (their text is checked against
 ``MAX_QUERY_WORDS``), and every window of every document is compared with them by cosine in blocks. Windows have the two sizes of
-``WINDOWS`` and overlap, so each item lies well inside one. A candidate (window, item) must be
-able to hold enough of the item's words at all, which is checked on counts, and is then decided by the longest
+``WINDOWS`` and overlap. A cosine in few dimensions has an error, and a lower share, a short or a long item can
+fall under any cut, so the search is completed by a look-up of rare words that misses nothing: a match needs a certain number
+of an item's words, so of its rarest words some must be in the text read around the window, and all windows where they are become
+candidates (``complete``). A candidate (window, item) of the cosine search must be
+able to hold enough of the item's words at all, which is checked on counts. Candidates are then decided by the longest
 common subsequence of words around the window: a share of ``LCS_SHARE`` of the item is contamination; so is a
 lower share of ``PARAPHRASE_SHARE`` if the item's answer, its last quarter, is found nearly whole (``ANSWER_SHARE``).
 
@@ -156,6 +159,8 @@ class Queries(NamedTuple):
     tier: np.ndarray  # which window size
     vectors: np.ndarray  # unit latent vectors
     has: np.ndarray  # item x bin: whether the bin occurs in the item
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted distinct hashes of rare words, where each one's items begin, the items
+    least: np.ndarray  # how many of an item's rare words a match holds at least
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -198,7 +203,39 @@ def prepare(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> tuple[np.
         vectors[r] = v / (np.linalg.norm(v) + 1e-12)
         has[r, bins_of(h)] = True
     tier = np.array([next((k for k, (w, _) in enumerate(WINDOWS) if 3 * w >= 2 * len(h)), len(WINDOWS) - 1) for _, h in kept], np.int64)
-    return embedding, Queries([i for i, _ in kept], [h for _, h in kept], tier, vectors, has)
+    hashes = [h for _, h in kept]
+    rare, least = rare_words(hashes, tier, idf)
+    return embedding, Queries([i for i, _ in kept], hashes, tier, vectors, has, rare, least)
+
+
+def needed(n: int) -> int:
+    """The fewest words of an item of n that ``judge`` can accept."""
+    return next(m for m in range(1, n + 1) if m / n >= min(LCS_SHARE, PARAPHRASE_SHARE))
+
+
+def reach(n: int, size: int) -> int:
+    """No window of a size reads more words around it than this, see ``judge``."""
+    return size + 2 * max(n, 8)
+
+
+def rare_words(hashes: list[np.ndarray], tier: np.ndarray, idf: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Of n words of which a match holds m, all but m - t hold at least t of the match, whichever they are. For each item
+    the rarest ones are taken, with the t that other text reaches least often."""
+    share = np.where(idf > 0, np.exp(-idf), 1.0)  # of passages with the word
+    pairs, least = [], np.ones(len(hashes), np.int64)
+    for r, h in enumerate(hashes):
+        n, m = len(h), needed(len(h))
+        order = np.lexsort((h, share[bins_of(h)]))
+        new = np.zeros(n, bool)
+        new[np.unique(h[order], return_index=True)[1]] = True
+        expected = np.cumsum(share[bins_of(h)][order] * new) * reach(n, WINDOWS[tier[r]][0]) / PASSAGE + 1e-9
+        t = np.arange(1, m + 1)
+        lam = expected[n - m + t - 1]
+        least[r] = t[np.argmax(np.where(t > lam, t * np.log(t / lam) - t + lam, 0.0))]  # Chernoff's bound of a Poisson tail
+        pairs += [(x, r) for x in np.unique(h[order[: n - m + least[r]]]).tolist()]
+    table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    vocabulary, first = np.unique(table[:, 0], return_index=True)
+    return (vocabulary.astype(np.uint32), np.append(first, len(table)), table[:, 1]), least
 
 
 def windows(blocks: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,6 +288,50 @@ def search(hashes: list[np.ndarray], embedding: np.ndarray, q: Queries, cosine:
     return out
 
 
+def complete(hashes: list[np.ndarray], q: Queries) -> list[tuple[int, int, int, int]]:
+    """Candidates (document, item, start, end): of windows of the item's size that begin at blocks, all that ``judge`` could accept."""
+    out: list[tuple[int, int, int, int]] = []
+    vocabulary, first, items = q.rare
+    lengths = np.array([len(h) for h in hashes])
+    if not len(vocabulary) or not lengths.sum():
+        return out
+    every = np.concatenate(hashes)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.minimum(np.searchsorted(vocabulary, every), len(vocabulary) - 1)
+    hit = np.nonzero(vocabulary[at] == every)[0]
+    count = first[at[hit] + 1] - first[at[hit]]
+    place = np.repeat(hit, count)
+    item = items[np.arange(count.sum()) + np.repeat(first[at[hit]] - np.cumsum(count) + count, count)]
+    order = np.lexsort((place, item))
+    place, item = place[order], item[order]
+    doc = np.searchsorted(offsets, place, side="right") - 1
+    sizes = np.array([w for w, _ in WINDOWS])[q.tier]
+    reaches = np.array([reach(len(h), w) for h, w in zip(q.hashes, sizes)])
+    last = np.arange(len(place)) + q.least[item] - 1
+    inside = last < len(place)
+    last = np.minimum(last, len(place) - 1)
+    ok = inside & (item[last] == item) & (doc[last] == doc) & (place[last] - place < reaches[item])
+    regions: list[list[int]] = []  # document, item, first and last start of windows; those that overlap joined
+    for d, i, a, b in zip(doc[ok].tolist(), item[ok].tolist(), (place - offsets[doc])[ok].tolist(), (place[last] - offsets[doc])[ok].tolist()):
+        margin, size = max(len(q.hashes[i]), 8), int(sizes[i])
+        low = max(0, -(-(b - size - margin + 1) // STEP) * STEP)
+        high = min(a + margin, max(0, int(lengths[d]) - size // 2 - 1)) // STEP * STEP
+        if regions and regions[-1][:2] == [d, i] and low <= regions[-1][3] + STEP:
+            regions[-1][3] = max(regions[-1][3], high)
+        elif low <= high:
+            regions.append([d, i, low, high])
+    for d, i, low, high in regions:
+        n, size = len(q.hashes[i]), int(sizes[i])
+        # pieces of a few windows: what the text around all of them cannot hold, none of them holds
+        span = max(n // STEP, 8) * STEP
+        for start in range(low, high + 1, span):
+            stop = min(start + span - STEP, high)
+            area = hashes[d][max(0, start - max(n, 8)) : stop + size + max(n, 8)]
+            if lcs_length(q.hashes[i], area) >= needed(n):
+                out += [(d, i, x, min(x + size, int(lengths[d]))) for x in range(start, stop + 1, STEP)]
+    return out
+
+
 def best_item(candidates: list[tuple[int, int, int, int]], hashes: list[np.ndarray], q: Queries) -> dict[int, dict[int, float]]:
     """For each document the contaminating items and their shares."""
     found: dict[int, dict[int, float]] = {}
@@ -286,7 +367,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
         def work():
             hashes = [h for _, h in held]
-            for d, per_item in best_item(search(hashes, embedding, q, cosine), hashes, q).items():
+            for d, per_item in best_item(search(hashes, embedding, q, cosine) + complete(hashes, q), hashes, q).items():
                 results[held[d][0]] = per_item
             held.clear()
 

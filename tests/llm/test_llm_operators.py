@@ -462,6 +462,35 @@ def test_decontamination_against_brute_force(spark):
     assert clean.columns == docs(spark, rows).columns and {r.doc_id for r in clean.select("doc_id").collect()} == set(got) - found
 
 
+def test_decontamination_finds_all_that_the_judgement_accepts(spark):
+    rng = random.Random(21)
+    lengths = [3, 4, 4, 8, 14, 14, 20, 30, 45, 59, 70, 90, 150, 600]
+    items = [(i, prose(rng, n)) for i, n in enumerate(lengths)]
+    rows = []
+    for d in range(280):
+        item = list(items[d % 14][1])
+        n = len(item)
+        if d % 2 and n >= 14:  # a little over half of the words, with the answer
+            kept = n - n // 4
+            gone = set(rng.sample(range(kept), int(n * 0.45)))
+            item = [f"p{rng.randrange(4000)}" if i in gone and rng.random() < 0.5 else x for i, x in enumerate(item) if i not in gone or rng.random() < 0.5]
+        w = prose(rng, rng.randrange(60, 200))
+        at = rng.randrange(len(w))
+        rows.append((d, " ".join(w[:at] + item + w[at:]), None, None))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {r.id for r in decontaminate.contaminated(docs(spark, rows), bench).filter("contaminated").collect()}
+    brute = set()
+    for d, t, *_ in rows:
+        h = decontaminate.hashes_of(t)
+        for _, w in items:
+            v = decontaminate.hashes_of(" ".join(w))
+            size = 24 if len(v) <= 36 else 48
+            if any(decontaminate.judge(v, h, s, min(s + size, len(h))) for s in range(0, max(1, len(h) - size // 2), 8)):
+                brute.add(d)
+                break
+    assert len(brute) > 250 and brute <= got
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id bigint, text string")
     assert decontaminate.contaminated(docs(spark, ODD), bench).filter("not contaminated").count() == len(ODD)
