@@ -25,6 +25,23 @@ def text_column(name: str) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
 
 
+def row_keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, text of every row, where id tells rows of different texts apart though they share their id or have none. It is
+    ordered as the ids are, those that are null last."""
+    return docs.select(F.struct(column(doc_id).isNull().alias("missing"), column(doc_id).alias("id"), _text_digest(text).alias("digest")).alias("id"),
+                       column(text).cast("string").alias("text"))
+
+
+def _text_digest(text: str) -> Column:
+    return F.unhex(F.md5(column(text).cast("string")))
+
+
+def without(docs: DataFrame, gone: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row_keys`` id is not among the column ``id`` of ``gone``, with all their columns."""
+    gone = gone.select(F.col("id.id").alias("gone_id"), F.col("id.digest").alias("gone_digest")).distinct()
+    return docs.join(gone, column(doc_id).eqNullSafe(F.col("gone_id")) & _text_digest(text).eqNullSafe(F.col("gone_digest")), "left_anti")
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at the six ASCII white-space characters."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -92,4 +109,4 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
-__all__ = ["LOWER", "NON_SPACE", "SPACE", "column", "map_rows", "materialise", "mix64", "shingle_set", "text_column", "word_hashes", "words"]
+__all__ = ["LOWER", "NON_SPACE", "SPACE", "column", "map_rows", "materialise", "mix64", "row_keys", "shingle_set", "text_column", "without", "word_hashes", "words"]

@@ -29,7 +29,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from statwitness.llm.common import column, map_rows, materialise, words
+from statwitness.llm.common import column, map_rows, materialise, row_keys, without, words
 
 BINS = 1 << 13
 RANK, EXTRA = 64, 8
@@ -387,8 +387,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     return map_rows(hashed, fn, ["id", "words"], f"id {types['id']}, contaminated boolean, n_items bigint, item_id {types['item']}, share double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    doc_id = options.get("doc_id", "doc_id")
-    gone = contaminated(docs, benchmark, **options).filter("contaminated").select(F.col("id").alias("contaminated_id")).distinct()
-    return docs.join(gone, column(doc_id).eqNullSafe(F.col("contaminated_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns. Each row is judged by its own text, also where
+    ids are null or repeated."""
+    found = contaminated(row_keys(docs, text, doc_id), benchmark, text="text", doc_id="id", **options)
+    return without(docs, found.filter("contaminated"), text, doc_id)

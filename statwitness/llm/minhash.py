@@ -27,7 +27,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from statwitness.llm.common import column, map_rows, materialise, mix64, shingle_set
+from statwitness.llm.common import column, map_rows, materialise, mix64, row_keys, shingle_set, without
 from statwitness.operators.ordered import top_n
 
 ROWS = 7  # signature values in a band
@@ -241,6 +241,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = near_duplicates(docs, k, threshold, text, doc_id).documents.filter(~F.col("kept")).select(F.col("id").alias("near_duplicate_id")).distinct()
-    return docs.join(gone, column(doc_id) == F.col("near_duplicate_id"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns. Rows are one document where both id and text are the same."""
+    found = near_duplicates(row_keys(docs, text, doc_id), k, threshold, "text", "id").documents
+    return without(docs, found.filter(~F.col("kept")), text, doc_id)

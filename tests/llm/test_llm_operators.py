@@ -498,6 +498,22 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contaminated(docs(spark, ODD), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_stages_decide_for_each_row_where_ids_are_null_or_repeated(spark):
+    rng = random.Random(31)
+    texts = [" ".join(prose(rng, 60)) for _ in range(8)]
+    item = " ".join(prose(rng, 30))
+    rows = [(None, texts[0]), (None, f"{texts[1]} {item}"), (None, texts[2]), (1, texts[3]), (1, f"{item} {texts[4]}"), (2, texts[5]), (None, None), (1, None)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    table = lambda rows: docs(spark, [(d, t, None, None) for d, t in rows])
+    stay = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(table(rows), bench).select("doc_id", "text").collect()]
+    assert sorted(stay, key=str) == sorted([r for r in rows if item not in (r[1] or "")], key=str)
+    # a near copy without id goes, one document of a group without ids stays, and so does a text that shares its id with a copy
+    near = [(5, texts[0]), (None, texts[0] + " end"), (None, texts[1]), (None, texts[1] + " end"), (None, texts[2]), (7, texts[0] + " so"), (7, texts[6]), (None, None)]
+    got = minhash.drop_near_duplicates(table(near)).select("doc_id", "text").collect()
+    assert sorted([(r.doc_id, (r.text or "")[:20]) for r in got], key=str) == sorted(
+        [(5, texts[0][:20]), (None, texts[1][:20]), (None, texts[2][:20]), (7, texts[6][:20]), (None, "")], key=str)
+
+
 def test_shingle_sets():
     a = shingle_set("A b c d", 3)
     assert len(a) == 2 and (a == shingle_set("a  B\nC d", 3)).all() and len(shingle_set("x", 3)) == 1 and len(shingle_set(None, 3)) == 0
