@@ -38,11 +38,12 @@ KINDS = BASE_KINDS + tuple(c[0] for c in CLASSES)
 # --- allow-list: identifiers and placeholders that are no secrets ---
 ALLOW = (
     re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.IGNORECASE),  # UUID
-    re.compile(r"example|sample|dummy|placeholder|changeme|lorem|test", re.IGNORECASE),
     re.compile(r"^(?:[a-z]+|[A-Z][a-z]+|[A-Z]+)(?:[-_/](?:[a-z]+|[A-Z][a-z]+|[A-Z]+))*[-_/]?$"),  # words joined by separators
     re.compile(r"^[0-9]+$"),
     re.compile(r"^(.{1,4})\1+.{0,3}$"),  # a short pattern repeated
 )
+# a span that holds one of these as a whole word is no secret; neither parts of words nor words outside the span count
+PLACEHOLDER = re.compile(r"(?<![A-Za-z0-9])(?:example|sample|dummy|placeholder|changeme|lorem|test)(?![A-Za-z0-9])", re.IGNORECASE)
 
 
 def high_windows(s: str, width: int, bits: float) -> list[tuple[int, int]]:
@@ -92,11 +93,12 @@ def entropy_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int
     for m in CANDIDATE.finditer(text):
         if allowed(m[0]):
             continue
+        words = [w.span() for w in PLACEHOLDER.finditer(text, m.start(), m.end())]
         for kind, members, width, bits in CLASSES:
             for run in members.finditer(m[0]):
                 for s, e in high_windows(run[0], width, bits):
                     s, e = s + m.start() + run.start(), e + m.start() + run.start()
-                    if allowed(text[s:e]) or any(a <= s and e <= b for a, b in taken):
+                    if allowed(text[s:e]) or any(s <= a and b <= e for a, b in words) or any(a <= s and e <= b for a, b in taken):
                         continue
                     taken.append((s, e))
                     out.append((s, kind, e))

@@ -114,6 +114,15 @@ def test_secret_spans(spark):
     assert secretscan.redact("abcdef", [(1, 3), (2, 4)]) == "a[SECRET]ef"
 
 
+def test_placeholder_words_only_suppress_spans_that_hold_them_whole():
+    key = "Zx8fQ2mLr7TvK9wBn4JdYc3H"
+    for text in (f"/latest/{key}", f"contest_token-{key}", f"{key}TesT{key[::-1]}", f"test/of/this/long/path/to/{key}", f"example_{key}"):
+        spans = secretscan.scan(text)[1]
+        assert any(text.find(key) >= s - 24 and s < text.find(key) + 24 <= e for s, _, e in spans), text
+    for text in ("Zx8f-Q2mL-test-r7Tv-K9wB-n4Jd", "EXAMPLE/aB3dE5gH/iJ7kL9mN"):
+        assert secretscan.scan(text) == ([], []), text
+
+
 # ---- near duplicates ---------------------------------------------------------------------------
 
 
