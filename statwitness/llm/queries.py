@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statwitness.llm.common import materialise
-from statwitness.llm import chat, decontaminate, exact, htmltext, langid, minhash, mixing, secretscan, tokens, toxicity
+from statwitness.llm import chat, decontaminate, exact, htmltext, langid, minhash, mixing, resample, secretscan, tokens, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_secrets, op3_near_duplicates, op4_main_text, op5_toxicity, op6_chat, op7_language,
-                            op8_exact_duplicates, op9_tokens, op10_decontaminate)}
+                            op8_exact_duplicates, op9_tokens, op10_decontaminate, op11_resample, op12_variants)}
 
-SQL: dict[str, str] = {"op1_mix": mixing.SQL, "op8_exact_duplicates": exact.SQL}
+SQL: dict[str, str] = {"op1_mix": mixing.SQL, "op8_exact_duplicates": exact.SQL, "op11_resample": resample.SQL, "op12_variants": variants.SQL}
