@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statwitness.llm.common import materialise
-from statwitness.llm import chat, decontaminate, exact, htmltext, langid, minhash, mixing, resample, secretscan, tokens, toxicity, variants
+from statwitness.llm import chat, decontaminate, exact, htmltext, langid, minhash, mixing, mixlm, resample, secretscan, tokens, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +89,17 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = mixlm.base_parts(F.col("doc_id"), 10)
+    learned = mixlm.learn(docs, F.when(rest == 0, 0).when(rest == 9, 2).otherwise(1))
+    scored = mixlm.score(docs, learned)
+    return scored.select(F.col("id").alias("doc_id"), (mixlm.base_parts(F.col("id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(learned.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_secrets, op3_near_duplicates, op4_main_text, op5_toxicity, op6_chat, op7_language,
-                            op8_exact_duplicates, op9_tokens, op10_decontaminate, op11_resample, op12_variants)}
+                            op8_exact_duplicates, op9_tokens, op10_decontaminate, op11_resample, op12_variants, op13_lm_scores)}
 
 SQL: dict[str, str] = {"op1_mix": mixing.SQL, "op8_exact_duplicates": exact.SQL, "op11_resample": resample.SQL, "op12_variants": variants.SQL}

@@ -28,8 +28,8 @@ def test_sql(spark, con, name):
     assert compare(spark, con, SF, name, QUERIES[name], SQL[name]) == []
 
 
-def test_ten_queries_and_columns(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries(spark):
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_classifiers_on_held_out_rows(spark, con):
