@@ -15,6 +15,9 @@ from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.functions.rows import explode_computed
 from statwitness.operators.ordered import top_n
+from statwitness.session import materialise
+
+TABLE_SALTS = 64  # parts of a table's rows that meet its specs' column sets apart from each other
 
 # ---- finding metrics, filter values and the breakdown -----------------------------------------
 
@@ -105,10 +108,13 @@ def melt(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame
 
 def pivot_first(long: DataFrame, index: Sequence[str], column: str, values: Sequence[str],
                 order: Sequence[str]) -> DataFrame:
-    """Long to wide: the first non-null value per cell, by ``order``; all-null rows are dropped."""
+    """Long to wide: the first non-null value per cell, by ``order``; all-null rows and columns are dropped.
+
+    Which columns have a value is only known from the result, so it is written once."""
     first = F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(*order)))
-    wide = long.groupBy(*index).pivot(column, list(values)).agg(first)
-    return wide.filter(F.coalesce(*[F.col(f"`{v}`") for v in values]).isNotNull())
+    wide = materialise(long.groupBy(*index).pivot(column, list(values)).agg(first).filter(F.coalesce(*[F.col(f"`{v}`") for v in values]).isNotNull()))
+    held = wide.agg(*[F.count(F.col(f"`{v}`")).alias(f"c{i}") for i, v in enumerate(values)]).first()
+    return wide.select(*index, *[F.col(f"`{v}`") for v, n in zip(values, held) if n])
 
 
 def pivot_hierarchical(long: DataFrame, index: Sequence[str], major: str, minor: str,
@@ -234,42 +240,49 @@ def build_specs(headlines: DataFrame, metrics: DataFrame, breakdowns: DataFrame,
                 aggregates: DataFrame) -> DataFrame:
     """One spec per headline; ``error`` says why there is none.
 
-    aggregates(table_id, column_name, aggregate_value): scope filter per filter column.
+    breakdowns as ``choose_breakdown`` gives them (column_name, values), or with several levels (``hierarchy.choose_breakdowns``: columns,
+    keys, implied); aggregates(table_id, column_name, aggregate_value): scope filter per filter column. Columns of the breakdown,
+    and those whose value it implies, are no scope.
     """
+    if "keys" not in breakdowns.columns:
+        breakdowns = breakdowns.withColumns({
+            "columns": F.array("column_name"), "keys": F.transform("values", lambda v: F.array(v)), "implied": F.array().cast("array<string>")})
     scope = aggregates.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct("column_name", "aggregate_value"))).alias("all_scope"))
     wanted = metrics.groupBy("headline_id", "table_id").agg(F.array_sort(F.collect_set("metric")).alias("metrics"))
     out = (
         headlines.join(wanted, ["headline_id", "table_id"], "left")
-        .join(breakdowns.select("headline_id", "table_id", F.col("column_name").alias("breakdown"), "values"),
-              ["headline_id", "table_id"], "left")
+        .join(breakdowns.select("headline_id", "table_id", "columns", "keys", "implied"), ["headline_id", "table_id"], "left")
         .join(scope, "table_id", "left")
     )
-    fixed = F.filter(F.coalesce("all_scope", F.array()), lambda s: s["column_name"] != F.col("breakdown"))
-    return out.withColumn("scope", fixed).drop("all_scope").withColumn(
+    fixed = F.filter(F.coalesce("all_scope", F.array()), lambda s: ~F.array_contains(F.concat("columns", "implied"), s["column_name"]))
+    return out.withColumn("scope", fixed).drop("all_scope", "implied").withColumn(
         "error",
         F.when(F.col("metrics").isNull(), "No metric found")
-        .when(F.col("breakdown").isNull(), "No breakdown found"))
+        .when(F.col("columns").isNull(), "No breakdown found"))
 
 
 def extract_tables(specs: DataFrame, data: DataFrame, labels: DataFrame, time_column: str) -> DataFrame:
-    """Run every spec over its table: one output row per (headline, metric, time).
+    """Run every spec over its table: one output row per (headline, metric, time); a cell's name is its breakdown value, or
+    ``major / minor`` for a breakdown of two levels.
 
     data(table_id, row_no, values MAP): rows of all tables. Equal specs are computed once. A spec is
-    turned into the exact key values its rows must have, so data rows meet specs by equality only.
+    turned into the exact key values its rows must have, so data rows meet specs by equality only. A data row
+    gets one key per set of columns that specs of its table use; the sets are few per table and reach all rows of it, so
+    they are sent along with each salt of the table's rows instead of drawing the table into one task.
     """
     good = specs.filter(F.col("error").isNull()).withColumn(
-        "spec_id", F.sha2(F.to_json(F.struct("table_id", "metrics", "breakdown", "values", "scope")), 256))
-    distinct = good.select("spec_id", "table_id", "metrics", "breakdown", "values", "scope").dropDuplicates(["spec_id"])
-    columns = F.concat(F.transform("scope", lambda s: s["column_name"]), F.array("breakdown"))
+        "spec_id", F.sha2(F.to_json(F.struct("table_id", "metrics", "columns", "keys", "scope")), 256))
+    distinct = good.select("spec_id", "table_id", "metrics", "columns", "keys", "scope").dropDuplicates(["spec_id"])
+    used = F.concat(F.transform("scope", lambda s: s["column_name"]), F.col("columns"))
     fixed = F.transform("scope", lambda s: s["aggregate_value"])
-    keyed = distinct.select(
-        "spec_id", "table_id", "metrics", "breakdown", columns.alias("columns"), fixed.alias("fixed"),
-        F.explode("values").alias("breakdown_value"),
-    ).withColumn("key", F.concat("fixed", F.array("breakdown_value")))
-    signatures = keyed.groupBy("table_id").agg(F.collect_set("columns").alias("signatures"))
+    keyed = distinct.select("spec_id", "table_id", "metrics", used.alias("columns"), fixed.alias("fixed"), F.explode("keys").alias("breakdown")).select(
+        "spec_id", "table_id", "metrics", "columns", F.concat("fixed", "breakdown").alias("key"), F.array_join("breakdown", " / ").alias("breakdown_value"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(TABLE_SALTS - 1))).alias("salt")
+    signatures = keyed.groupBy("table_id").agg(F.collect_set("columns").alias("signatures")).select("table_id", "signatures", salts)
+    salted = data.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(TABLE_SALTS)).cast("int"))
     rows = (
-        data.join(signatures, "table_id").select("table_id", "row_no", "values", F.explode("signatures").alias("columns"))
+        salted.join(signatures, ["table_id", "salt"]).select("table_id", "row_no", "values", F.explode("signatures").alias("columns"))
         .withColumn("key", F.transform("columns", lambda c: F.col("values")[c]))
     )
     matched = rows.join(keyed, ["table_id", "columns", "key"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["profile_queries", "extract_queries", "structure_queries", "mapping_queries", "verify_queries", "dimension_queries", "retrieve_queries", "feedback_queries"]
+_MODULES = ["profile_queries", "extract_queries", "hierarchy_queries", "structure_queries", "mapping_queries", "verify_queries", "dimension_queries", "retrieve_queries", "feedback_queries"]
 
 
 def all_queries():
