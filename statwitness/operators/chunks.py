@@ -199,15 +199,19 @@ def metadata_chunk() -> Column:
         F.lit("\n\nGenerated Code Summary:\n- DataFrame filtering: "), filters, F.lit("\n- Column projection: "), columns)
 
 
+def typed_chunks() -> Column:
+    """The three views of an extraction as an array of (type, text)."""
+    return F.array(*[
+        F.struct(F.lit(kind).alias("type"), text.alias("text"))
+        for kind, text in [("semantic", semantic_chunk()), ("table", table_chunk()), ("metadata", metadata_chunk())]])
+
+
 def explode_chunks(extractions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Exactly three typed chunks per extraction. The chunk id is the extraction's id and the chunk's
     position, so it needs no global numbering."""
-    kinds = F.array(*[
-        F.struct(F.lit(kind).alias("type"), text.alias("text"))
-        for kind, text in [("semantic", semantic_chunk()), ("table", table_chunk()), ("metadata", metadata_chunk())]])
     rows = extractions.select(
         *(keep or []), "extraction_id", F.col("headline_text").alias("headline"), F.col("headline_page").alias("page"),
-        F.posexplode(kinds).alias("pos", "c"))
+        F.posexplode(typed_chunks()).alias("pos", "c"))
     return rows.select(
         *(keep or []), F.concat_ws(":", "extraction_id", "pos").alias("chunk_id"), F.col("c.type").alias("type"),
         F.col("c.text").alias("text"), "extraction_id", "headline", "page")

@@ -8,8 +8,8 @@ from statwitness.operators import feedback as O, style as Y
 from statwitness.plans.registry import query
 from statwitness.plans.retrieve_queries import EXT
 from statwitness.plans.verify_queries import ACC, accounts, extractions
-from statwitness.session import new_folder
-from statwitness.streaming.chunk_stream import stream_chunks
+from statwitness.session import materialise, new_folder
+from statwitness.streaming.chunk_stream import read_index, stream_chunks, sync_index
 from statwitness.streaming.feedback_stream import run_to_table, stream_agreement
 
 _COMMENT = """CASE WHEN value > 60 THEN 'The TIME period is mixed up' WHEN event_type = 'error' THEN 'Suppression marker lost, filter fine'
@@ -155,3 +155,26 @@ def _(load):
     run_to_table(stream_chunks(stream), f"{folder}/table", f"{folder}/progress")
     table = "ts timestamp, chunk_id string, type string, text string, extraction_id string, headline string, page bigint"
     return load.spark.read.schema(table).parquet(f"{folder}/table").select("chunk_id", "type", "text")
+
+
+FOLLOWED = EXT.replace("string_agg(paragraph, ' ' ORDER BY y) AS text", """string_agg(paragraph, ' ' ORDER BY y) ||
+  CASE WHEN k % 3 = 0 THEN ' Revised.' WHEN k % 7 = 0 THEN ' Late.' ELSE '' END AS text""")
+
+
+@query("follow_extractions", f"""WITH {FOLLOWED} SELECT extraction_id || ':' || pos AS chunk_id, type, text FROM chunks WHERE CAST(replace(extraction_id, 'ext_', '') AS BIGINT) % 5 <> 0""")
+def _(load):
+    """The index after three arrivals and a restart between them: all extractions; then revised and deleted ones; then versions that are
+    older than the second arrival and count only where nothing newer has come."""
+    folder = new_folder(load.spark, "index")
+    base = materialise(extractions(load).withColumn("headline_page", F.col("headline_page").cast("bigint")))
+    at = lambda minute: F.to_timestamp(F.lit(f"2024-01-15 10:{minute}:00"))
+    said = lambda text: F.concat("paragraphs", F.array(F.lit(text)))
+    k = F.col("custkey")
+    arrivals = [
+        base.withColumns({"ts": at("00"), "deleted": F.lit(False)}),
+        base.filter((k % 3 == 0) | (k % 5 == 0)).withColumns({"paragraphs": said("Revised."), "ts": at("20"), "deleted": k % 5 == 0}),
+        base.filter(k % 7 == 0).withColumns({"paragraphs": said("Late."), "ts": at("10"), "deleted": F.lit(False)})]
+    for arriving in arrivals:
+        arriving.write.mode("append").parquet(f"{folder}/extractions")
+        sync_index(load.spark.readStream.schema(arriving.schema).parquet(f"{folder}/extractions"), f"{folder}/index", f"{folder}/progress")
+    return read_index(load.spark, f"{folder}/index").select("chunk_id", "type", "text")
