@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
-from statwitness.functions.rows import explode_computed
 from statwitness.operators.ordered import top_n
+from statwitness.operators.phrases import phrase_hits
 from statwitness.session import materialise
 
 TABLE_SALTS = 64  # parts of a table's rows that meet its specs' column sets apart from each other
@@ -22,44 +22,22 @@ TABLE_SALTS = 64  # parts of a table's rows that meet its specs' column sets apa
 # ---- finding metrics, filter values and the breakdown -----------------------------------------
 
 
-def _words(c: Column) -> Column:
-    """Lower-case words with one blank around each, so containment respects word limits."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " ")), F.lit(" "))
-
-
 def match_metrics(paragraphs: DataFrame, phrases: DataFrame, columns: DataFrame) -> DataFrame:
     """Metrics whose phrase occurs in the paragraph text and that exist as a column of its table.
 
     paragraphs(headline_id, table_id, paragraph), phrases(phrase, metric), columns(table_id, column_name).
-    The phrases valid for a table travel as one array, so the join is on table_id and no
-    paragraph-phrase pairs are formed.
     """
-    known = (
-        phrases.join(columns.select("table_id", F.col("column_name").alias("metric")), "metric")
-        .groupBy("table_id")
-        .agg(F.collect_set(F.struct(F.lower("phrase").alias("phrase"), "metric")).alias("known"))
-    )
-    text = F.lower("paragraph")
-    hits = F.array_distinct(F.transform(
-        F.filter("known", lambda k: F.contains(text, k["phrase"])), lambda k: k["metric"]))
-    return (
-        explode_computed(paragraphs.join(known, "table_id"), ["headline_id", "table_id"], hits, "metric").distinct()
-    )
+    known = phrases.join(columns.select("table_id", F.col("column_name").alias("metric")), "metric").select("table_id", "phrase", F.col("metric").alias("hit"))
+    return phrase_hits(paragraphs, known, ["headline_id"], "paragraph", whole_words=False).withColumnRenamed("hit", "metric")
 
 
 def match_filter_values(paragraphs: DataFrame, samples: DataFrame) -> DataFrame:
     """Filter values mentioned as whole words, case-insensitively; the stored spelling is returned.
 
-    samples(table_id, column_name, value): the bounded sample lists of the profile.
+    samples(table_id, column_name, value): the sample values of the profile.
     """
-    known = samples.groupBy("table_id").agg(
-        F.collect_set(F.struct("column_name", "value", _words(F.col("value")).alias("words"))).alias("known"))
-    held = paragraphs.join(known, "table_id").withColumn("_text", _words(F.col("paragraph")))
-    hits = F.filter("known", lambda k: F.contains(F.col("_text"), k["words"]))
-    return (
-        explode_computed(held, ["headline_id", "table_id"], hits, "hit")
-        .select("headline_id", "table_id", "hit.column_name", "hit.value").distinct()
-    )
+    known = samples.select("table_id", F.col("value").alias("phrase"), F.struct("column_name", "value").alias("hit"))
+    return phrase_hits(paragraphs, known, ["headline_id"], "paragraph", whole_words=True).select("headline_id", "table_id", "hit.column_name", "hit.value")
 
 
 def choose_breakdown(matches: DataFrame) -> DataFrame:

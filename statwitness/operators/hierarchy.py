@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions.rows import explode_computed
-from statwitness.operators.extract import _words
 from statwitness.operators.ordered import top_n
+from statwitness.operators.phrases import words_between_blanks as _words
 
 
 def _whole(value):

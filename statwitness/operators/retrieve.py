@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
+from statwitness.operators.neighbours import BLOCK_ROWS, nearest
 from statwitness.operators.ordered import top_n
-from statwitness.session import materialise
-
-DISTANCE_DECIMALS = 9
-MAX_BLOCK_BYTES = 64 << 20  # vectors of one broadcast block of queries
 
 
 def term_bins(text: str, dimension: int) -> Column:
@@ -39,99 +35,25 @@ def embed(chunks: DataFrame, text: str = "text", dimension: int = P.EMBEDDING_DI
 
     @F.pandas_udf("array<double>")
     def unit(bins: pd.Series) -> pd.Series:
-        def one(b):
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=len(weights)) * weights
-            length = math.sqrt(float(v @ v))
-            return v / length if length else v
-
-        return bins.map(one)
+        width = len(weights)
+        sizes = bins.map(len).to_numpy(dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *bins]).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(bins)), sizes) * width + flat, minlength=len(bins) * width).reshape(len(bins), width)
+        v = counts * weights
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.divide(v, length, out=np.zeros_like(v), where=length > 0)))
 
     return chunks.withColumn("embedding", unit(F.coalesce(term_bins(text, len(weights)), F.array().cast("array<int>"))))
 
 
-def _nearest(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest distances, smaller id first among equals."""
-    if len(distances) > k:
-        limit = np.partition(distances, k - 1)[k - 1]
-        keep = np.flatnonzero(distances <= limit)
-    else:
-        keep = np.arange(len(distances))
-    return keep[np.lexsort((ids[keep], distances[keep]))[:k]]
-
-
-def _search(shared, k: int, filtered: bool):
-    """Scan a partition once and keep the k best vectors per query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_filters, q = shared.value
-        q_norm = (q * q).sum(axis=1)
-        best = [(None, None)] * len(query_ids)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf["id"].to_numpy()
-            v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            if filtered:
-                by_value = pdf.groupby("filter_value").indices
-                parts = [(np.flatnonzero(query_filters == f), rows) for f, rows in by_value.items()]
-            else:
-                parts = [(np.arange(len(query_ids)), np.arange(len(ids)))]
-            for queries, rows in parts:
-                if not len(queries):
-                    continue
-                sub = v[rows]
-                d = q_norm[queries, None] + (sub * sub).sum(axis=1)[None, :] - 2.0 * (q[queries] @ sub.T)
-                d = np.round(np.maximum(d, 0.0), DISTANCE_DECIMALS)
-                for n, query in enumerate(queries):
-                    known_ids, known_d = best[query]
-                    all_ids = ids[rows] if known_ids is None else np.concatenate([known_ids, ids[rows]])
-                    all_d = d[n] if known_d is None else np.concatenate([known_d, d[n]])
-                    keep = _nearest(all_ids, all_d, k)
-                    best[query] = (all_ids[keep], all_d[keep])
-        found = [(query_ids[i], id_, dist) for i, (ids, ds) in enumerate(best) if ids is not None for id_, dist in zip(ids, ds)]
-        if found:
-            yield pd.DataFrame(found, columns=["query_id", "id", "distance"])
-
-    return run
-
-
-def _query_blocks(queries: DataFrame, block_rows: int):
-    """Queries in blocks of about ``block_rows`` rows, one at a time; a block's bytes are checked before it is broadcast."""
-    stored = materialise(queries)
-    count, width = stored.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    blocks = max(1, math.ceil(2 * count / block_rows), math.ceil(2 * count * width * 8 / MAX_BLOCK_BYTES))
-    for b in range(blocks):
-        yield stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-
-
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = P.TOP_K, filtered: bool = False,
-          block_rows: int = P.QUERY_BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest vectors per query by squared L2 distance, similarity 1 / (1 + distance).
-
-    queries(query_id, vector[, filter_value]), vectors(id, vector[, filter_value]). Each task scans its
-    vectors once against a block of queries and returns at most k rows per query, so neither a cross
-    join nor all pairs are made. A query set above ``block_rows`` runs as several such scans. Distances
-    are compared at nine decimals, then by id. With ``filtered`` only vectors with the query's filter
-    value count.
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest vectors per query by squared L2 distance, similarity 1 / (1 + distance); see ``neighbours.nearest``.
+
+    queries(query_id, vector[, filter_value]), vectors(id, vector[, filter_value]). Distances are compared at nine
+    decimals, then by id. With ``filtered`` only vectors with the query's filter value count.
     """
-    spark = queries.sparkSession
-    columns = ["query_id", "vector"] + (["filter_value"] if filtered else [])
-    queries = queries.select(*columns)
-    types = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
-    scanned = vectors.select("id", "vector", *(["filter_value"] if filtered else []))
-    hits = None
-    for rows in _query_blocks(queries, block_rows):
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((
-            [r["query_id"] for r in rows],
-            np.array([r["filter_value"] for r in rows], dtype=object) if filtered else None,
-            np.array([list(r["vector"]) for r in rows], dtype=np.float64)))
-        part = scanned.mapInPandas(_search(shared, k, filtered), f"query_id {types[0]}, id {types[1]}, distance double")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = spark.createDataFrame([], f"query_id {types[0]}, id {types[1]}, distance double")
-    best = top_n(hits, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    best = nearest(queries, vectors, k, filtered, block_rows=block_rows, pack_rows=block_rows)
     return best.withColumn("similarity", 1.0 / (1.0 + F.col("distance")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
@@ -110,3 +110,41 @@ def readability(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return per_sentence.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_sentences"), F.avg("n_words").alias("words_per_sentence"),
         F.avg((F.col("n_words") > P.LONG_SENTENCE_WORDS).cast("double")).alias("long_share"))
+
+
+def _surface_forms(paragraphs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys..., key, form, pair, n: words, hyphenated words and pairs of neighbouring words with their letters run together."""
+    shown = F.concat(F.regexp_replace(F.lower(text), r"[^\p{L} -]+", " | "), F.lit(" |"))
+    tokens = F.filter(F.split(shown, r"[ ]+"), lambda t: t != "")
+    word = lambda t: t.rlike(r"^\p{L}+(-\p{L}+)*$")
+    plain = lambda t: t.rlike(r"^\p{L}+$")
+    held = paragraphs.select(*keys, tokens.alias("_tokens"))
+    singles = F.transform(F.filter("_tokens", word), lambda t: F.struct(F.replace(t, F.lit("-"), F.lit("")).alias("key"), t.alias("form"), F.lit(False).alias("pair")))
+    pairs = F.zip_with(F.slice("_tokens", F.lit(1), F.greatest(F.size("_tokens") - 1, F.lit(0))), F.slice("_tokens", F.lit(2), F.greatest(F.size("_tokens") - 1, F.lit(0))),
+                       lambda a, b: F.when(plain(a) & plain(b), F.struct(F.concat(a, b).alias("key"), F.concat_ws(" ", a, b).alias("form"), F.lit(True).alias("pair"))))
+    forms = F.concat(singles, F.filter(pairs, lambda p: p.isNotNull()))
+    rows = explode_computed(held, keys, forms, "f")
+    return rows.groupBy(*keys, "f.key", "f.form", "f.pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+def term_variants(paragraphs: DataFrame, keys: list[str], text: str, min_length: int = P.VARIANT_MIN_LENGTH) -> DataFrame:
+    """Competing spellings inside a report, found without a list: keys..., kind, term, variant, n_term, n_variant.
+
+    ``spacing``: one word written solid, with a hyphen or as two words ("dataset", "data-set", "data set"). ``spelling``: words of ``min_length`` letters or
+    more that differ in one letter, found by equality of the words with one letter left out, so that no two words of a report are
+    compared unless they share such a remainder; a plural s is no difference. The term is the more frequent form, then the first in the alphabet.
+    """
+    forms = _surface_forms(paragraphs, keys, text).filter(F.length("key") >= min_length)
+    group = W.partitionBy(*keys, "key")
+    ranked = group.orderBy(F.desc("n"), "form")
+    spacing = forms.withColumns({
+        "_forms": F.count(F.lit(1)).over(group), "_solid": F.max(~F.col("pair")).over(group), "_term": F.first("form").over(ranked), "_n": F.first("n").over(ranked)}).filter(
+        "_forms > 1 and _solid and form <> _term").select(*keys, F.lit("spacing").alias("kind"), F.col("_term").alias("term"), F.col("form").alias("variant"), F.col("_n").alias("n_term"), F.col("n").alias("n_variant"))
+    words = forms.filter(~F.col("pair")).groupBy(*keys, "key").agg(F.sum("n").alias("n"))
+    rests = F.concat(F.array("key"), F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.substring("key", F.lit(1), i - 1), F.substring("key", i + 1, F.length("key")))))
+    near = words.select(*keys, "key", "n", F.explode(F.array_distinct(rests)).alias("rest"))
+    a, b = near.alias("a"), near.select(*keys, "rest", F.col("key").alias("other"), F.col("n").alias("n_other")).alias("b")
+    met = a.join(b, [*keys, "rest"]).filter((F.col("n_other") > F.col("n")) | ((F.col("n_other") == F.col("n")) & (F.col("other") < F.col("key")))).filter(
+        (F.levenshtein("key", "other") == 1) & (F.col("key") != F.concat("other", F.lit("s"))) & (F.col("other") != F.concat("key", F.lit("s"))))
+    spelling = met.select(*keys, F.lit("spelling").alias("kind"), F.col("other").alias("term"), F.col("key").alias("variant"), F.col("n_other").alias("n_term"), F.col("n").alias("n_variant")).distinct()
+    return spacing.unionByName(spelling)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.functions.rows import explode_computed
-from statwitness.operators.claims import NUMBER, claim_value
+from statwitness.operators.claims import NUMBER, claim_value, sentences_of
 from statwitness.operators.ordered import top_n
 
 
@@ -27,21 +27,24 @@ def verify_cells(extractions: DataFrame, mode: str = "number") -> DataFrame:
     """Is each cell's value stated in the paragraphs?
 
     ``substring`` looks for the text of the value anywhere (so 9.6 is found in 19.6); ``number`` compares
-    it with the numbers in the text (so 97.0 is found in 97%). Text and table sit in one row, so nothing
-    is joined and the paragraphs are not repeated per cell.
+    it with the numbers in the text (so 97.0 is found in 97%). Each cell comes with the other columns of its row and the first
+    sentence that states its value. Text and table sit in one row, so nothing is joined and the paragraphs are not repeated per cell.
     """
     text = F.array_join("paragraphs", " ")
+    held = extractions.withColumns({
+        "_text": text, "_sentences": F.flatten(F.transform("paragraphs", sentences_of))})
     if mode == "substring":
-        held = extractions.withColumn("_text", text)
         stated = lambda v: F.contains(F.col("_text"), v)
+        evidence = lambda v: F.get(F.filter("_sentences", lambda s: F.contains(s, v)), F.lit(0))
     else:
-        numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), claim_value)
-        held = extractions.withColumn("_numbers", F.array_distinct(numbers))
+        numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), claim_value)
+        held = held.withColumns({"_numbers": F.array_distinct(numbers(text)), "_by_sentence": F.transform("_sentences", lambda s: F.struct(s.alias("s"), numbers(s).alias("n")))})
         stated = lambda v: F.array_contains(F.col("_numbers"), T.to_number(v))
+        evidence = lambda v: F.get(F.filter("_by_sentence", lambda s: F.array_contains(s["n"], T.to_number(v))), F.lit(0))["s"]
     cells = F.flatten(F.transform("extracted_table", lambda row, i: F.transform(
         _metric_entries(row), lambda e: F.struct(
-            i.alias("row_no"), e["key"].alias("metric"), e["value"].alias("value"),
-            F.coalesce(stated(e["value"]), F.lit(False)).alias("verified")))))
+            i.alias("row_no"), e["key"].alias("metric"), e["value"].alias("value"), F.map_filter(row, lambda k, v: k != e["key"]).alias("row_filters"),
+            F.coalesce(stated(e["value"]), F.lit(False)).alias("verified"), evidence(e["value"]).alias("evidence")))))
     out = explode_computed(held, ["extraction_id"], cells, "c").select("extraction_id", "c.*")
     return out.withColumns({
         "confidence": F.when(F.col("verified"), P.DIRECT_MATCH_CONFIDENCE),
@@ -97,30 +100,76 @@ def verify_claims(claims: DataFrame, cells: DataFrame) -> DataFrame:
         .when(agrees(F.col("stated"), num, F.col("decimals")), "PASS").otherwise("FAIL")})
 
 
+def _half(decimals: Column) -> Column:
+    """Half a unit of the last decimal: how far a rounded figure may be from the exact one."""
+    return 0.5 * F.pow(F.lit(10.0), -decimals)
+
+
+def _table_half(decimals: int | None) -> float:
+    return 0.0 if decimals is None else 0.5 * 10.0 ** -decimals
+
+
+def covers(stated: Column, decimals: Column, low: Column, high: Column) -> Column:
+    """Does a figure stated at some decimals fit a range of possible values?"""
+    slack = _half(decimals) + 1e-6
+    return (stated + slack >= low) & (stated - slack <= high)
+
+
 def _judged(claims: DataFrame, computed: DataFrame, keys: list[str]) -> DataFrame:
+    """computed has the columns computed, low and high: the value, and the range it may have."""
     return claims.join(computed, keys, "left").withColumn(
         "status", F.when(F.col("computed").isNull(), "UNMATCHED")
-        .when(agrees(F.col("stated"), F.col("computed"), F.col("decimals")), "PASS").otherwise("FAIL"))
+        .when(covers(F.col("stated"), F.col("decimals"), F.col("low"), F.col("high")), "PASS").otherwise("FAIL"))
+
 
+def verify_mean(claims: DataFrame, table: DataFrame, keys: list[str], value: Column, table_decimals: int | None = None) -> DataFrame:
+    """Stated means. Where the table's figures are rounded to ``table_decimals``, the mean is a range."""
+    h = _table_half(table_decimals)
+    mean = F.avg(value)
+    return _judged(claims, table.groupBy(*keys).agg(mean.alias("computed"), (mean - h).alias("low"), (mean + h).alias("high")), keys)
 
-def verify_mean(claims: DataFrame, table: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return _judged(claims, table.groupBy(*keys).agg(F.avg(value).alias("computed")), keys)
 
+def verify_percentage(claims: DataFrame, table: DataFrame, keys: list[str], part: Column, whole: Column, table_decimals: int | None = None) -> DataFrame:
+    """Stated shares of a whole. Where the table's figures are rounded, both sums are ranges, and so is the share."""
+    h = F.lit(_table_half(table_decimals))
+    p, w = F.sum(part), F.sum(whole)
+    dp, dw = h * F.count_if((part.isNotNull()) & (part != 0)), h * F.count_if(whole.isNotNull())
+    share = lambda a, b: F.try_divide(100.0 * a, b)
+    return _judged(claims, table.groupBy(*keys).agg(
+        share(p, w).alias("computed"), share(p - dp, w + dw).alias("low"), F.coalesce(F.when(w - dw > 0, share(p + dp, w - dw)), share(p, w)).alias("high")), keys)
 
-def verify_percentage(claims: DataFrame, table: DataFrame, keys: list[str], part: Column, whole: Column) -> DataFrame:
-    share = F.try_divide(100.0 * F.sum(part), F.sum(whole))
-    return _judged(claims, table.groupBy(*keys).agg(share.alias("computed")), keys)
 
+def verify_difference(claims: DataFrame, table: DataFrame, keys: list[str], group: str, value: Column, mean_decimals: int | None = None) -> DataFrame:
+    """claims(keys..., group_a, group_b, direction[, amount, decimals, unit]): is group A's mean higher or lower than group B's, and by
+    the stated amount?
 
-def verify_difference(claims: DataFrame, table: DataFrame, keys: list[str], group: str, value: Column) -> DataFrame:
-    """claims(keys..., group_a, group_b, direction): is group A's mean higher or lower than group B's?"""
+    Reports take differences of means that they have rounded to ``mean_decimals``; each is then a range, and so is their difference. The
+    amount may be in ``points`` (A - B) or in ``percent`` of B. A claim without an amount is judged by its direction. The result has the
+    difference, the range that the amount may have, and which of the two statements holds.
+    """
     means = table.groupBy(*keys, group).agg(F.avg(value).alias("mean"))
     side = lambda s: means.select(*keys, F.col(group).alias(f"group_{s}"), F.col("mean").alias(f"mean_{s}"))
     out = claims.join(side("a"), [*keys, "group_a"], "left").join(side("b"), [*keys, "group_b"], "left")
-    gap = F.col("mean_a") - F.col("mean_b")
-    seen = F.when(gap > 0, "higher").when(gap < 0, "lower").otherwise("equal")
-    return out.withColumn("difference", gap).withColumn(
-        "status", F.when(gap.isNull(), "UNMATCHED").when(seen == F.col("direction"), "PASS").otherwise("FAIL"))
+    h = _table_half(mean_decimals)
+    a, b = F.col("mean_a"), F.col("mean_b")
+    gap = a - b
+    low, high = gap - 2 * h, gap + 2 * h
+    seen = (
+        F.when(F.col("direction") == "higher", high > 0).when(F.col("direction") == "lower", low < 0)
+        .when(F.col("direction") == "equal", (low <= 0) & (high >= 0)).otherwise(F.lit(False)))
+    out = out.withColumns({"difference": gap, "direction_holds": seen})
+    if "amount" not in claims.columns:
+        return out.withColumn("status", F.when(gap.isNull(), "UNMATCHED").when(seen, "PASS").otherwise("FAIL"))
+    # percentages of a mean that may be zero have no upper end
+    least_b, most_b = b - h, b + h
+    percent = lambda x, base: F.try_divide(100.0 * x, base)
+    down = F.when(F.col("unit") == "percent", percent(a - h, most_b) - 100.0).otherwise(low)
+    up = F.when(F.col("unit") == "percent", F.when(least_b > 0, percent(a + h, least_b) - 100.0).otherwise(float("inf"))).otherwise(high)
+    ranged = out.withColumns({"_down": down, "_up": up}).withColumns({
+        "amount_low": F.when((F.col("_down") <= 0) & (F.col("_up") >= 0), 0.0).otherwise(F.least(F.abs("_down"), F.abs("_up"))), "amount_high": F.greatest(F.abs("_down"), F.abs("_up"))})
+    fits = F.col("amount").isNull() | covers(F.col("amount"), F.col("decimals"), F.col("amount_low"), F.col("amount_high"))
+    return ranged.withColumn("amount_holds", fits).withColumn(
+        "status", F.when(gap.isNull(), "UNMATCHED").when(seen & fits, "PASS").otherwise("FAIL")).drop("_down", "_up")
 
 
 def verify_trend(claims: DataFrame, series: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

@@ -74,8 +74,6 @@ RERANK_TOP_K = 3
 EMBEDDING_DIMENSION = 384
 SUGGEST_MIN_SIMILARITY = 0.8
 SUGGEST_MAX = 3
-# Query vectors shipped to every task at once; a larger query set is searched in several blocks.
-QUERY_BLOCK_ROWS = 2048
 
 # --- verification, style, scoring -------------------------------------------------------------
 DIRECT_MATCH_CONFIDENCE = 0.95
@@ -88,6 +86,7 @@ STYLE_WEIGHT = 0.3
 STYLE_FAILED_SCORE = 0.5
 PASS_SCORE = 0.85
 LONG_SENTENCE_WORDS = 25
+VARIANT_MIN_LENGTH = 6
 
 # --- feedback ---------------------------------------------------------------------------------
 TOP_ERRORS = 5

@@ -291,6 +291,57 @@ def _(load):
         "k", "direction", F.round("difference", 3).alias("difference"), "status")
 
 
+_AMOUNTS = """WITH m AS (SELECT o_custkey AS k,
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderpriority IN ('1-URGENT','2-HIGH')) AS DOUBLE) / nullif(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT','2-HIGH')), 0) AS a,
+    CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT','2-HIGH')) AS DOUBLE) / nullif(count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT','2-HIGH')), 0) AS b
+  FROM orders GROUP BY 1),
+r AS (SELECT *, CAST(floor(a / 10000 + 0.5) AS BIGINT) AS ra, CAST(floor(b / 10000 + 0.5) AS BIGINT) AS rb, CASE WHEN k % 3 = 0 THEN 'percent' ELSE 'points' END AS unit FROM m),
+c AS (SELECT *, CASE WHEN k % 11 = 0 THEN CASE WHEN ra > rb THEN 'lower' ELSE 'higher' END WHEN ra > rb THEN 'higher' WHEN ra < rb THEN 'lower' ELSE 'equal' END AS direction,
+  CASE WHEN k % 13 = 0 OR ra IS NULL OR rb IS NULL THEN NULL WHEN unit = 'percent' THEN CAST((200 * abs(ra - rb) + rb) // (2 * rb) + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END AS DOUBLE)
+    ELSE CAST((abs(ra - rb) + CASE WHEN k % 7 = 0 THEN 3 ELSE 0 END) * 10000 AS DOUBLE) END AS amount FROM r),
+d AS (SELECT *, a - b AS diff, CASE direction WHEN 'higher' THEN a - b + 10000 > 0 WHEN 'lower' THEN a - b - 10000 < 0 ELSE a - b - 10000 <= 0 AND a - b + 10000 >= 0 END AS direction_holds,
+  CASE WHEN unit = 'percent' THEN 100 * (a - 5000) / (b + 5000) - 100 ELSE a - b - 10000 END AS dn, CASE WHEN unit = 'percent' THEN 100 * (a + 5000) / (b - 5000) - 100 ELSE a - b + 10000 END AS up FROM c),
+e AS (SELECT *, CASE WHEN dn <= 0 AND up >= 0 THEN 0.0 ELSE least(abs(dn), abs(up)) END AS lo, greatest(abs(dn), abs(up)) AS hi FROM d),
+f AS (SELECT *, amount IS NULL OR (amount + CASE unit WHEN 'percent' THEN 0.5 ELSE 5000 END + 1e-6 >= lo AND amount - CASE unit WHEN 'percent' THEN 0.5 ELSE 5000 END - 1e-6 <= hi) AS amount_holds FROM e)
+SELECT k, direction, unit, amount, round(diff, 3) AS difference, direction_holds, amount_holds,
+  CASE WHEN diff IS NULL THEN 'UNMATCHED' WHEN direction_holds AND amount_holds THEN 'PASS' ELSE 'FAIL' END AS status FROM f"""
+
+
+@query("verify_amounts", _AMOUNTS)
+def _(load):
+    """Stated differences between means that were rounded to a hundred before they were compared: direction and amount."""
+    table = load("orders").select(
+        F.col("o_custkey").alias("k"), F.when(F.col("o_orderpriority").isin(URGENT), "urgent").otherwise("standard").alias("g"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    mean = lambda g: F.avg(F.when(F.col("g") == g, F.col("cents")))
+    rounded = table.groupBy("k").agg(F.floor(mean("urgent") / 10000 + 0.5).alias("ra"), F.floor(mean("standard") / 10000 + 0.5).alias("rb"))
+    claims = rounded.selectExpr(
+        "k", "'urgent' as group_a", "'standard' as group_b", "case when k % 3 = 0 then 'percent' else 'points' end as unit",
+        "case when k % 11 = 0 then case when ra > rb then 'lower' else 'higher' end when ra > rb then 'higher' when ra < rb then 'lower' else 'equal' end as direction",
+        """cast(case when k % 13 = 0 or ra is null or rb is null then null when k % 3 = 0 then (200 * abs(ra - rb) + rb) div (2 * rb) + case when k % 7 = 0 then 3 else 0 end
+             else (abs(ra - rb) + case when k % 7 = 0 then 3 else 0 end) * 10000 end as double) as amount""",
+        "case when k % 3 = 0 then 0 else -4 end as decimals")
+    out = V.verify_difference(claims, table, ["k"], "g", F.col("cents"), mean_decimals=-4)
+    return out.select("k", "direction", "unit", "amount", F.round("difference", 3).alias("difference"), "direction_holds", "amount_holds", "status")
+
+
+@query("cell_evidence", f"""WITH {VERIFIED},
+es AS (SELECT extraction_id, y, unnest({_SENT.format('paragraph')}) AS sentence, unnest(range(len({_SENT.format('paragraph')}))) AS i FROM acc),
+en AS (SELECT *, list_transform(regexp_extract_all(sentence, '{_NUMBER}'), lambda x: CAST(regexp_replace(x, '[,%]', '', 'g') AS DOUBLE)) AS nums FROM es),
+ev AS (SELECT v.extraction_id, v.row_no, v.metric, arg_min(sentence, (y, i)) AS evidence FROM verified v JOIN en USING (extraction_id)
+  WHERE list_contains(nums, TRY_CAST(value AS DOUBLE)) GROUP BY ALL)
+SELECT v.extraction_id, v.row_no, v.metric, value, v.verified, CASE WHEN v.verified THEN 'direct_text_match' ELSE 'not_stated' END AS evidence_type,
+  concat_ws(', ', CASE WHEN metric <> 'price_average' THEN 'price_average=' || price_average END,
+  CASE WHEN metric <> 'standard_percent' THEN 'standard_percent=' || standard_percent END, 'time_period=' || time_period,
+  CASE WHEN metric <> 'urgent_percent' THEN 'urgent_percent=' || urgent_percent END) AS row_filters, evidence
+FROM verified v LEFT JOIN ev USING (extraction_id, row_no, metric)""")
+def _(load):
+    """Cells with the other columns of their row and the sentence that states them."""
+    cells = V.verify_cells(extractions(load))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("row_filters")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return cells.select("extraction_id", "row_no", "metric", "value", "verified", "evidence_type", shown.alias("row_filters"), "evidence")
+
+
 @query("verify_trend", f"""WITH {ACC},
 steps AS (SELECT k, y, tenths, tenths - lag(tenths) OVER (PARTITION BY k ORDER BY y) AS d FROM acc),
 ends AS (SELECT k, arg_min(tenths, y) AS first_value, arg_max(tenths, y) AS last_value,
@@ -367,6 +418,27 @@ def _(load):
         "variants", F.array_join(F.transform("variants", shown), ","))
 
 
+_FORMS = """tok AS (SELECT conv_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L} -]+', ' | ', 'g') || ' |', '[ ]+'), lambda t: t <> '') AS t FROM conversations WHERE text IS NOT NULL),
+f0 AS (
+  SELECT conv_id, replace(x, '-', '') AS key, x AS form, FALSE AS pair FROM (SELECT conv_id, unnest(t) AS x FROM tok) WHERE regexp_full_match(x, '\\p{L}+(-\\p{L}+)*')
+  UNION ALL SELECT conv_id, a || b, a || ' ' || b, TRUE FROM (SELECT conv_id, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:len(t)]) AS b FROM tok) WHERE regexp_full_match(a, '\\p{L}+') AND regexp_full_match(b, '\\p{L}+')),
+forms AS (SELECT conv_id, key, form, pair, count(*) AS n FROM f0 WHERE length(key) >= 6 GROUP BY ALL),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY conv_id, key) AS m, bool_or(NOT pair) OVER (PARTITION BY conv_id, key) AS solid,
+  first_value(form) OVER w AS term, first_value(n) OVER w AS n_term FROM forms WINDOW w AS (PARTITION BY conv_id, key ORDER BY n DESC, form)),
+words AS (SELECT conv_id, key, CAST(sum(n) AS BIGINT) AS n FROM forms WHERE NOT pair GROUP BY ALL)"""
+
+
+@query("term_variants", f"""WITH {_FORMS}
+SELECT conv_id, 'spacing' AS kind, term, form AS variant, n_term, n AS n_variant FROM ranked WHERE m > 1 AND solid AND form <> term
+UNION ALL SELECT a.conv_id, 'spelling', b.key, a.key, b.n, a.n FROM words a JOIN words b ON a.conv_id = b.conv_id AND abs(length(a.key) - length(b.key)) <= 1
+  AND (b.n > a.n OR (b.n = a.n AND b.key < a.key)) WHERE CASE WHEN length(a.key) = length(b.key) THEN len(list_filter(range(1, length(a.key) + 1), lambda i: substr(a.key, i::INT, 1) <> substr(b.key, i::INT, 1))) = 1
+    WHEN length(a.key) > length(b.key) THEN list_contains(list_transform(range(1, length(a.key) + 1), lambda i: substr(a.key, 1, (i - 1)::INT) || substr(a.key, (i + 1)::INT)), b.key)
+    ELSE list_contains(list_transform(range(1, length(b.key) + 1), lambda i: substr(b.key, 1, (i - 1)::INT) || substr(b.key, (i + 1)::INT)), a.key) END AND a.key <> b.key || 's' AND b.key <> a.key || 's'""")
+def _(load):
+    """Competing spellings inside a conversation, without a list of terms."""
+    return Y.term_variants(load("conversations"), ["conv_id"], "text")
+
+
 @query("number_format_consistency", f"""WITH {CLAIMS},
 w AS (SELECT doc_id, bool_or(regexp_matches(lower(line), 'per cent|percent')) AS worded FROM text_lines GROUP BY 1),
 f AS (SELECT doc_id, count(*) AS n_claims, bool_or(is_percent) AS signed, string_agg(DISTINCT CAST(decimals AS VARCHAR), ',' ORDER BY CAST(decimals AS VARCHAR)) AS decimals,
