@@ -270,9 +270,9 @@ def slow_bits(token, frequent, tables, model):
 def test_scores_against_one_bit_after_the_other(learned):
     _, learned = learned
     tokens = [b"", b"the", b"then", b"schen", b"xyzzy" * 5, "héé".encode(), b"a"]
-    owner, frequent = np.array([0, 1, 1, 2, 3, 4, 5, 6, 6]), np.array([0, 0, 3, 1, 2, 0, 5, 1, 16])
-    fast = mixlm.bits_of(mixlm.spread(tokens, owner, frequent), len(owner), learned.tables, learned.model)
-    slow = [slow_bits(tokens[o], int(f), learned.tables, learned.model) for o, f in zip(owner, frequent)]
+    owner, frequent = np.array([0, 1, 1, 2, 3, 4, 5, 6, 6]), np.array([0, 0, 3, 1, 2, 0, 5, 1, mixlm.FREQUENT])
+    fast = mixlm.bits_of(mixlm.spread(tokens, owner, frequent), len(owner), learned.tables.array, learned.model)
+    slow = [slow_bits(tokens[o], int(f), learned.tables.array, learned.model) for o, f in zip(owner, frequent)]
     assert fast == pytest.approx(slow, rel=1e-3)
 
 
@@ -285,12 +285,12 @@ def test_probabilities_of_next_bytes_add_up(learned):
         pairs = mixlm.spread(ts, np.arange(len(ts)), np.ones(len(ts), np.int64))
         keep = pairs.coded.place < 3  # without the space that ends the token
         cut = mixlm.Pairs(pairs.coded, pairs.byte[keep], pairs.pair[keep], pairs.frequent[keep])
-        return mixlm.bits_of(cut, len(ts), learned.tables, learned.model)
+        return mixlm.bits_of(cut, len(ts), learned.tables.array, learned.model)
 
     two = mixlm.spread([b"th"], np.zeros(1, np.int64), np.ones(1, np.int64))
-    three = float(mixlm.bits_of(two, 1, learned.tables, learned.model)[0])  # t, h, space
+    three = float(mixlm.bits_of(two, 1, learned.tables.array, learned.model)[0])  # t, h, space
     beginning = mixlm.Pairs(two.coded, two.byte[:2], two.pair[:2], two.frequent[:2])
-    share = 2 ** -float(mixlm.bits_of(beginning, 1, learned.tables, learned.model)[0])
+    share = 2 ** -float(mixlm.bits_of(beginning, 1, learned.tables.array, learned.model)[0])
     assert sum(2.0 ** -cost(tokens)) + 2.0 ** -three == pytest.approx(share, rel=1e-4)
 
 
