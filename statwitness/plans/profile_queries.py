@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from statwitness.operators import profile as O
+from statwitness.operators import profile as O, sketches as S
 from statwitness.plans.registry import query
-from statwitness.session import materialise
+from statwitness.session import materialise, new_folder
 
 
 def day(c: str):
@@ -208,3 +208,20 @@ SELECT table_id, column_name, value AS marker, count(*) AS n FROM cells
 WHERE value IN ('c','z','x','.','C','Z','X') GROUP BY ALL""")
 def _(load):
     return O.suppression_profile(counts(load)).select("table_id", "column_name", "marker", "n")
+
+
+@query("united_profile", f"""WITH {STATS} SELECT table_id, column_name, n_rows, n_non_null, n_numeric, kind, TRUE AS distinct_within, TRUE AS counts_within FROM stats""")
+def _(load):
+    """Profiles of the cells dealt over seven files, stored in two arrivals and united; estimates are held against exact counts."""
+    dealt = materialise(cells(load).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(7)).cast("int")))
+    path = new_folder(load.spark, "summaries")
+    for arriving in (dealt.filter("part < 4"), dealt.filter("part >= 4")):
+        S.save_summaries(*S.summarise(arriving, F.col("part")), path)
+    columns, values = S.read_summaries(load.spark, path)
+    exact = O.value_counts(dealt)
+    distinct = exact.groupBy(*O.KEYS).agg(F.count("value").alias("true_distinct"))
+    held = S.united_values(columns, values).join(exact.select(*O.KEYS, "value", "n"), [*O.KEYS, "value"]).groupBy(*O.KEYS).agg(
+        F.bool_and(F.col("n").between(F.col("n_low"), F.col("n_high"))).alias("counts_within"))
+    near = F.abs(F.col("n_distinct") - F.col("true_distinct")) <= F.col("true_distinct") * S.distinct_error() + 1
+    return S.united_columns(columns).join(distinct, O.KEYS).join(held, O.KEYS, "left").select(
+        "table_id", "column_name", "n_rows", "n_non_null", "n_numeric", "kind", near.alias("distinct_within"), F.coalesce("counts_within", F.lit(True)).alias("counts_within"))

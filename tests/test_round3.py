@@ -150,3 +150,23 @@ def test_variants_without_a_list(spark):
     text = "The dataset is large. A data set, the data-set and the dataset; a data, set. Colour and colour but color. Pupils or pupil. Attainment and attainmnet."
     got = {(r.kind, r.term, r.variant, r.n_term, r.n_variant) for r in Y.term_variants(spark.createDataFrame([(1, text), (2, None), (3, "")], "d int, t string"), ["d"], "t", 5).collect()}
     assert got == {("spacing", "dataset", "data set", 2, 1), ("spacing", "dataset", "data-set", 2, 1), ("spelling", "colour", "color", 2, 1)}
+
+
+def test_united_profiles(spark):
+    from statwitness.operators import sketches as S
+
+    rng = random.Random(8)
+    cells = [("t", 1, "c", v if v != "v0" else None) for v in rng.choices([f"v{i}" for i in range(400)], weights=[1 / (i + 1) for i in range(400)], k=6000)]
+    df = spark.createDataFrame([(i % 5, *c) for i, c in enumerate(cells)], "part int, table_id string, col_no int, column_name string, value string")
+    columns, values = S.summarise(df, F.col("part"), listed=30)
+    one = S.united_columns(columns).first()
+    true = {}
+    for *_, v in cells:
+        true[v] = true.get(v, 0) + 1
+    assert (one.n_rows, one.n_non_null) == (6000, 6000 - true[None]) and abs(one.n_distinct - (len(true) - 1)) <= (len(true) - 1) * S.distinct_error() + 1
+    for r in S.united_values(columns, values).collect():
+        assert r.n_low <= true[r.value] <= r.n_high
+    del true[None]
+    best = sorted(true, key=lambda v: (-true[v], v))
+    got = S.frequent_values(columns, values, 3).collect()
+    assert {r.value for r in got if r.certain} <= set(best[:3]) and got[0].certain
