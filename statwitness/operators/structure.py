@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from statwitness import params as P
 from statwitness.functions import text as T
-from statwitness.functions.rows import explode_computed
 from statwitness.operators import ordered
 from statwitness.session import materialise
 
 LINE = ["doc_id", "page", "y"]
-HEADLINES_PER_SEARCH = 50
+PAGES_PER_BLOCK = 64
+AROUND_BLANK = r"(?s)(?=(.{3} .{3}))"
 
 
 def line_position(top: Column) -> Column:
@@ -123,35 +123,79 @@ def _paragraphs(section: Column) -> Column:
     return F.filter(F.transform(parts, T.strip), lambda p: p != "")
 
 
-def section_paragraphs(headlines: DataFrame, texts: DataFrame) -> DataFrame:
-    """Paragraphs between a headline and the next one.
+def _marks(text: Column) -> Column:
+    """Hashes of the seven characters around each blank: a text that contains a phrase has all marks of the phrase."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(AROUND_BLANK), F.lit(1))), lambda m: F.xxhash64(m))
 
-    headlines(doc_id, page, y, headline_no, text, ...), texts(doc_id, body_text). Headlines travel to the
-    text in lists of a fixed length: the text is not repeated per headline, and a report with very many
-    headlines is searched by several tasks.
+
+def numbered_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, n, page_text): the pages that have text, counted from 1 in each report."""
+    kept = pages.filter(F.length("text") > 0).select(
+        "doc_id", "page", F.col("text").alias("page_text"), F.floor(F.col("page") / PAGES_PER_BLOCK).alias("_block"))
+    return ordered.row_number(kept, ["doc_id"], "_block", [F.col("page"), F.col("page_text")], "n").select("doc_id", "n", "page_text")
+
+
+def phrase_places(phrases: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, n, phrase, at): the first place of each phrase on every page of its report that contains it.
+
+    phrases(doc_id, phrase) without repeats, texts as ``numbered_pages`` gives them. A phrase meets pages by the rarest of its marks; one
+    whose marks are not all in the report meets none. Phrases without marks (one word, say) are looked up on all pages of their report.
     """
-    chained = ordered.next_value(headlines, ["doc_id"], "page", [F.col("y")], F.col("text"), "next_text")
-    part = F.floor((F.col("headline_no") - 1) / HEADLINES_PER_SEARCH)
-    lists = chained.groupBy("doc_id", part.alias("_part")).agg(F.collect_list(F.struct(
-        "headline_no", "text", "next_text")).alias("heads"))
-    body = F.col("body_text")
-
-    def section(h: Column) -> Column:
-        start = F.position(h["text"], body)
-        after = start + F.length(h["text"])
-        found = F.position(h["next_text"], body, after)
-        end = F.when(h["next_text"].isNull() | (found == 0), F.length(body) + 1).otherwise(found)
-        inside = F.substring(body, after, end - after)
-        return F.struct(
-            h["headline_no"].alias("headline_no"),
-            F.when(start == 0, F.array().cast("array<string>")).otherwise(_paragraphs(inside)).alias("paragraphs"))
-
-    found = (
-        explode_computed(lists.join(texts.select("doc_id", "body_text"), "doc_id"), ["doc_id"], F.transform("heads", section), "s")
-        .select("doc_id", "s.headline_no", "s.paragraphs")
-    )
-    return headlines.join(found, ["doc_id", "headline_no"], "left").withColumn(
-        "paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+    none = F.lit(0).cast("long")
+    marks = texts.select("doc_id", "n", F.explode(F.array_append(_marks(F.col("page_text")), none)).alias("mark"))
+    often = marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("pages"))
+    own = _marks(F.col("phrase"))
+    sought = phrases.select("doc_id", "phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(none))).alias("mark"))
+    index = sought.join(often, ["doc_id", "mark"], "left").groupBy("doc_id", "phrase").agg(
+        F.min(F.struct(F.coalesce("pages", none).alias("pages"), "mark")).alias("k")).select("doc_id", "phrase", F.col("k.mark").alias("mark"))
+    met = marks.join(index, ["doc_id", "mark"]).select("doc_id", "n", "phrase")
+    return met.join(texts, ["doc_id", "n"]).select(
+        "doc_id", "n", "phrase", F.position(F.col("phrase"), F.col("page_text")).cast("long").alias("at")).filter(F.col("at") > 0)
+
+
+def section_paragraphs(headlines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Paragraphs between the first place of a headline in its report and the next place of the headline that follows it.
+
+    headlines(doc_id, page, y, headline_no, text, ...), pages(doc_id, page, text). Sections run over the non-empty pages joined by
+    newlines; a headline stands on one page. A headline that the report's text does not contain, or without text, has no paragraphs; a
+    section whose next headline is not found behind it goes to the end.
+
+    Places come from an index of the pages, and each page is cut once for every section that runs over it, so the cost follows the
+    text and the sections, not headlines times text.
+    """
+    following = ordered.next_value(headlines, ["doc_id"], "page", [F.col("y")], F.col("text"), "_next").withColumn(
+        "_next", F.coalesce("_next", F.lit("")))
+    texts = materialise(numbered_pages(pages))
+    phrases = headlines.filter(F.length("text") > 0).select("doc_id", F.col("text").alias("phrase")).distinct()
+    places = materialise(phrase_places(phrases, texts))
+
+    first = places.groupBy("doc_id", F.col("phrase").alias("text")).agg(F.min(F.struct("n", "at")).alias("_s"))
+    starts = following.select("doc_id", "text", "_next").distinct().join(first, ["doc_id", "text"]).select(
+        "doc_id", "text", "_next", F.col("_s.n").alias("n"), (F.col("_s.at") + F.length("text")).alias("after"))
+    # the end on the page of the start
+    here = F.when(F.col("_next") != "", F.position(F.col("_next"), F.col("page_text"), F.col("after").cast("int"))).cast("long")
+    near = materialise(starts.join(texts, ["doc_id", "n"]).select(*starts.columns, here.alias("here")))
+    # else the first place on a later page: pages in falling order, questions before the places of their page
+    asked = near.filter((F.col("_next") != "") & (F.col("here") == 0)).select("doc_id", F.col("_next").alias("phrase"), "n").distinct()
+    both = asked.withColumn("at", F.lit(None).cast("long")).unionByName(places).withColumn("_block", F.floor(-F.col("n") / PAGES_PER_BLOCK))
+    placed = F.col("at").isNotNull()
+    later = ordered.last_before(both, ["doc_id", "phrase"], "_block", [-F.col("n"), placed], {"later": F.when(placed, F.struct("n", "at"))}).filter(
+        ~placed).select("doc_id", F.col("phrase").alias("_next"), "n", "later")
+
+    last = texts.groupBy("doc_id").agg(F.max("n").alias("last"))
+    found_here = F.col("here") > 0
+    spans = near.join(later, ["doc_id", "_next", "n"], "left").join(last, "doc_id").select(
+        "doc_id", "text", "_next", "after", F.col("n").alias("from"),
+        F.when(found_here, F.col("n")).otherwise(F.coalesce("later.n", "last")).alias("to"),
+        F.when(found_here, F.col("here")).otherwise(F.col("later.at")).alias("stop"))
+    over = spans.withColumn("n", F.explode(F.sequence("from", "to"))).join(texts, ["doc_id", "n"])
+    begin = F.when(F.col("n") == F.col("from"), F.col("after")).otherwise(1)
+    end = F.when(F.col("n") == F.col("to"), F.col("stop"))
+    piece = F.substring("page_text", begin.cast("int"), (F.coalesce(end, F.length("page_text") + 1) - begin).cast("int"))
+    sections = over.groupBy("doc_id", "text", "_next").agg(F.array_sort(F.collect_list(F.struct("n", piece.alias("piece")))).alias("_p")).select(
+        "doc_id", "text", "_next", _paragraphs(F.array_join(F.transform("_p", lambda p: p["piece"]), "\n")).alias("paragraphs"))
+    return following.join(sections, ["doc_id", "text", "_next"], "left").select(*headlines.columns, F.coalesce(
+        "paragraphs", F.array().cast("array<string>")).alias("paragraphs"))
 
 
 def find_headlines(glyphs: DataFrame) -> DataFrame:
@@ -168,7 +212,7 @@ def find_headlines(glyphs: DataFrame) -> DataFrame:
 
 def extract_headlines(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     """The whole chain: glyphs and page texts to headlines with paragraphs."""
-    return section_paragraphs(find_headlines(glyphs), document_text(pages))
+    return section_paragraphs(find_headlines(glyphs), pages)
 
 
 def headlines_on_page(headlines: DataFrame, page: int) -> DataFrame:

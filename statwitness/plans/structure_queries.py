@@ -191,7 +191,7 @@ def _(load):
 SELECT doc_id, headline_no, CASE WHEN paragraphs = '' THEN 0 ELSE len(string_split(paragraphs, '¶')) END AS n_paragraphs, paragraphs FROM sections""")
 def _(load):
     """Headlines are here whole lines of the documents."""
-    out = O.section_paragraphs(headlines(load), O.document_text(page_texts(load)))
+    out = O.section_paragraphs(headlines(load), page_texts(load))
     return out.select("doc_id", "headline_no", F.size("paragraphs").alias("n_paragraphs"),
                       F.array_join("paragraphs", "¶").alias("paragraphs"))
 

@@ -147,11 +147,34 @@ def test_valid_headline(spark, text, ok):
 
 def test_sections(spark):
     heads = spark.createDataFrame([("d", 1, 0, 1, "Intro here"), ("d", 1, 50, 2, "Next part"), ("d", 2, 0, 3, "Not there")], "doc_id string, page int, y int, headline_no int, text string")
-    texts = spark.createDataFrame([("d", "Intro here\npara one\n\n\n para two \nNext part\nend")], "doc_id string, body_text string")
-    got = {r.headline_no: r.paragraphs for r in S.section_paragraphs(heads, texts).collect()}
+    pages = spark.createDataFrame([("d", 1, "Intro here\npara one\n\n\n para two \nNext part\nend")], "doc_id string, page int, text string")
+    got = {r.headline_no: r.paragraphs for r in S.section_paragraphs(heads, pages).collect()}
     assert got == {1: ["para one", "para two"], 2: ["end"], 3: []}
 
 
+def test_sections_equal_a_search_of_the_whole_text(spark):
+    """Repeated and overlapping headlines, words of one letter, headlines inside paragraphs, empty pages, reports without pages or headlines."""
+    rng = random.Random(5)
+    words = ["aaa", "aa", "a", "aba bab", "long words here", "b aab", "\n", "\n\n", "über Maß", "Ω😀 xyz abc"]
+    text = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    pages, heads = [], []
+    for d in range(40):
+        pages += [(d, p, rng.choice([None, "", text(4), text(12)])) for p in rng.sample(range(200), rng.randint(0, 9))]
+        heads += [(d, no // 3, no % 3, no + 1, text(3).replace("\n", "").strip()) for no in range(rng.randint(0, 12))]
+    heads = [h for h in heads if h[4]]
+    expected = {}
+    for i, (d, page, y, no, head) in enumerate(heads):
+        body = "\n".join(t for _, _, t in sorted((x for x in pages if x[0] == d and x[2]), key=lambda x: x[1]))
+        start, behind = body.find(head), heads[i + 1][4] if i + 1 < len(heads) and heads[i + 1][0] == d else None
+        stop = body.find(behind, start + len(head)) if behind else -1
+        section = "" if start < 0 else body[start + len(head):stop if stop >= 0 else None]
+        expected[d, no] = [p.strip() for p in re.split(r"\n\n+", section.strip()) if p.strip()]
+    got = S.section_paragraphs(
+        spark.createDataFrame(heads, "doc_id long, page int, y int, headline_no int, text string"),
+        spark.createDataFrame(pages, "doc_id long, page int, text string")).collect()
+    assert len(got) == len(heads) and {(r.doc_id, r.headline_no): r.paragraphs for r in got} == expected
+
+
 def test_parents(spark):
     rows = [("d", 1, 0, 1), ("d", 1, 10, 2), ("d", 2, 0, 3), ("d", 3, 0, 2), ("d", 3, 10, 3), ("d", 4, 0, 1)]
     df = S.number_headlines(spark.createDataFrame(rows, "doc_id string, page int, y int, level int"))
