@@ -8,6 +8,7 @@ from statwitness import params as P
 from statwitness.functions import text as T
 from statwitness.functions.rows import explode_computed
 from statwitness.operators.claims import split_sentences
+from statwitness.session import materialise
 
 
 def all_cells(extractions: DataFrame) -> DataFrame:
@@ -133,8 +134,11 @@ def term_variants(paragraphs: DataFrame, keys: list[str], text: str, min_length:
     ``spacing``: one word written solid, with a hyphen or as two words ("dataset", "data-set", "data set"). ``spelling``: words of ``min_length`` letters or
     more that differ in one letter, found by equality of the words with one letter left out, so that no two words of a report are
     compared unless they share such a remainder; a plural s is no difference. The term is the more frequent form, then the first in the alphabet.
+
+    Forms are read by three branches and written once. The remainders are many times the text they come from, which Spark's size estimate
+    does not know, so words always meet by a shuffled join and no side goes through the driver.
     """
-    forms = _surface_forms(paragraphs, keys, text).filter(F.length("key") >= min_length)
+    forms = materialise(_surface_forms(paragraphs, keys, text).filter(F.length("key") >= min_length))
     group = W.partitionBy(*keys, "key")
     ranked = group.orderBy(F.desc("n"), "form")
     spacing = forms.withColumns({
@@ -144,7 +148,7 @@ def term_variants(paragraphs: DataFrame, keys: list[str], text: str, min_length:
     rests = F.concat(F.array("key"), F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(F.substring("key", F.lit(1), i - 1), F.substring("key", i + 1, F.length("key")))))
     near = words.select(*keys, "key", "n", F.explode(F.array_distinct(rests)).alias("rest"))
     a, b = near.alias("a"), near.select(*keys, "rest", F.col("key").alias("other"), F.col("n").alias("n_other")).alias("b")
-    met = a.join(b, [*keys, "rest"]).filter((F.col("n_other") > F.col("n")) | ((F.col("n_other") == F.col("n")) & (F.col("other") < F.col("key")))).filter(
+    met = a.join(b.hint("merge"), [*keys, "rest"]).filter((F.col("n_other") > F.col("n")) | ((F.col("n_other") == F.col("n")) & (F.col("other") < F.col("key")))).filter(
         (F.levenshtein("key", "other") == 1) & (F.col("key") != F.concat("other", F.lit("s"))) & (F.col("other") != F.concat("key", F.lit("s"))))
     spelling = met.select(*keys, F.lit("spelling").alias("kind"), F.col("other").alias("term"), F.col("key").alias("variant"), F.col("n_other").alias("n_term"), F.col("n").alias("n_variant")).distinct()
     return spacing.unionByName(spelling)
