@@ -31,6 +31,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str], text: str
 
     texts(keys..., table_id, text), phrases(table_id, phrase, hit). Case does not count. With ``whole_words`` a phrase matches as a run of
     whole words, else anywhere. Phrases without any part (two letters, say) are looked up in every text of their table.
+
+    Parts of texts are many times the text's file, which Spark's size estimate does not know: what grows with the texts meets by
+    shuffled joins, so none of it goes through the driver.
     """
     shown = words_between_blanks(F.col(text)) if whole_words else F.lower(text)
     held = texts.select(*keys, "table_id", shown.alias("_text"), F.xxhash64(shown).alias("_digest"), _parts(F.col(text), whole_words).alias("_parts"))
@@ -40,9 +43,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, keys: list[str], text: str
                             _parts(F.col("phrase"), whole_words).alias("_parts")).filter(F.trim("_phrase") != "" if whole_words else F.lit(True)).distinct()
     often = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     rare = sought.select("table_id", "hit", "_phrase", F.explode(F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(F.array(F.lit("")))).alias("_part"))
-    index = rare.join(often, "_part", "left").groupBy("table_id", "hit", "_phrase").agg(
+    index = rare.join(often.hint("merge"), "_part", "left").groupBy("table_id", "hit", "_phrase").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_part")).alias("k")).select("table_id", "hit", "_phrase", F.col("k._part").alias("_part"))
-    met = parts.join(index, ["table_id", "_part"]).select(*keys, "table_id", "_digest", "_phrase", "hit").distinct()
+    met = parts.hint("merge").join(index, ["table_id", "_part"]).select(*keys, "table_id", "_digest", "_phrase", "hit").distinct()
     # by digest only where it is the text's own: equal digests of one key are checked one by one
-    checked = met.join(held.drop("_parts"), [*keys, "table_id", "_digest"]).filter(F.contains("_text", F.col("_phrase")))
+    checked = met.join(held.drop("_parts").hint("merge"), [*keys, "table_id", "_digest"]).filter(F.contains("_text", F.col("_phrase")))
     return checked.select(*keys, "table_id", "hit").distinct()

@@ -37,7 +37,7 @@ def shipments(load) -> DataFrame:
     # Reduce to one row per customer, flag and year before the dimension joins.
     fine = (
         lines.groupBy("o_custkey", "l_returnflag", year.alias("y")).agg(*measures)
-        .join(load("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(load("customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("c_nationkey", "l_returnflag", "y").agg(*sums)
         .join(load("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(load("region"), F.col("n_regionkey") == F.col("r_regionkey"))
