@@ -15,6 +15,7 @@ from statwitness.session import materialise
 LINE = ["doc_id", "page", "y"]
 PAGES_PER_BLOCK = 64
 AROUND_BLANK = r"(?s)(?=(.{3} .{3}))"
+CHARS_PER_TASK = 4_000_000  # of page texts that are laid out as glyphs, rows of many times that size
 
 
 def line_position(top: Column) -> Column:
@@ -30,8 +31,18 @@ def dominant_font(glyphs: Column) -> Column:
     return F.array_max(ranked)["font"]
 
 
+def spread_pages(rows: DataFrame, chars: int) -> DataFrame:
+    """Rows dealt by report and page over as many tasks as ``chars`` characters of text need.
+
+    Glyphs made from such rows are where their line and page are put together: they are not shuffled, and a task's glyphs fit its memory.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-chars // CHARS_PER_TASK)), "doc_id", "page")
+
+
 def glyphs_to_lines(glyphs: DataFrame) -> DataFrame:
-    """One row per printed line: text, average size, dominant font, bold flag."""
+    """One row per printed line: text, average size, dominant font, bold flag. Glyphs that are already dealt by report and page
+    (``spread_pages``) stay where they are."""
     ordered_glyphs = F.array_sort(F.collect_list(F.struct("x0", "glyph_no", "text", "font")))
     lines = glyphs.withColumn("y", line_position(F.col("top"))).groupBy(*LINE).agg(
         ordered_glyphs.alias("g"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("avg_size"))
@@ -140,12 +151,15 @@ def phrase_places(phrases: DataFrame, texts: DataFrame) -> DataFrame:
 
     phrases(doc_id, phrase) without repeats, texts as ``numbered_pages`` gives them. A phrase meets pages by the rarest of its marks; one
     whose marks are not all in the report meets none. Phrases without marks (one word, say) are looked up on all pages of their report.
+    Of the pages' marks, those that some phrase of the report has are written once; the others go no further than the first shuffle.
     """
     none = F.lit(0).cast("long")
-    marks = texts.select("doc_id", "n", F.explode(F.array_append(_marks(F.col("page_text")), none)).alias("mark"))
-    often = marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("pages"))
     own = _marks(F.col("phrase"))
-    sought = phrases.select("doc_id", "phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(none))).alias("mark"))
+    sought = materialise(phrases.select("doc_id", "phrase", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(none))).alias("mark")))
+    asked = texts.join(sought.select("doc_id").distinct(), "doc_id", "left_semi")
+    marks = materialise(asked.select("doc_id", "n", F.explode(F.array_append(_marks(F.col("page_text")), none)).alias("mark")).join(
+        sought.select("doc_id", "mark").distinct().hint("merge"), ["doc_id", "mark"], "left_semi"))
+    often = marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("pages"))
     index = sought.join(often, ["doc_id", "mark"], "left").groupBy("doc_id", "phrase").agg(
         F.min(F.struct(F.coalesce("pages", none).alias("pages"), "mark")).alias("k")).select("doc_id", "phrase", F.col("k.mark").alias("mark"))
     met = marks.join(index, ["doc_id", "mark"]).select("doc_id", "n", "phrase")

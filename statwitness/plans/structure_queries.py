@@ -17,9 +17,15 @@ def text_lines(load) -> DataFrame:
         ((F.col("doc_id") + F.col("line_no")) % 6).alias("style"))
 
 
+def paged_lines(load) -> DataFrame:
+    """Text lines where their page is put together."""
+    chars = load("documents").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return O.spread_pages(text_lines(load), chars)
+
+
 def glyphs(load) -> DataFrame:
     """One glyph run per word; size, font and position follow from document, line and word number."""
-    words = text_lines(load).select("*", F.posexplode(F.split("line", " ")).alias("word_no", "word"))
+    words = paged_lines(load).select("*", F.posexplode(F.split("line", " ")).alias("word_no", "word"))
     style, word_no = F.col("style"), F.col("word_no")
     size = F.lit(STYLES[-1][0])
     font = F.lit(STYLES[-1][1])
@@ -40,7 +46,7 @@ def glyphs(load) -> DataFrame:
 def page_texts(load) -> DataFrame:
     """Page texts; lines of one style are followed by an empty line, so there are paragraphs."""
     shown = F.concat("line", F.when(F.col("style") == 3, "\n").otherwise(""))
-    return text_lines(load).groupBy("doc_id", "page").agg(F.array_join(F.transform(
+    return paged_lines(load).groupBy("doc_id", "page").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", shown.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
 
 
