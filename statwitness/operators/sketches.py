@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from statwitness.functions import text as T
 from statwitness.operators.ordered import top_n
 from statwitness.operators.profile import KEYS, _kind
+from statwitness.session import materialise
 
 LOG_REGISTERS = 14
 LISTED = 64  # values listed per column and file
@@ -29,15 +30,16 @@ def distinct_error(sigmas: float = 4.0) -> float:
 def summarise(cells: DataFrame, part: Column, listed: int = LISTED) -> tuple[DataFrame, DataFrame]:
     """(columns, values): per part (a file, say) and column the counts, sketch and left-out bound; and the listed values.
 
-    cells(table_id, col_no, column_name, value). Values are counted per part, with map-side combining; only summaries go on."""
+    cells(table_id, col_no, column_name, value). Values are counted per part, with map-side combining; only summaries go on.
+    Both results read the counts and the ranks, which are written once."""
     value, keys = F.col("value"), ["part", *KEYS]
-    counted = cells.withColumn("part", part).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(cells.withColumn("part", part).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
     rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     columns = counted.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"), rows(value.isNotNull()).alias("n_non_null"), rows(value.rlike(T.NUMBER_PATTERN)).alias("n_numeric"),
         rows(value.rlike(T.INTEGER_PATTERN)).alias("n_integer"), rows(F.lower(value).isin("true", "false")).alias("n_bool"),
         F.hll_sketch_agg(value, F.lit(LOG_REGISTERS)).alias("sketch"))
-    ranked = top_n(counted.filter(value.isNotNull()), keys, [F.desc("n"), F.asc("value")], listed + 1)
+    ranked = materialise(top_n(counted.filter(value.isNotNull()), keys, [F.desc("n"), F.asc("value")], listed + 1))
     left_out = ranked.filter(F.col("rank") == listed + 1).select(*keys, F.col("n").alias("left_out"))
     bounded = columns.join(left_out, keys, "left").fillna(0, ["left_out"])
     values = ranked.filter(F.col("rank") <= listed).drop("rank").join(left_out, keys, "left").fillna(0, ["left_out"])

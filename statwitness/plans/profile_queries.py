@@ -218,7 +218,7 @@ def _(load):
     for arriving in (dealt.filter("part < 4"), dealt.filter("part >= 4")):
         S.save_summaries(*S.summarise(arriving, F.col("part")), path)
     columns, values = S.read_summaries(load.spark, path)
-    exact = O.value_counts(dealt)
+    exact = materialise(O.value_counts(dealt))
     distinct = exact.groupBy(*O.KEYS).agg(F.count("value").alias("true_distinct"))
     held = S.united_values(columns, values).join(exact.select(*O.KEYS, "value", "n"), [*O.KEYS, "value"]).groupBy(*O.KEYS).agg(
         F.bool_and(F.col("n").between(F.col("n_low"), F.col("n_high"))).alias("counts_within"))

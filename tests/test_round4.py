@@ -2,7 +2,9 @@
 
 import random
 
-from statwitness.operators import extract as E, structure as S, style as Y
+from pyspark.sql import functions as F
+
+from statwitness.operators import extract as E, sketches as K, structure as S, style as Y
 from statwitness.operators.phrases import phrase_hits
 from statwitness.plans import structure_queries as Q
 
@@ -70,3 +72,11 @@ def test_places_against_a_search_of_every_page(spark):
     phrases = sorted({(d, " ".join(word() for _ in range(rng.randint(1, 3)))) for d in range(4) for _ in range(8)})
     found = S.phrase_places(spark.createDataFrame(phrases, "doc_id bigint, phrase string"), spark.createDataFrame(pages, "doc_id bigint, n bigint, page_text string"))
     assert sorted(map(tuple, found.collect())) == sorted((d, n, p, t.find(p) + 1) for d, n, t in pages for e, p in phrases if d == e and p in t)
+
+
+def test_summaries_count_their_cells_once(spark):
+    cells = spark.createDataFrame([("t", 1, "c", v) for v in ("1", "1", "x", None)], "table_id string, col_no int, column_name string, value string")
+    columns, values = K.summarise(cells, F.lit(0), listed=1)
+    assert "ExistingRDD" not in plan(columns) + plan(values) and "LocalTableScan" not in plan(columns) + plan(values)
+    assert [(r.n_rows, r.n_non_null, r.n_numeric, r.left_out) for r in columns.collect()] == [(4, 3, 2, 1)]
+    assert [(r.value, r.n, r.left_out) for r in values.collect()] == [("1", 2, 1)]
