@@ -14,6 +14,7 @@ from statwitness.sources import exports, extractions as X, mappings as MP
 from statwitness.sources.tables import read_data_tables
 
 CREATED = "2024-01-15T10:30:00"
+TEXTS_PER_FILE = 2000
 
 
 def headlines(load) -> DataFrame:
@@ -248,7 +249,8 @@ def _(load):
         "o_orderkey", F.when(F.col("o_totalprice") > 300000, "N/A").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.when(F.col("o_totalprice") < 50000, "c").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
     ).write.csv(f"{folder}/orders.csv", header=True, escape='"')
-    load("documents").select("doc_id", "text").write.csv(
+    # a file is read by one task: files of a bounded number of texts
+    load("documents").select("doc_id", "text").write.option("maxRecordsPerFile", TEXTS_PER_FILE).csv(
         f"{folder}/documents.csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cells = read_data_tables(load.spark, [f"{folder}/orders.csv", f"{folder}/documents.csv"])
     return column_stats(value_counts(cells)).select("table_id", "column_name", "n_rows", "n_non_null", "n_distinct")

@@ -1,12 +1,15 @@
 """What grows with the texts takes no way through the driver, however small its file seems."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from statwitness.operators import extract as E, sketches as K, structure as S, style as Y
 from statwitness.operators.phrases import phrase_hits
-from statwitness.plans import structure_queries as Q
+from statwitness.plans import mapping_queries, structure_queries as Q
+from statwitness.plans.registry import REGISTRY
+from statwitness.sources.tables import read_data_tables
 
 
 def plan(df):
@@ -80,3 +83,14 @@ def test_summaries_count_their_cells_once(spark):
     assert "ExistingRDD" not in plan(columns) + plan(values) and "LocalTableScan" not in plan(columns) + plan(values)
     assert [(r.n_rows, r.n_non_null, r.n_numeric, r.left_out) for r in columns.collect()] == [(4, 3, 2, 1)]
     assert [(r.value, r.n, r.left_out) for r in values.collect()] == [("1", 2, 1)]
+
+
+def test_written_texts_are_read_in_files_of_a_bounded_number(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i, f"text\n{i}") for i in range(5)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 2.0, "a")], "o_orderkey bigint, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    paths = []
+    monkeypatch.setattr(mapping_queries, "TEXTS_PER_FILE", 2)
+    monkeypatch.setattr(mapping_queries, "read_data_tables", lambda s, p: paths.extend(p) or read_data_tables(s, p))
+    rows = REGISTRY["read_data_tables"].build(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows if r["table_id"] == "documents"} == {("documents", "doc_id", 5, 5, 5), ("documents", "text", 5, 5, 5)}
+    assert sum(f.endswith(".csv") for f in os.listdir(paths[1].removeprefix("file:"))) == 3
