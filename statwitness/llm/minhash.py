@@ -106,11 +106,14 @@ def features(docs: DataFrame, k: int, threshold: float, text: str, doc_id: str)
     """id, set size, digest of the set, band keys, sketch; the last three null for the empty set."""
     signer = Signer(bands_for(threshold))
 
+    def described(text):
+        s = shingle_set(text, k)
+        return (len(s), _digest(s), *signer.describe(s)) if len(s) else (0, None, None, None)
+
     def fn(ids, texts):
-        sets = [shingle_set(t, k) for t in texts]
-        described = [signer.describe(s) if len(s) else (None, None) for s in sets]
-        return (ids, [len(s) for s in sets], [_digest(s) if len(s) else None for s in sets],
-                [keys for keys, _ in described], [sketch for _, sketch in described])
+        # one set at a time: those of a batch together are as large as its texts
+        rows = [described(t) for t in texts]
+        return ids, *([row[i] for row in rows] for i in range(4))
 
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
     return map_rows(rows, fn, ["id", "text"], f"id {dict(rows.dtypes)['id']}, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
