@@ -24,6 +24,7 @@ of equally good items the smallest id is named.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,8 @@ COSINE = 0.45
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.7, 0.5, 0.8
 MAX_QUERY_WORDS = 2_000_000
 CHUNK_WORDS = 1 << 14  # words of documents worked on at once
-SLICE = 1 << 14  # candidates whose words are counted at once
+TABLE = 1 << 20  # marks of words looked up at once
+SLICE = 1 << 18  # words of candidates marked at once
 
 
 def hashes_of(text: str | None) -> np.ndarray:
@@ -156,9 +158,9 @@ def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
 class Queries(NamedTuple):
     ids: list  # item ids
     hashes: list[np.ndarray]  # words of the items, 32-bit
+    lengths: np.ndarray  # of the items
     tier: np.ndarray  # which window size
     vectors: np.ndarray  # unit latent vectors
-    has: np.ndarray  # item x bin: whether the bin occurs in the item
     rare: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted distinct hashes of rare words, where each one's items begin, the items
     least: np.ndarray  # how many of an item's rare words a match holds at least
 
@@ -197,15 +199,13 @@ def prepare(items: list[tuple], idf: np.ndarray, basis: np.ndarray) -> tuple[np.
     kept = [(i, hashes_of(t)) for i, t in items]
     kept = [(i, h) for i, h in kept if len(h)]
     vectors = np.zeros((len(kept), basis.shape[1]), np.float32)
-    has = np.zeros((len(kept), BINS), bool)
     for r, (_, h) in enumerate(kept):
         v = embedding[bins_of(h)].sum(axis=0)
         vectors[r] = v / (np.linalg.norm(v) + 1e-12)
-        has[r, bins_of(h)] = True
     tier = np.array([next((k for k, (w, _) in enumerate(WINDOWS) if 3 * w >= 2 * len(h)), len(WINDOWS) - 1) for _, h in kept], np.int64)
     hashes = [h for _, h in kept]
     rare, least = rare_words(hashes, tier, idf)
-    return embedding, Queries([i for i, _ in kept], hashes, tier, vectors, has, rare, least)
+    return embedding, Queries([i for i, _ in kept], hashes, np.array([len(h) for h in hashes], np.int64), tier, vectors, rare, least)
 
 
 def needed(n: int) -> int:
@@ -247,21 +247,91 @@ def windows(blocks: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.nd
     return owner, np.minimum(rank * (step // STEP), last[owner])
 
 
-def search(hashes: list[np.ndarray], embedding: np.ndarray, q: Queries, cosine: float = COSINE) -> list[tuple[int, int, int, int]]:
-    """Candidates (document, item, start, end): windows near an item in the latent space that can hold enough of it.
-    An item of common words only has no direction there; all windows are its candidates."""
-    out = []
-    places = [d for d, h in enumerate(hashes) if len(h)]
-    if not places or not q.ids:
-        return out
-    lengths = np.array([len(hashes[d]) for d in places])
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    bins = bins_of(np.concatenate([hashes[d] for d in places]))
+class Chunk:
+    """Documents worked on at once, their words numbered."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.hashes = hashes
+        self.lengths = np.array([len(h) for h in hashes], np.int64)
+        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths)])
+        self.words = np.concatenate([*hashes, np.zeros(0, np.uint32)])
+        self.distinct, self.number = np.unique(self.words, return_inverse=True)
+
+    def marks(self, items: list[np.ndarray], width: int) -> np.ndarray:
+        """Column by column of 64 places, for every item and number of a word, and one number that no word has: a bit for each
+        place of the item where the word stands."""
+        owner = np.repeat(np.arange(len(items)), [len(h) for h in items])
+        place = np.concatenate([np.arange(len(h)) for h in items])
+        every = np.concatenate(items)
+        at = np.minimum(np.searchsorted(self.distinct, every), len(self.distinct) - 1)
+        there = self.distinct[at] == every
+        table = np.zeros((width, len(items) * (len(self.distinct) + 1)), np.uint64)
+        np.bitwise_or.at(table, (place[there] // 64, owner[there] * (len(self.distinct) + 1) + at[there]),
+                         np.uint64(1) << (place[there] % 64).astype(np.uint64))
+        return table
+
+
+def marked_areas(chunk: Chunk, q: Queries, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For candidates, words [low, high) against an item, some at a time: which ones, and the marks of their words (column, candidate, word)."""
+    width = -(-q.lengths[item] // 64)
+    numbers = len(chunk.distinct) + 1
+    part = item // max(1, TABLE // numbers)
+    order = np.lexsort((high - low, part, width))
+    for group in np.split(order, np.nonzero(np.diff(width[order]) | np.diff(part[order]))[0] + 1) if len(order) else ():
+        w = int(width[group[0]])
+        members, row = np.unique(item[group], return_inverse=True)
+        table = chunk.marks([q.hashes[i] for i in members], w)
+        size = max(1, SLICE // (w * int(high[group[-1]] - low[group[-1]])))
+        for at in range(0, len(group), size):
+            some = group[at : at + size]
+            where = low[some][:, None] + np.arange((high - low)[some].max())
+            number = np.where(where < high[some][:, None], chunk.number[np.minimum(where, len(chunk.number) - 1)], numbers - 1)
+            yield some, table[:, row[at : at + size][:, None] * numbers + number]
+
+
+def held(marks: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """For candidates' marks: how many places of the item, from ``first`` on, have their word in the area. No common subsequence is longer."""
+    places = np.bitwise_or.reduce(marks, axis=2)
+    if first is not None:
+        skipped = np.clip(first - 64 * np.arange(len(marks))[:, None], 0, 64)
+        places = np.where(skipped < 64, places >> np.minimum(skipped, 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_count(places).sum(axis=0, dtype=np.int64)
+
+
+def as_numbers(marks: np.ndarray) -> list[int]:
+    """Marks of one area (column, word), each as one number; words that the item does not have are left out."""
+    marks = marks[:, marks.any(axis=0)]
+    out = marks[0].tolist()
+    for row in range(1, len(marks)):
+        out = [x | y << (64 * row) for x, y in zip(out, marks[row].tolist())]
+    return out
+
+
+def lcs_marked(n: int, marks: list[int]) -> int:
+    """``lcs_length`` of an item of n words and the words that have these marks."""
+    full = (1 << n) - 1
+    v = full
+    for m in marks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+Candidates = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # documents, items, starts, ends
+
+
+def search(chunk: Chunk, embedding: np.ndarray, q: Queries, cosine: float = COSINE) -> Candidates:
+    """Windows near an item in the latent space. An item of common words only has no direction there; all windows are its candidates."""
+    out = [np.zeros((4, 0), np.int64)]
+    places = np.nonzero(chunk.lengths)[0]
+    if not len(places) or not q.ids:
+        return tuple(out[0])
+    lengths, offsets = chunk.lengths[places], np.append(chunk.offsets[places], chunk.offsets[-1])
     blocks = -(-lengths // STEP)
     first = np.concatenate([[0], np.cumsum(blocks)])
     begin = np.repeat(offsets[:-1] - first[:-1] * STEP, blocks) + np.arange(first[-1]) * STEP
     sums = np.zeros((first[-1] + 1, embedding.shape[1]))
-    np.cumsum(np.add.reduceat(embedding[bins], begin, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+    np.cumsum(np.add.reduceat(embedding[bins_of(chunk.words)], begin, axis=0), axis=0, dtype=np.float64, out=sums[1:])
     lost = ~q.vectors.any(axis=1)
     for k, (size, step) in enumerate(WINDOWS):
         items = np.nonzero(q.tier == k)[0]
@@ -274,36 +344,45 @@ def search(hashes: list[np.ndarray], embedding: np.ndarray, q: Queries, cosine:
         near = x @ q.vectors[items].T >= cosine
         near[:, lost[items]] = True
         w, i = np.nonzero(near)
-        i = items[i]
-        start, end = block * STEP, np.minimum(until * STEP, lengths[owner])
-        # words of the window whose bin occurs in the item: an upper bound of the common subsequence inside it
-        need = np.array([PARAPHRASE_SHARE * 0.6 * min(len(h), size) for h in q.hashes])
-        for at in range(0, len(w), SLICE):
-            ww, ii = w[at : at + SLICE], i[at : at + SLICE]
-            where = (start[ww] + offsets[owner[ww]])[:, None] + np.arange(size)
-            valid = np.arange(size) < (end - start)[ww][:, None]
-            shared = (q.has[ii[:, None], bins[np.minimum(where, len(bins) - 1)]] & valid).sum(axis=1)
-            ok = shared >= need[ii]
-            out += [(places[owner[x]], int(y), int(start[x]), int(end[x])) for x, y in zip(ww[ok], ii[ok])]
-    return out
+        out.append(np.stack([places[owner[w]], items[i], block[w] * STEP, np.minimum(until[w] * STEP, lengths[owner[w]])]))
+    return tuple(np.concatenate(out, axis=1))
 
 
-def complete(hashes: list[np.ndarray], q: Queries) -> list[tuple[int, int, int, int]]:
-    """Candidates (document, item, start, end): of windows of the item's size that begin at blocks, all that ``judge`` could accept."""
-    out: list[tuple[int, int, int, int]] = []
+def rare_places(chunk: Chunk, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """Where rare words of items stand, by item and place."""
     vocabulary, first, items = q.rare
-    lengths = np.array([len(h) for h in hashes])
-    if not len(vocabulary) or not lengths.sum():
-        return out
-    every = np.concatenate(hashes)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    at = np.minimum(np.searchsorted(vocabulary, every), len(vocabulary) - 1)
-    hit = np.nonzero(vocabulary[at] == every)[0]
-    count = first[at[hit] + 1] - first[at[hit]]
+    if not len(vocabulary) or not len(chunk.words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # each distinct word is looked up once
+    at = np.minimum(np.searchsorted(vocabulary, chunk.distinct), len(vocabulary) - 1)
+    known = np.where(vocabulary[at] == chunk.distinct, at, -1)[chunk.number]
+    hit = np.nonzero(known >= 0)[0]
+    begin = first[known[hit]]
+    count = first[known[hit] + 1] - begin
     place = np.repeat(hit, count)
-    item = items[np.arange(count.sum()) + np.repeat(first[at[hit]] - np.cumsum(count) + count, count)]
-    order = np.lexsort((place, item))
-    place, item = place[order], item[order]
+    item = items[np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)]
+    order = np.argsort(item, kind="stable")
+    return place[order], item[order]
+
+
+def plausible(chunk: Chunk, candidates: Candidates, q: Queries, rare: tuple[np.ndarray, np.ndarray]) -> Candidates:
+    """The candidates whose area has as many rare words of the item as every match holds."""
+    doc, item, start, end = candidates
+    low, high = areas(chunk, candidates, q)
+    place, owner = rare
+    total = len(chunk.words) + 1
+    keys = owner * total + place
+    ok = np.searchsorted(keys, item * total + high) - np.searchsorted(keys, item * total + low) >= q.least[item]
+    return doc[ok], item[ok], start[ok], end[ok]
+
+
+def complete(chunk: Chunk, q: Queries, rare: tuple[np.ndarray, np.ndarray]) -> Candidates:
+    """Of windows of the item's size that begin at blocks, all that ``judge`` could accept."""
+    out = [np.zeros((4, 0), np.int64)]
+    place, item = rare
+    if not len(place):
+        return tuple(out[0])
+    lengths, offsets = chunk.lengths, chunk.offsets
     doc = np.searchsorted(offsets, place, side="right") - 1
     sizes = np.array([w for w, _ in WINDOWS])[q.tier]
     reaches = np.array([reach(len(h), w) for h, w in zip(q.hashes, sizes)])
@@ -320,26 +399,51 @@ def complete(hashes: list[np.ndarray], q: Queries) -> list[tuple[int, int, int,
             regions[-1][3] = max(regions[-1][3], high)
         elif low <= high:
             regions.append([d, i, low, high])
-    for d, i, low, high in regions:
-        n, size = len(q.hashes[i]), int(sizes[i])
-        # pieces of a few windows: what the text around all of them cannot hold, none of them holds
-        span = max(n // STEP, 8) * STEP
-        for start in range(low, high + 1, span):
-            stop = min(start + span - STEP, high)
-            area = hashes[d][max(0, start - max(n, 8)) : stop + size + max(n, 8)]
-            if lcs_length(q.hashes[i], area) >= needed(n):
-                out += [(d, i, x, min(x + size, int(lengths[d]))) for x in range(start, stop + 1, STEP)]
-    return out
-
-
-def best_item(candidates: list[tuple[int, int, int, int]], hashes: list[np.ndarray], q: Queries) -> dict[int, dict[int, float]]:
-    """For each document the contaminating items and their shares."""
+    # pieces of a few windows: what the text around all of them cannot hold, none of them holds
+    pieces = np.array([(d, i, start, min(start + span - STEP, high)) for d, i, low, high in regions for span in [max(len(q.hashes[i]) // STEP, 8) * STEP]
+                       for start in range(low, high + 1, span)], np.int64).reshape(-1, 4)
+    doc, item, start, stop = pieces.T
+    margin = np.maximum(q.lengths[item], 8)
+    low, high = offsets[doc] + np.maximum(start - margin, 0), offsets[doc] + np.minimum(stop + sizes[item] + margin, lengths[doc])
+    fewest = np.array([needed(len(h)) for h in q.hashes])[item]
+    for some, marks in marked_areas(chunk, q, item, low, high):
+        for at in np.nonzero(held(marks) >= fewest[some])[0].tolist():
+            k = some[at]
+            if lcs_marked(len(q.hashes[item[k]]), as_numbers(marks[:, at])) >= fewest[k]:
+                begin = np.arange(start[k], stop[k] + 1, STEP)
+                out.append(np.stack([np.full(len(begin), doc[k]), np.full(len(begin), item[k]), begin, np.minimum(begin + sizes[item[k]], lengths[doc[k]])]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def areas(chunk: Chunk, candidates: Candidates, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """The words around each window that ``judge`` reads, as [low, high) of the chunk."""
+    doc, item, start, end = candidates
+    n = q.lengths[item]
+    margin = np.maximum(np.maximum(n - (end - start) // 2, n // 3), 8)
+    return chunk.offsets[doc] + np.maximum(start - margin, 0), chunk.offsets[doc] + np.minimum(end + margin, chunk.lengths[doc])
+
+
+def best_item(chunk: Chunk, candidates: Candidates, q: Queries) -> dict[int, dict[int, float]]:
+    """For each document the contaminating items and their shares, as ``judge`` has them. Where the words of the area, in whatever
+    order, are too few for a match, there is none."""
     found: dict[int, dict[int, float]] = {}
-    for d, i, s, e in candidates:
-        if found.get(d, {}).get(i, 0.0) < 1.0:
-            share = judge(q.hashes[i], hashes[d], s, e)
-            if share > found.get(d, {}).get(i, 0.0):
-                found.setdefault(d, {})[i] = share
+    doc, item, start, end = candidates
+    once = np.unique(item * (len(chunk.words) + 1) + chunk.offsets[doc] + start, return_index=True)[1]
+    doc, item = doc[once], item[once]
+    low, high = areas(chunk, (doc, item, start[once], end[once]), q)
+    n = q.lengths[item]
+    answer = np.minimum(n, np.maximum(n // 4, 4))
+    for some, marks in marked_areas(chunk, q, item, low, high):
+        most = held(marks) / n[some]
+        may = (most >= LCS_SHARE) | ((most >= PARAPHRASE_SHARE) & (held(marks, (n - answer)[some]) >= ANSWER_SHARE * answer[some]))
+        for at in np.nonzero(may)[0].tolist():
+            k = some[at]
+            d, i, size, last = int(doc[k]), int(item[k]), int(n[k]), int(answer[k])
+            if found.get(d, {}).get(i, 0.0) < 1.0:
+                area = as_numbers(marks[:, at])
+                share = lcs_marked(size, area) / size
+                if share >= LCS_SHARE or share >= PARAPHRASE_SHARE and lcs_marked(last, [m >> (size - last) for m in area]) >= ANSWER_SHARE * last:
+                    found.setdefault(d, {})[i] = max(share, found.get(d, {}).get(i, 0.0))
     return found
 
 
@@ -362,23 +466,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     def fn(ids, docs_words):
         embedding, q = shared.value
         results: list = [None] * len(ids)
-        held: list[tuple[int, np.ndarray]] = []
+        some: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def work():
-            hashes = [h for _, h in held]
-            for d, per_item in best_item(search(hashes, embedding, q, cosine) + complete(hashes, q), hashes, q).items():
-                results[held[d][0]] = per_item
-            held.clear()
+            chunk = Chunk([h for _, h in some])
+            rare = rare_places(chunk, q)
+            both = zip(plausible(chunk, search(chunk, embedding, q, cosine), q, rare), complete(chunk, q, rare))
+            for d, per_item in best_item(chunk, tuple(map(np.concatenate, both)), q).items():
+                results[some[d][0]] = per_item
+            some.clear()
 
         for at, d in enumerate(docs_words):
             h = np.frombuffer(d, np.uint32)
-            held.append((at, h))
+            some.append((at, h))
             size += len(h)
             if size >= CHUNK_WORDS:
                 work()
                 size = 0
-        if held:
+        if some:
             work()
         best = [max(r.items(), key=lambda x: (x[1], -x[0])) if r else None for r in results]
         return (ids, [r is not None for r in results], [len(r or ()) for r in results],
