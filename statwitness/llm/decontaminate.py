@@ -42,6 +42,7 @@ COSINE = 0.45
 LCS_SHARE, PARAPHRASE_SHARE, ANSWER_SHARE = 0.7, 0.5, 0.8
 MAX_QUERY_WORDS = 2_000_000
 CHUNK_WORDS = 1 << 14  # words of documents worked on at once
+BASIS_WORDS = 1 << 12  # as many as add to the basis at once: their rows stay in the processor's cache
 TABLE = 1 << 20  # marks of words looked up at once
 SLICE = 1 << 18  # words of candidates marked at once
 
@@ -107,8 +108,9 @@ def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
         y = np.add.reduceat(weighted[b], begin, axis=0)  # a row of A W for each passage
         row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(b))))
         order = np.argsort(b, kind="stable")
-        at, first = np.unique(b[order], return_index=True)
-        z[at] += np.add.reduceat(y[row[order]], first, axis=0)
+        by_bin = b[order]
+        first = np.nonzero(np.append(True, by_bin[1:] != by_bin[:-1]))[0]
+        z[by_bin[first]] += np.add.reduceat(y[row[order]], first, axis=0)
 
     def run(batches):
         import pyarrow as pa
@@ -125,7 +127,7 @@ def latent_basis(hashed: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
                     number += -(-len(b) // PASSAGE)
                     size += len(bins[-1])
                     some = True
-                if size >= CHUNK_WORDS:
+                if size >= BASIS_WORDS:
                     add(z, weighted, bins, passages)
                     bins, passages, size = [], [], 0
         if bins:

@@ -9,8 +9,10 @@ Documents of equal sets are one class and are represented by one row from then o
 candidates. Candidates are never expanded into all pairs of a band: in each round a few members of a band are hubs, and
 hubs meet the members that are not yet known to be in their component. Members of too different a size are left out, and so are those
 whose sketches (one bit of each of ``SKETCH`` signature values) differ in more places than linked documents do but once in
-``MISS`` cases. Rounds go on until every band is in one component or all its pairs are decided, so nothing is lost
-to a cap. Every link is confirmed on the full sets of both documents. Components come from repeated star contraction.
+``MISS`` cases. From the second round on, so are pairs that cannot have enough shingles in common by what both share with a third member
+(``overlaps``), which decides most pairs of copies of one text that are near the threshold, and exactly so.
+Rounds go on until every band is in one component or all its pairs are decided, so nothing is lost to a cap. Every link is confirmed on
+the full sets of both documents. Components come from repeated star contraction.
 
 Defined results: words are lower-cased in A-Z only and split at ASCII white space; a document with fewer words than a shingle has one shingle,
 its word sequence; null, empty and blank texts have none, link with nothing and are kept; of a component the smallest
@@ -177,6 +179,51 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def overlaps(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """What bounds the intersections of members, by digest: core, how many of its shingles some other member has too; ref, a member that
+    shares a band with it, the same one for most copies of a text; mask, which shingles of ref it has; extra, how many shingles of its core ref
+    does not have. Two members of one ref share at most the common bits of their masks and the smaller extra, others at most the smaller core."""
+    asked = members.select("digest", "n").distinct().join(sets, "digest")
+
+    def listed(digests, packed):
+        owners, shingles = [], []
+        for d, p in zip(digests, packed):
+            found = np.frombuffer(p, np.int64)
+            owners += [d] * len(found)
+            shingles.append(found)
+        return owners, np.concatenate(shingles) if shingles else []
+
+    single = map_rows(asked, listed, ["digest", "shingles"], "digest binary, shingle bigint").groupBy("shingle").agg(
+        F.count("*").alias("c"), F.min("digest").alias("digest")).filter("c = 1").groupBy("digest").agg(F.count("*").alias("own"))
+    cores = materialise(asked.select("digest", "n").join(single, "digest", "left").select("digest", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core")))
+    # the member with most in common with the others: what it does not have, few others have
+    placed = members.select("bucket", "digest").join(cores, "digest")
+    most = placed.groupBy("bucket").agg(F.max(F.struct("core", F.col("digest").alias("ref"))).alias("most"))
+    refs = placed.join(most, "bucket").groupBy("digest").agg(F.max("most")["ref"].alias("ref"))
+    both = asked.select("digest", "shingles").join(cores, "digest").join(refs, "digest").join(
+        sets.select(F.col("digest").alias("ref"), F.col("shingles").alias("of_ref")), "ref")
+
+    def masked(digests, core, ref, shingles, of_ref):
+        masks, extra = [], []
+        for c, p, q in zip(core, shingles, of_ref):
+            mine, other = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            there = mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other
+            masks.append(np.packbits(np.append(there, np.zeros(-len(there) % 64, bool))).view(np.int64))
+            extra.append(max(0, c - int(there.sum())))  # ref has its own shingles too, which are in no core
+        return digests, core, ref, masks, extra
+
+    return map_rows(both, masked, ["digest", "core", "ref", "shingles", "of_ref"], "digest binary, core bigint, ref binary, mask array<bigint>, extra bigint")
+
+
+def undecided(members: DataFrame, threshold: int) -> DataFrame:
+    """The members of bands that are in several components, without those whose core is too small for a link with any set as small as the
+    smallest of the band: 100 * core >= threshold * (n + other - core) must hold."""
+    lows = members.groupBy("bucket").agg(F.min("n").alias("fewest"))
+    able = members.join(lows, "bucket").filter((100 + threshold) * F.col("core") >= threshold * (F.col("n") + F.col("fewest"))).drop("fewest")
+    still = able.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    return able.join(still, "bucket")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str = "text", doc_id: str = "doc_id") -> Near:
     """Documents linked where 100 * intersection >= ``threshold`` * union of their sets of ``k``-word shingles."""
     spark = docs.sparkSession
@@ -191,25 +238,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
     sets = materialise(sets_of(docs, wanted, k, text, doc_id))
     empty_pairs = spark.createDataFrame([], "a binary, b binary, shared bigint, joined bigint")
     verified, comps, hubs_done = empty_pairs, None, None
-    held = ["bucket", "band", "digest", "n", "sketch", "bands", "component"]
-    members, turn = members.withColumn("component", F.col("digest")).select(*held), 0
+    held = ["bucket", "band", "digest", "n", "core", "ref", "mask", "extra", "sketch", "bands", "component"]
+    members, turn = members.withColumns({"component": F.col("digest"), "core": F.col("n"), "ref": F.lit(None).cast("binary"), "mask": F.lit(None).cast("array<bigint>"),
+                                        "extra": F.lit(None).cast("bigint")}).select(*held), 0
     while True:
         if turn:
             # a band is decided when all its members that were no hubs are in one component
             placed = members.join(comps.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-            placed = placed.join(hubs_done, ["bucket", "digest"], "left_anti")
-            still = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-            members = materialise(placed.join(still, "bucket").select(*held))
+            left = materialise(undecided(placed.join(hubs_done, ["bucket", "digest"], "left_anti"), threshold).select(*held))
+            if left.isEmpty():
+                break
+            bounded = left.drop("core", "ref", "mask", "extra").join(overlaps(left, sets), "digest")
+            members = materialise(undecided(bounded, threshold).select(*held))
         if members.isEmpty():
             break
         if turn == 0:
-            hubs = members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "sketch", "bands", "component")).alias("h")).select("bucket", "h.*")
+            hubs = members.groupBy("bucket").agg(F.min(F.struct("digest", *[c for c in held[1:] if c not in ("band", "digest")])).alias("h")).select("bucket", "h.*")
         else:
             # members of small components first: they are the ones still undecided
             sized = members.join(members.groupBy("bucket", "component").agg(F.count("*").alias("size")), ["bucket", "component"])
-            hubs = top_n(sized, ["bucket"], [F.col("size"), F.xxhash64("digest"), F.col("digest")], HUB_GROWTH**turn).select("bucket", "digest", "n", "sketch", "bands", "component")
+            hubs = top_n(sized, ["bucket"], [F.col("size"), F.xxhash64("digest"), F.col("digest")], HUB_GROWTH**turn).select(*[c for c in held if c != "band"])
         hubs = materialise(hubs)
-        h = hubs.select("bucket", F.col("digest").alias("h"), F.col("n").alias("hn"), F.col("sketch").alias("hs"), F.col("bands").alias("hb"), F.col("component").alias("hc"))
+        h = hubs.select("bucket", F.col("digest").alias("h"), F.col("n").alias("hn"), F.col("core").alias("hcore"), F.col("ref").alias("href"), F.col("mask").alias("hmask"), F.col("extra").alias("hextra"), F.col("sketch").alias("hs"), F.col("bands").alias("hb"), F.col("component").alias("hc"))
+        common = F.aggregate(F.zip_with("mask", "hmask", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
+        most = F.when(F.col("ref") == F.col("href"), common + F.least("extra", "hextra")).otherwise(F.least("core", "hcore"))
         # of two hubs of a band only the larger one meets the other
         marked = members.join(hubs.select("bucket", "digest", F.lit(True).alias("is_hub")), ["bucket", "digest"], "left")
         pairs = marked.join(h, "bucket").filter(
@@ -217,7 +269,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
             & (F.col("component") != F.col("hc")) & (100 * F.least("n", "hn") >= threshold * F.greatest("n", "hn"))
             & (differing("sketch", "hs") <= sketch_bound(share))
             # a pair is made in the first band that it shares, not in each
-            & (F.array_position(F.zip_with("bands", "hb", lambda x, y: x == y), True) == F.col("band") + 1))
+            & (F.array_position(F.zip_with("bands", "hb", lambda x, y: x == y), True) == F.col("band") + 1)
+            & ((100 + threshold) * most >= threshold * (F.col("n") + F.col("hn"))))
         pairs = pairs.select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
         new = materialise(verify(pairs, sets))
         linked = 100 * F.col("shared") >= threshold * F.col("joined")

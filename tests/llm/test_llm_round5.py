@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from statwitness.llm import decontaminate
+from statwitness.llm import decontaminate, minhash
+from statwitness.llm.common import shingle_set
 
 
 def prose(rng, n, vocabulary=4000):
@@ -39,3 +40,26 @@ def test_areas_without_an_items_words_are_not_aligned(monkeypatch):
         assert {(d, i): s for d, r in found.items() for i, s in r.items()} == best and len(best) > 10
         assert len(aligned) < len(every) / 10
     assert decontaminate.best_item(chunk, decontaminate.complete(chunk, q, decontaminate.rare_places(chunk, q)), q) == found
+
+
+def test_copies_that_hang_together_below_the_threshold_are_not_paired_one_by_one(spark, monkeypatch):
+    """Copies of one text that is not there, most of them too far from each other; links and components are those of all pairs."""
+    rng = random.Random(6)
+    base = prose(rng, 150, 10**6)
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 3, 4, 4, 4])):
+            w[at] = f"p{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(shingle_set(t, 3).tolist()) for t in texts]
+    links = [(i, j) for j in range(160) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    component = list(range(160))
+    for _ in range(160):
+        for i, j in links:
+            component[i] = component[j] = min(component[i], component[j])
+    asked, verify = [], minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, sets: asked.append(pairs.count()) or verify(pairs, sets))
+    found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3, 85).documents.collect()
+    assert {r.id: r.component_id for r in found} == dict(enumerate(component))
+    assert 1 < len(set(component)) < 150 and sum(asked) < 2000, (len(set(component)), sum(asked), len(links))
