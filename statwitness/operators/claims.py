@@ -59,12 +59,22 @@ def _as_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]", " "), F.lit(" "))
 
 
-def _names_in_order(words: str, entries: str) -> Column:
-    """Names of the entries mentioned as whole words, by their first mention; one inside a longer mention does not count."""
-    placed = F.filter(
+def _with_words(entries: str) -> Column:
+    """The entries with their mention as words, from either end, so that it is made once and not per number."""
+    return F.transform(F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["mention"].alias("mention"), _as_words(e["mention"]).alias("words"))), lambda e: F.struct(
+        e["name"].alias("name"), F.length(e["mention"]).alias("length"), e["words"].alias("words"), F.reverse(e["words"]).alias("reversed")))
+
+
+def _placed(words: str, entries: str) -> Column:
+    """The entries mentioned as whole words, with the place of their first mention."""
+    return F.filter(
         F.transform(entries, lambda e: F.struct(
-            F.instr(F.col(words), _as_words(e["mention"])).alias("at"), F.length(e["mention"]).alias("length"), e["name"].alias("name"))),
+            F.instr(F.col(words), e["words"]).alias("at"), e["length"].alias("length"), e["name"].alias("name"))),
         lambda s: s["at"] > 0)
+
+
+def _names_in_order(placed: str) -> Column:
+    """Names of the placed entries, by their first mention; one inside a longer mention does not count."""
     outer = F.filter(placed, lambda s: ~F.exists(placed, lambda o: (o["length"] > s["length"]) & (o["at"] <= s["at"]) & (
         o["at"] + o["length"] >= s["at"] + s["length"])))
     return F.array_distinct(F.transform(F.array_sort(F.transform(outer, lambda s: F.struct(s["at"], s["name"]))), lambda s: s["name"]))
@@ -73,15 +83,12 @@ def _names_in_order(words: str, entries: str) -> Column:
 def _nearest(entries: str) -> Column:
     """(distance, -length, name) of the entry mentioned as whole words closest to the number; a mention before it wins a
     tie, then the longer one."""
-
-    def distance(e: Column) -> Column:
-        back = F.instr(F.col("_back"), F.reverse(_as_words(e["mention"])))
-        ahead = F.instr(F.col("_ahead"), _as_words(e["mention"]))
-        return F.least(F.when(back > 0, (back - 1) * 2), F.when(ahead > 0, (ahead - 1) * 2 + 1))
-
-    return F.array_min(F.filter(
-        F.transform(entries, lambda e: F.struct(distance(e).alias("distance"), (-F.length(e["mention"])).alias("shorter"), e["name"].alias("name"))),
-        lambda s: s["distance"].isNotNull()))
+    met = F.transform(entries, lambda e: F.struct(
+        F.instr(F.col("_back"), e["reversed"]).alias("back"), F.instr(F.col("_ahead"), e["words"]).alias("ahead"),
+        (-e["length"]).alias("shorter"), e["name"].alias("name")))
+    return F.array_min(F.transform(F.filter(met, lambda m: (m["back"] > 0) | (m["ahead"] > 0)), lambda m: F.struct(
+        F.least(F.when(m["back"] > 0, (m["back"] - 1) * 2), F.when(m["ahead"] > 0, (m["ahead"] - 1) * 2 + 1)).alias("distance"),
+        m["shorter"].alias("shorter"), m["name"].alias("name"))))
 
 
 def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,13 +100,14 @@ def link_claims(sentences: DataFrame, vocabulary: DataFrame, keys: list[str]) ->
     mentioned names in order; every other number goes with the nearest mention. Numbers meet mentions
     inside their sentence, so no pairs are shuffled.
     """
-    held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(vocabulary, "extraction_id").withColumn("_s", F.lower("sentence"))
+    known = vocabulary.select("extraction_id", _with_words("metrics").alias("metrics"), _with_words("values").alias("values"), F.transform("values", lambda v: v["mention"]).alias("_mentions"))
+    held = sentences.filter(F.col("sentence").rlike("[0-9]")).join(known, "extraction_id").withColumn("_s", F.lower("sentence"))
     held = held.withColumns(_numbers("_s")).withColumn("_w", _as_words(F.col("_s"))).withColumns({
-        "_mentions": F.transform("values", lambda v: v["mention"]), "_cue": F.instr("_s", F.lit("respectively"))})
+        "_cue": F.instr("_s", F.lit("respectively")), "_placed_metrics": _placed("_w", "metrics"), "_placed_values": _placed("_w", "values")})
     is_claim = lambda raw: ~F.array_contains("_mentions", raw)
     before_cue = F.regexp_extract_all(F.substring("_s", F.lit(1), F.greatest(F.col("_cue") - 1, F.lit(0))), F.lit(NUMBER), F.lit(0))
     listed = held.withColumns({
-        "_metrics": _names_in_order("_w", "metrics"), "_values": _names_in_order("_w", "values"),
+        "_metrics": _names_in_order("_placed_metrics"), "_values": _names_in_order("_placed_values"),
         "_n": F.size(F.filter(before_cue, is_claim)), "_c": F.filter(_indexed(), lambda c: is_claim(c["raw"]))})
     keep = ["extraction_id", *keys, "sentence_no", "_s", "_found", "_between", "metrics", "values", "_metrics", "_values", "_cue", "_n"]
     one = explode_computed(listed, keep, F.col("_c"), "c", "_i").withColumn("_pos", _position(F.col("c.claim_no")))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from statwitness.operators import extract as E, sketches as K, structure as S, style as Y
+from statwitness.operators import claims as C, extract as E, sketches as K, structure as S, style as Y
 from statwitness.operators.phrases import phrase_hits
 from statwitness.plans import mapping_queries, structure_queries as Q
 from statwitness.plans.registry import REGISTRY
@@ -94,3 +94,18 @@ def test_written_texts_are_read_in_files_of_a_bounded_number(spark, monkeypatch,
     rows = REGISTRY["read_data_tables"].build(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in rows if r["table_id"] == "documents"} == {("documents", "doc_id", 5, 5, 5), ("documents", "text", 5, 5, 5)}
     assert sum(f.endswith(".csv") for f in os.listdir(paths[1].removeprefix("file:"))) == 3
+
+
+def test_mentions_are_made_words_once_and_not_per_number(spark):
+    """No mention is cleaned of its marks behind the join, where each number of a sentence meets it; marks, repeated and missing mentions as before."""
+    entries = "array<struct<name string, mention string>>"
+    vocabulary = spark.createDataFrame([("e", [("p", "average price"), ("u", "urgent"), ("n", None)], [("2023-24", "2023-24"), ("2022", "2022"), ("2022", "2022")]), ("f", None, [])],
+                                       f"extraction_id string, metrics {entries}, values {entries}")
+    sentences = spark.createDataFrame([("e", 0, "In 2022 the average-price was 5.5 while later urgent 7%."), ("e", 1, "In 2023/24: urgent 8, average price 9."), ("f", 0, "Urgent 3.")],
+                                      "extraction_id string, sentence_no int, sentence string")
+    out = C.link_claims(sentences, vocabulary, [])
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "_nearest" not in above and "regexp_replace(lambda" not in above, above
+    got = {(r.extraction_id, r.raw): (r.metric, r.filter_value) for r in out.collect()}
+    assert got[("e", "5.5")] == ("p", "2022") and got[("e", "7%")] == ("u", "2022") and got[("e", "8")] == ("u", "2023-24")
+    assert got[("f", "3")] == (None, None)
