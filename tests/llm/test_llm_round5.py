@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from statwitness.llm import decontaminate, minhash
-from statwitness.llm.common import shingle_set
+from statwitness.llm.common import map_rows, shingle_set
 
 
 def prose(rng, n, vocabulary=4000):
@@ -63,3 +63,16 @@ def test_copies_that_hang_together_below_the_threshold_are_not_paired_one_by_one
     found = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3, 85).documents.collect()
     assert {r.id: r.component_id for r in found} == dict(enumerate(component))
     assert 1 < len(set(component)) < 150 and sum(asked) < 2000, (len(set(component)), sum(asked), len(links))
+
+
+def test_a_batch_becomes_python_objects_in_parts(spark):
+    """Texts of a batch that is larger than a part; a row larger than a part stays whole; empty batches."""
+    def sizes(ids, texts):
+        total = sum(map(len, texts))
+        return ids, [len(t) for t in texts], [total] * len(ids)
+
+    docs = spark.range(200).coalesce(1).selectExpr("id", "repeat('x', case when id = 150 then 9000000 else 100000 end) as text")
+    rows = map_rows(docs, sizes, ["id", "text"], "id bigint, n bigint, total bigint").collect()
+    assert [(r.id, r.n) for r in rows] == [(i, 9000000 if i == 150 else 100000) for i in range(200)]
+    assert max(r.total for r in rows if r.id < 100) < 8_000_000, max(r.total for r in rows)
+    assert map_rows(docs.filter("id < 0"), sizes, ["id", "text"], "id bigint, n bigint, total bigint").collect() == []
