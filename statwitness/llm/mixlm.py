@@ -2,14 +2,18 @@
 
 A text is a sequence of tokens, words in lower case (A-Z) and one end; a token is coded as its bytes and a space, the end
 as the space alone, so the code words of a text form a proper prefix code and the probability of a text is that of its bits.
-Each bit is predicted in six hashed contexts: the one to four bytes before it inside the token, all bytes of the token so far, and
-those together with the text's last frequent word (one of the ``FREQUENT`` most frequent short words, which tells languages and
-registers apart). Every (context, bits of the byte so far) has a slot in the table of its context.
+Each bit is predicted in six hashed contexts: the one to four bytes before it in the text, whichever tokens they belong to (spaces before its
+start), all bytes of the token so far, and those together with the text's last frequent word (one of the ``FREQUENT`` most frequent short words,
+which tells languages and registers apart). Every (context, bits of the byte so far) has a slot in the table of its context.
+
+Four bytes reach over the start of a token from its first ``JOINT`` bytes only. So a token is coded in two parts: its joint, that is the ``JOINT``
+bytes of text before it (but for the space between) with its first ``JOINT`` bytes, and the bytes behind those, which depend on the word alone.
+Joints are few and frequent, so that the model meets every one of them once, as it does every word.
 
 Learning, all of it over all training texts:
 
-1. Tokens are counted per (last frequent word, word), in two folds of the documents.
-2. Tasks over words add the counts of both folds into tables of ``SLOTS`` slots and send the touched blocks; blocks are summed and
+1. Tokens and joints are counted per (last frequent word, word or joint), in two folds of the documents.
+2. Tasks over words and joints add the counts of both folds into tables of ``SLOTS`` slots and send the touched blocks; blocks are summed and
    turned into 16-bit states (quantised odds and amount). The size of the tables is fixed; what is sent to build them grows with the words.
    A token or pair met once teaches the short contexts only: its long contexts would fill the tables with paths never taken again.
 3. On the smaller fold, with states of the larger one, each state gets the odds that were then seen (a table of states per context), so a context
@@ -18,8 +22,8 @@ Learning, all of it over all training texts:
    place of the bit are learned online by gradient steps, and a last table (byte before, mixed odds) refines the mix adaptively. Tasks'
    weights are averaged by the mass they saw.
 
-Scoring evaluates the model once per (last frequent word, word) of the corpus. The most frequent ``HEAD`` of these pairs are broadcast and summed
-where the texts are read; the rest, each of bounded frequency, meets its texts in a join. The model is fixed while scoring, so that a score
+Scoring evaluates the model once per (last frequent word, word or joint) of the corpus. The most frequent ``HEAD`` pairs of each kind are broadcast and
+summed where the texts are read; the rest, each of bounded frequency, meets its texts in a join. The model is fixed while scoring, so that a score
 depends on the text alone and a lost task is repeated alike. The baseline, add-0.1 unigram log-probability, uses the same counts.
 
 Defined results: null and empty texts have one token, the end; a null id counts as empty text in the split; repeated rows are rows of their own; a
@@ -47,10 +51,12 @@ FREQUENT_BYTES = 6  # their greatest length
 SLOTS = 1 << 22  # slots of a context's table
 BLOCK = 1 << 12  # slots sent together
 ORDERS = 6
+JOINT = 3  # bytes of a token whose contexts reach over its start, and bytes before it that they reach
 WORDS_PER_TABLE = 700_000  # words whose counts one task adds up before it sends its tables
 HEAD = 1 << 19  # pairs that are broadcast, of at most HEAD_BYTES bytes each
 HEAD_BYTES = 64
 SLICE = 1 << 23  # bytes of text whose tokens are counted together
+JOINTS_HELD = 1 << 20  # joints whose counts a task adds up before it sends them
 SCORED_SLICE = 1 << 21  # bytes of text scored together
 BYTES = 1 << 17  # bytes coded at once
 STEP_BYTES = 1 << 14  # bytes of a gradient step, while learning weights
@@ -76,18 +82,19 @@ class Coded(NamedTuple):
     token: np.ndarray  # number of the token of each byte
     place: np.ndarray  # position in the token
     starts: np.ndarray  # of the tokens
+    before: np.ndarray | None = None  # tokens x JOINT: the bytes of text before each token and its space; None: spaces
 
 
-def code(tokens: list[bytes]) -> Coded:
+def code(tokens: list[bytes], before: np.ndarray | None = None) -> Coded:
     data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     token = np.repeat(np.arange(len(tokens)), lengths)
     starts = np.cumsum(lengths) - lengths
-    return Coded(data, token, np.arange(len(data)) - starts[token], starts)
+    return Coded(data, token, np.arange(len(data)) - starts[token], starts, before)
 
 
 def context_of(coded: Coded, order: int) -> np.ndarray:
-    """Hash of the ``order`` + 1 bytes before each byte (spaces before the start of the token), or of all of them for the last order."""
+    """Hash of the ``order`` + 1 bytes of text before each byte, or of all before it in its token for the last order."""
     if order == ORDERS - 2:
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(int(coded.place.max()) + 1, 0xD1342543DE82EF95, np.uint64))
@@ -99,6 +106,9 @@ def context_of(coded: Coded, order: int) -> np.ndarray:
         before = np.full(len(coded.data), 32, np.uint64)
         before[back:] = coded.data[:-back] if back < len(coded.data) else 0
         before[coded.place < back] = 32
+        if coded.before is not None:
+            over = np.nonzero(coded.place < back - 1)[0]  # over the space, which stands at place -1
+            before[over] = coded.before[coded.token[over], JOINT + 1 - back + coded.place[over]]
         near = near * np.uint64(257) + before
     return mix64(near * _P + np.uint64(order + 1))
 
@@ -124,6 +134,19 @@ def batches_of(lengths: list[int], size: int) -> Iterator[slice]:
         yield slice(at, len(lengths))
 
 
+class Places(NamedTuple):
+    """Which bytes of a token a row of the vocabulary stands for."""
+
+    low: int
+    high: float
+
+    def of(self, coded: Coded) -> np.ndarray:
+        return (coded.place >= self.low) & (coded.place < self.high)
+
+
+WHOLE, BEHIND, FIRST = Places(0, math.inf), Places(JOINT, math.inf), Places(0, JOINT)
+
+
 class Pairs(NamedTuple):
     """(last frequent word, token) pairs of a run of tokens, spread to bytes."""
 
@@ -133,32 +156,65 @@ class Pairs(NamedTuple):
     frequent: np.ndarray  # per byte
 
 
-def spread(tokens: list[bytes], owner: np.ndarray, frequent: np.ndarray) -> Pairs:
+def spread(tokens: list[bytes], owner: np.ndarray, frequent: np.ndarray, before: np.ndarray | None = None, places: Places = WHOLE) -> Pairs:
     """owner: token number of each pair."""
-    coded = code(tokens)
+    coded = code(tokens, before)
     lengths = np.bincount(coded.token, minlength=len(tokens))
     starts = np.cumsum(lengths) - lengths
     per_pair = lengths[owner]
     pair = np.repeat(np.arange(len(owner)), per_pair)
     inside = np.arange(len(pair)) - np.repeat(np.cumsum(per_pair) - per_pair, per_pair)
-    return Pairs(coded, starts[owner][pair] + inside, pair, frequent[pair])
+    byte = starts[owner][pair] + inside
+    if places != WHOLE:
+        kept = places.of(coded)[byte]
+        byte, pair = byte[kept], pair[kept]
+    return Pairs(coded, byte, pair, frequent[pair])
 
 
 # --- 2. tables ----------------------------------------------------------------------------------
 
 
-def _vocabulary_batches(batches: Iterator[pa.RecordBatch], size: int = BYTES) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per run of tokens: tokens, owner and frequent of each pair, counts of both folds."""
+class Run(NamedTuple):
+    """Some rows of the vocabulary: tokens with the bytes before them and the places that the rows stand for; owner, frequent and counts of both folds per pair."""
+
+    tokens: list[bytes]
+    before: np.ndarray | None
+    places: Places
+    owner: np.ndarray
+    frequent: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    def spread(self, kept: np.ndarray | slice = slice(None)) -> Pairs:
+        return spread(self.tokens, self.owner[kept], self.frequent[kept], self.before, self.places)
+
+
+def _kinds(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Places]]:
+    """The words and the joints of a batch; words without joints stand for all of their bytes."""
+    if "joint" not in batch.schema.names:
+        yield batch, WHOLE
+        return
+    joint = batch.column("joint")
+    for part, places in ((batch.filter(pc.invert(joint)), BEHIND), (batch.filter(joint), FIRST)):
+        if part.num_rows:
+            yield part, places
+
+
+def _vocabulary_batches(batches: Iterator[pa.RecordBatch], size: int = BYTES) -> Iterator[Run]:
     for batch in batches:
-        tokens = batch.column("word").to_pylist()
-        uses = batch.column("uses")
-        offsets = uses.offsets.to_numpy() - uses.offsets[0].as_py()
-        flat = uses.flatten()
-        f, a, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("frequent", "a", "b"))
-        for run in batches_of([len(t) for t in tokens], size):
-            lo, hi = offsets[run.start], offsets[run.stop]
-            owner = np.repeat(np.arange(run.stop - run.start), np.diff(offsets[run.start:run.stop + 1]))
-            yield tokens[run], owner, f[lo:hi], a[lo:hi], b[lo:hi]
+        for part, places in _kinds(batch):
+            tokens, before = part.column("word").to_pylist(), None
+            if places == FIRST:
+                before = np.frombuffer(b"".join(t[:JOINT] for t in tokens), np.uint8).reshape(-1, JOINT)
+                tokens = [t[JOINT:] for t in tokens]
+            uses = part.column("uses")
+            offsets = uses.offsets.to_numpy() - uses.offsets[0].as_py()
+            flat = uses.flatten()
+            f, a, b = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("frequent", "a", "b"))
+            for run in batches_of([len(t) for t in tokens], size):
+                lo, hi = offsets[run.start], offsets[run.stop]
+                owner = np.repeat(np.arange(run.stop - run.start), np.diff(offsets[run.start:run.stop + 1]))
+                yield Run(tokens[run], None if before is None else before[run], places, owner, f[lo:hi], a[lo:hi], b[lo:hi])
 
 
 def _bits(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -183,6 +239,10 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1:]), f"u{packed[0]}").astype(np.int64)
 
 
+def rows_of(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.select([c for c in ("joint", "word", "uses") if c in vocabulary.columns])
+
+
 def table_blocks(vocabulary: DataFrame) -> DataFrame:
     """order, block, a, b: summed counts (slot x bit) of the touched blocks of each task, packed."""
 
@@ -200,20 +260,26 @@ def table_blocks(vocabulary: DataFrame) -> DataFrame:
     def sent(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for order in range(ORDERS):
             tables = np.zeros((2, SLOTS * 2), np.int64)
-            for tokens, owner, frequent, a, b in _vocabulary_batches(iter(held)):
-                trained = (a + b) > (order == ORDERS - 1)
+            for run in _vocabulary_batches(iter(held)):
+                # joints teach the contexts that reach over a token's start, words the others
+                if order >= ORDERS - 2 and run.places == FIRST:
+                    continue
+                trained = (run.a + run.b) > (order == ORDERS - 1)
                 if not trained.any():
                     continue
                 if order < ORDERS - 1:
-                    coded = code(tokens)
+                    coded = code(run.tokens, run.before)
                     context, data = context_of(coded, order), coded.data
-                    counts = [np.bincount(owner, weights=c, minlength=len(tokens)).astype(np.int64) for c in (a, b)]
+                    counts = [np.bincount(run.owner, weights=c, minlength=len(run.tokens)).astype(np.int64) for c in (run.a, run.b)]
                     often = counts[0] + counts[1] > (order == ORDERS - 2)
                     counts = [(c * often)[coded.token] for c in counts]
+                    if order < ORDERS - 2 and run.places != WHOLE:
+                        kept = run.places.of(coded)
+                        context, data, counts = context[kept], data[kept], [c[kept] for c in counts]
                 else:
-                    pairs = spread(tokens, owner[trained], frequent[trained])
+                    pairs = spread(run.tokens, run.owner[trained], run.frequent[trained])
                     context, data = with_frequent(context_of(pairs.coded, ORDERS - 2)[pairs.byte], pairs.frequent), pairs.coded.data[pairs.byte]
-                    counts = [c[trained][pairs.pair] for c in (a, b)]
+                    counts = [c[trained][pairs.pair] for c in (run.a, run.b)]
                 used = [np.nonzero(c)[0] for c in counts]
                 for _, node, bit in _bits(data):
                     at = slots_of(context, node) * 2 + bit
@@ -224,7 +290,7 @@ def table_blocks(vocabulary: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"order": pa.array([order], pa.int32()), "block": pa.array([block], pa.int32()),
                                                   "a": pa.array([_pack(shaped[0, block])], pa.binary()), "b": pa.array([_pack(shaped[1, block])], pa.binary())})
 
-    return vocabulary.select("word", "uses").mapInArrow(run, "order int, block int, a binary, b binary")
+    return rows_of(vocabulary).mapInArrow(run, "order int, block int, a binary, b binary")
 
 
 def states_of(counts: np.ndarray) -> np.ndarray:
@@ -296,13 +362,16 @@ def bit_states(pairs: Pairs, tables: np.ndarray) -> Iterator[tuple[np.ndarray, n
     """Per bit of the bytes: states (ORDERS x bytes of pairs), gates (2 x bytes), bits."""
     coded = pairs.coded
     data = coded.data[pairs.byte]
-    contexts = [context_of(coded, order) for order in range(ORDERS - 1)]
-    last = with_frequent(contexts[-1][pairs.byte], pairs.frequent)
+    used = np.zeros(len(coded.data), bool)
+    used[pairs.byte] = True
+    byte = (np.cumsum(used) - 1)[pairs.byte]
+    contexts = [context_of(coded, order)[used] for order in range(ORDERS - 1)]
+    last = with_frequent(contexts[-1][byte], pairs.frequent)
     place = np.minimum(coded.place[pairs.byte], 7) * 8
-    for (at, node, bit), (_, own_node, _) in zip(_bits(data), _bits(coded.data)):
+    for (at, node, bit), (_, own_node, _) in zip(_bits(data), _bits(coded.data[used])):
         states = np.empty((ORDERS, len(data)), np.uint16)
         for order in range(ORDERS - 1):
-            states[order] = tables[order][slots_of(contexts[order], own_node)][pairs.byte]
+            states[order] = tables[order][slots_of(contexts[order], own_node)][byte]
         states[-1] = tables[-1][slots_of(last, node)]
         gates = np.stack([(states[-2] // ODDS).astype(np.int64) * AMOUNTS + states[-1] // ODDS, place + at])
         yield states, gates, bit
@@ -335,11 +404,12 @@ def _before(pairs: Pairs) -> np.ndarray:
 
 
 def _smaller_fold(batches: Iterator[pa.RecordBatch], size: int = BYTES) -> Iterator[tuple[Pairs, np.ndarray]]:
-    for tokens, owner, frequent, _, b in _vocabulary_batches(batches, size):
-        seen = b > 0
+    for run in _vocabulary_batches(batches, size):
+        seen = run.b > 0
         if seen.any():
-            pairs = spread(tokens, owner[seen], frequent[seen])
-            yield pairs, b[seen][pairs.pair].astype(np.float64)
+            pairs = run.spread(seen)
+            if len(pairs.byte):
+                yield pairs, run.b[seen][pairs.pair].astype(np.float64)
 
 
 def state_odds(vocabulary: DataFrame, tables) -> np.ndarray:
@@ -359,7 +429,7 @@ def state_odds(vocabulary: DataFrame, tables) -> np.ndarray:
     said[0] = 0  # never met
     weak = np.where(np.arange(STATES) // ODDS < 2, 0.5, 1.0) * said
     counts = np.zeros((ORDERS, STATES, 2))
-    rows = vocabulary.select("word", "uses").mapInArrow(run, "order int, state int, zeros double, ones double")
+    rows = rows_of(vocabulary).mapInArrow(run, "order int, state int, zeros double, ones double")
     for r in rows.groupBy("order", "state").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect():  # ORDERS * STATES rows
         counts[r["order"], r["state"]] = r["zeros"], r["ones"]
     p = 1 / (1 + np.exp(-weak))
@@ -400,7 +470,7 @@ def learn_weights(vocabulary: DataFrame, tables, odds: np.ndarray) -> Model:
         yield pa.RecordBatch.from_pydict({"side": pa.array([o[0] for o in out], pa.int32()), "gate": pa.array([o[1] for o in out], pa.int32()),
                                           "mass": pa.array([o[2] for o in out], pa.float64()), "sums": pa.array([o[3] for o in out], pa.list_(pa.float64()))})
 
-    rows = vocabulary.select("word", "uses").mapInArrow(run, "side int, gate int, mass double, sums array<double>")
+    rows = rows_of(vocabulary).mapInArrow(run, "side int, gate int, mass double, sums array<double>")
     each = rows.select("side", "gate", "mass", F.posexplode("sums").alias("k", "value"))
     weights = first_weights()
     last = np.zeros((256 * BUCKETS, 2))
@@ -430,7 +500,7 @@ def bits_of(pairs: Pairs, n_pairs: int, tables: np.ndarray, model: Model) -> np.
 
 
 class Learned(NamedTuple):
-    vocabulary: DataFrame  # word, c (training count), uses: array of (frequent, a, b, n)
+    vocabulary: DataFrame  # joint (whether the row is one: JOINT bytes before a token, then its first ones), word, c (training count), uses: array of (frequent, a, b, n)
     train_tokens: int
     train_words: int  # different tokens of training texts
     frequent: list[bytes]
@@ -439,12 +509,13 @@ class Learned(NamedTuple):
 
 
 class Tokens(NamedTuple):
-    """The tokens of some texts: different tokens, and for each use its token, text and last frequent word."""
+    """The tokens of some texts: different tokens, and for each use its token, text, last frequent word and joint (a number of 50 bits)."""
 
     words: pa.Array  # binary
     word: np.ndarray
     text: np.ndarray
     frequent: np.ndarray
+    joint: np.ndarray
     n_texts: int
 
 
@@ -459,6 +530,50 @@ def slices_of(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[slice, pa.Ar
         at = end
 
 
+def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: its last JOINT bytes, spaces where it has fewer, and its first JOINT bytes with their number, each as a number."""
+    offsets = words.offsets if hasattr(words, "offsets") else None
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1] if offsets is None else offsets.to_numpy()
+    buffer = words.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(1, np.uint8)
+    size = np.diff(offsets)
+    last, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for i in range(JOINT):
+        last = last << 8 | np.where(size >= JOINT - i, data[np.maximum(offsets[1:] - JOINT + i, 0)], 32)
+        first = first << 8 | np.where(size > i, data[np.minimum(offsets[:-1] + i, len(data) - 1)], 0)
+    return last, first << 2 | np.minimum(size, JOINT)
+
+
+def _joints(words: pa.Array, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The joint of each use of a word: what stands before it in its text, words with one space between, and how it begins."""
+    last, first = _ends(words)
+    size = pc.binary_length(words).to_numpy()
+    starts = np.concatenate([[True], text[1:] != text[:-1]])[:len(word)]
+    before = np.where(starts, 0x202020, last[np.concatenate([word[:1], word[:-1]])])
+    # behind a word of one byte the last byte of the word before it is in reach
+    single = np.nonzero(~starts[2:] & ~starts[1:-1] & (size[word[1:-1]] == 1))[0] + 2
+    before[single] = before[single] & 0xFFFF | (last[word[single - 2]] & 0xFF) << 16
+    return before << 26 | first[word]
+
+
+def joint_words(joints: np.ndarray) -> pa.Array:
+    """Joints as the bytes before the token, then its first ones."""
+    held = (joints >> 2).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - 2 * JOINT:]
+    size = JOINT + (joints & 3)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    data = held[np.arange(2 * JOINT) < size[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(joints), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def joint_numbers(words: pa.Array) -> np.ndarray:
+    """The reverse of ``joint_words``."""
+    held = np.array(words.to_pylist(), f"S{2 * JOINT}").view(np.uint8).reshape(-1, 2 * JOINT)
+    number = np.zeros(len(words), np.int64)
+    for i in range(2 * JOINT):
+        number = number << 8 | held[:, i]
+    return number << 2 | (pc.binary_length(words).to_numpy().astype(np.int64) - JOINT)
+
+
 def read_tokens(texts: pa.Array, frequent: list[bytes]) -> Tokens:
     """Words in lower case (A-Z), split at the six ASCII white-space characters, and an end (the empty token) behind each text's."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -482,7 +597,7 @@ def read_tokens(texts: pa.Array, frequent: list[bytes]) -> Tokens:
     last = np.maximum.accumulate(np.concatenate([[-1], at[:-1]]))
     starts = np.cumsum(per_text + 1) - per_text - 1
     last = np.where(last >= starts[text], last, -1)
-    return Tokens(known, word, text, np.where(last >= 0, number[word[last]], 0).astype(np.int64), len(texts))
+    return Tokens(known, word, text, np.where(last >= 0, number[word[last]], 0).astype(np.int64), _joints(known, word, text), len(texts))
 
 
 def _texts(docs: DataFrame, text: str, fold: Column) -> DataFrame:
@@ -505,9 +620,14 @@ def count_short_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str) -> DataFrame:
-    """word, frequent, a, b, n: tokens by fold (1: a, 2: b, 0: only n), sums per slice of a task."""
+    """joint, word, frequent, a, b, n: tokens and joints by fold (1: a, 2: b, 0: only n), sums per slice of a task."""
+    schema = pa.schema([("joint", pa.bool_()), ("word", pa.binary()), ("frequent", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def rows(joint: bool, words: pa.Array, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), joint)), words.cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), *map(pa.array, counts)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
         for batch in batches:
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             for at, texts in slices_of(batch.column("text")):
@@ -516,24 +636,50 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
                 fold_of = folds[at][tokens.text]
                 a, b = (np.bincount(back[fold_of == f], minlength=len(keys)) for f in (1, 2))
                 n = np.bincount(back, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [tokens.words.take(pa.array(keys // (FREQUENT + 1))).cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), pa.array(a), pa.array(b), pa.array(n)],
-                    names=["word", "frequent", "a", "b", "n"])
-
-    return _texts(docs, text, fold).mapInArrow(run, "word binary, frequent int, a bigint, b bigint, n bigint")
+                yield rows(False, tokens.words.take(pa.array(keys // (FREQUENT + 1))), keys, [a, b, n])
+                held = added_counts(held, counted(tokens.joint * (FREQUENT + 1) + tokens.frequent, fold_of))
+                if len(held[0]) > JOINTS_HELD:
+                    yield rows(True, joint_words(held[0] // (FREQUENT + 1)), held[0], list(held[1]))
+                    held = np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
+        if len(held[0]):
+            yield rows(True, joint_words(held[0] // (FREQUENT + 1)), held[0], list(held[1]))
+
+    return _texts(docs, text, fold).mapInArrow(run, "joint boolean, word binary, frequent int, a bigint, b bigint, n bigint")
+
+
+def counted(keys: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order; how many of each are in fold 1, in fold 2 and in all."""
+    found, n = np.unique(keys * 4 + fold, return_counts=True)
+    own, back = np.unique(found >> 2, return_inverse=True)
+    counts = np.zeros((3, len(own)), np.int64)
+    for row, f in enumerate((1, 2)):
+        here = found & 3 == f
+        counts[row, back[here]] = n[here]
+    np.add.at(counts[2], back, n)
+    return own, counts
+
+
+def added_counts(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not len(one[0]):
+        return two
+    keys = np.union1d(one[0], two[0])
+    counts = np.zeros((3, len(keys)), np.int64)
+    for own, c in (one, two):
+        counts[:, np.searchsorted(keys, own)] += c
+    return keys, counts
 
 
 def learn(docs: DataFrame, fold: Column, text: str = "text") -> Learned:
-    """fold per document: 1 the larger training fold, 2 the smaller, 0 not for training. The vocabulary holds all documents' tokens."""
+    """fold per document: 1 the larger training fold, 2 the smaller, 0 not for training. The vocabulary holds all documents' tokens and joints."""
     spark = docs.sparkSession
     top = count_short_words(docs.filter(fold > 0), text).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [bytes(r["word"]) for r in top]
-    pairs = count_tokens(docs, fold, frequent, text).repartition("word").groupBy("word", "frequent").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
+    pairs = count_tokens(docs, fold, frequent, text).repartition("joint", "word").groupBy("joint", "word", "frequent").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
     uses = F.array_sort(F.collect_list(F.struct("frequent", "a", "b", "n")))  # at most FREQUENT + 1 of a word
-    vocabulary = materialise(pairs.groupBy("word").agg(uses.alias("uses"), F.sum(F.col("a") + F.col("b")).alias("c")))
-    sums = vocabulary.agg(F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_words = sums["words"]
-    gathered = vocabulary.select("word", "uses").filter("c > 0").repartition(max(1, -(-n_words // WORDS_PER_TABLE)), "word")
+    vocabulary = materialise(pairs.groupBy("joint", "word").agg(uses.alias("uses"), F.sum(F.col("a") + F.col("b")).alias("c")))
+    of_word = F.when(~F.col("joint"), F.col("c"))
+    sums = vocabulary.agg(F.count("*").alias("rows"), F.coalesce(F.sum(of_word), F.lit(0)).alias("n"), F.count_if(of_word > 0).alias("v")).first()
+    gathered = rows_of(vocabulary.filter("c > 0")).repartition(max(1, -(-sums["rows"] // WORDS_PER_TABLE)), "joint", "word")
     larger, both = state_tables(table_blocks(gathered))
     shared = spark.sparkContext.broadcast(larger)
     odds = state_odds(vocabulary, shared)
@@ -543,29 +689,28 @@ def learn(docs: DataFrame, fold: Column, text: str = "text") -> Learned:
 
 
 def token_scores(learned: Learned) -> DataFrame:
-    """word, frequent, n, c, lp: log10 probability of every token after every frequent word it was met after."""
+    """joint, word, frequent, n, c, lp: log10 probability of every joint, and of what every token has behind its own, after every frequent word it was met after."""
     shared = learned.vocabulary.sparkSession.sparkContext.broadcast((learned.tables, learned.model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, model = shared.value
         for batch in batches:
-            out = []
-            for tokens, owner, frequent, _, _ in _vocabulary_batches(iter([batch])):
-                out.append(bits_of(spread(tokens, owner, frequent), len(owner), tables.array, model))
-            lp = np.concatenate(out) * -math.log10(2) if out else np.zeros(0)
-            uses = batch.column("uses")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(uses.offsets.to_numpy()))
-            flat = uses.flatten()
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(owner)), flat.field("frequent"), flat.field("n"), batch.column("c").take(pa.array(owner)), pa.array(lp)],
-                                             names=["word", "frequent", "n", "c", "lp"])
+            for part, _ in _kinds(batch):
+                out = [bits_of(r.spread(), len(r.owner), tables.array, model) for r in _vocabulary_batches(iter([part]))]
+                uses = part.column("uses")
+                owner = np.repeat(np.arange(part.num_rows), np.diff(uses.offsets.to_numpy()))
+                flat, of_row = uses.flatten(), part.select(["joint", "word", "c"]).take(pa.array(owner))
+                lp = np.concatenate(out) * -math.log10(2) if out else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([of_row.column("joint"), of_row.column("word"), flat.field("frequent"), flat.field("n"), of_row.column("c"), pa.array(lp)],
+                                                 names=["joint", "word", "frequent", "n", "c", "lp"])
 
-    return learned.vocabulary.mapInArrow(run, "word binary, frequent int, n bigint, c bigint, lp double")
+    return learned.vocabulary.mapInArrow(run, "joint boolean, word binary, frequent int, n bigint, c bigint, lp double")
 
 
 class Head(NamedTuple):
-    """The most frequent pairs: keys (number of the frequent word, then the token), training counts, log10 probabilities."""
+    """The most frequent pairs of a kind: keys (of words the number of the frequent word, then the token; of joints their numbers, in order), training counts, log10 probabilities."""
 
-    keys: pa.Array
+    keys: pa.Array | np.ndarray
     c: np.ndarray
     lp: np.ndarray
 
@@ -586,6 +731,17 @@ def head_of(scored: DataFrame, head: int = HEAD, head_bytes: int = HEAD_BYTES) -
     return Head(found.column("key").combine_chunks().cast(pa.large_binary()), found.column("c").to_numpy(), found.column("lp").to_numpy())
 
 
+def joint_head_of(scored: DataFrame, head: int = HEAD) -> Head:
+    found = head_of(scored.filter("joint"), head)
+    if not len(found.keys):
+        return Head(np.zeros(0, np.int64), found.c, found.lp)
+    held = found.keys.to_pylist()
+    frequent = np.frombuffer(b"".join(k[:1] for k in held), np.uint8)
+    keys = joint_numbers(pa.array([k[1:] for k in held], pa.binary())) * (FREQUENT + 1) + frequent
+    order = np.argsort(keys)
+    return Head(keys[order], found.c[order], found.lp[order])
+
+
 def _pair_key() -> Column:
     return F.concat(F.unhex(F.lpad(F.hex("frequent"), 2, "0")), F.col("word"))
 
@@ -595,6 +751,14 @@ def pair_keys(words: pa.Array, frequent: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(prefix, words, pa.scalar(b"", pa.large_binary()))
 
 
+def found_at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Positions in the ordered keys, -1 where they are not among them."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 def base_log(c, train_tokens: int, train_words: int, alpha: float = 0.1):
     return (c + alpha) / (train_tokens + alpha * (train_words + 1))
 
@@ -603,12 +767,12 @@ def score(docs: DataFrame, learned: Learned, text: str = "text", doc_id: str = "
     """id, n_tokens, n_known, n_bytes, base_score, score, bits_per_byte: a row per row of ``docs``."""
     scored = materialise(token_scores(learned))  # from here on the tables are not needed
     n, v = learned.train_tokens, learned.train_words
-    shared = docs.sparkSession.sparkContext.broadcast((learned.frequent, head_of(scored, head)))
+    shared = docs.sparkSession.sparkContext.broadcast((learned.frequent, head_of(scored.filter("not joint"), head), joint_head_of(scored, head)))
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, n_tokens bigint, n_bytes bigint, n_known bigint, base double, lp double, rest array<struct<frequent: int, word: binary, m: bigint>>"
+    schema = f"id {dict(rows.dtypes)['id']}, n_tokens bigint, n_bytes bigint, n_known bigint, base double, lp double, rest array<struct<joint: boolean, frequent: int, word: binary, m: bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known = shared.value
+        frequent, known, known_joints = shared.value
         base_of = np.log10(base_log(known.c, n, v)) if n else np.full(len(known.c), np.nan)
         for batch in batches:
             for at, texts in slices_of(batch.column("text"), SCORED_SLICE):
@@ -621,20 +785,31 @@ def score(docs: DataFrame, learned: Learned, text: str = "text", doc_id: str = "
                 met = hit >= 0
                 sums = [np.bincount(tokens.text[met], weights=w[hit[met]], minlength=k) for w in ((known.c > 0).astype(float), base_of, known.lp)]
                 size = pc.binary_length(tokens.words).to_numpy().astype(np.int64)[tokens.word] + 1
-                rest, m = np.unique(tokens.text[~met] * len(pairs) + back[~met], return_counts=True)
-                owner, pair = rest // max(len(pairs), 1), rest % max(len(pairs), 1)
-                fields = [pa.array(frequent_of[pair].astype(np.int32)), words_of.take(pa.array(pair)).cast(pa.binary()), pa.array(m)]
+                joints, joint_back = np.unique(tokens.joint * (FREQUENT + 1) + tokens.frequent, return_inverse=True)
+                joint_hit = found_at(known_joints.keys, joints)[joint_back]
+                joint_met = joint_hit >= 0
+                sums[2] = sums[2] + np.bincount(tokens.text[joint_met], weights=known_joints.lp[joint_hit[joint_met]], minlength=k)
+                # what is not in the heads: pairs of words, then those of joints
+                numbers = len(pairs) + len(joints)
+                rest, m = np.unique(np.concatenate([tokens.text[~met] * numbers + back[~met], tokens.text[~joint_met] * numbers + len(pairs) + joint_back[~joint_met]]), return_counts=True)
+                owner, pair = rest // max(numbers, 1), rest % max(numbers, 1)
+                of_joint = pair >= len(pairs)
+                own = np.unique(pair[of_joint]) - len(pairs)
+                place = np.where(of_joint, len(words_of) + np.searchsorted(own, pair - len(pairs)), pair)
+                named = pa.concat_arrays([words_of.cast(pa.binary()), joint_words(joints[own] // (FREQUENT + 1))])
+                frequent_of = np.concatenate([frequent_of, joints[own] % (FREQUENT + 1)])
+                fields = [pa.array(of_joint), pa.array(frequent_of[place].astype(np.int32)), named.take(pa.array(place)), pa.array(m)]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["frequent", "word", "m"]))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["joint", "frequent", "word", "m"]))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(at.start, k), pa.array(np.bincount(tokens.text, minlength=k)), pa.array(np.bincount(tokens.text, weights=size, minlength=k).astype(np.int64)),
                     pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float)), lists], names=["id", "n_tokens", "n_bytes", "n_known", "base", "lp", "rest"])
 
     read = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     rest = read.select("row", F.explode("rest").alias("r")).select("row", "r.*")
-    met = rest.join(scored, ["frequent", "word"]).groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("_known"),
-        F.sum(F.col("m") * F.log10((F.col("c") + 0.1) / (F.lit(float(n)) + 0.1 * (v + 1)))).alias("_base"), F.sum(F.col("m") * F.col("lp")).alias("_lp"))
+    met = rest.join(scored, ["joint", "frequent", "word"]).groupBy("row").agg(
+        F.sum(F.when(~F.col("joint") & (F.col("c") > 0), F.col("m")).otherwise(0)).alias("_known"),
+        F.sum(F.when(~F.col("joint"), F.col("m") * F.log10((F.col("c") + 0.1) / (F.lit(float(n)) + 0.1 * (v + 1))))).alias("_base"), F.sum(F.col("m") * F.col("lp")).alias("_lp"))
     added = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     summed = read.drop("rest").join(met, "row", "left")
     base = added("base", "_base") if n else F.lit(None).cast("double")
