@@ -22,7 +22,7 @@ Learning, all of it over all training texts:
    place of the bit are learned online by gradient steps, and a last table (byte before, mixed odds) refines the mix adaptively. Tasks'
    weights are averaged by the mass they saw.
 
-Scoring evaluates the model once per (last frequent word, word or joint) of the corpus. The most frequent ``HEAD`` pairs of each kind are broadcast and
+Scoring evaluates the model once per (last frequent word, word or joint) of the corpus. The most frequent pairs (``HEAD`` with words, twice as many with joints) are broadcast and
 summed where the texts are read; the rest, each of bounded frequency, meets its texts in a join. The model is fixed while scoring, so that a score
 depends on the text alone and a lost task is repeated alike. The baseline, add-0.1 unigram log-probability, uses the same counts.
 
@@ -53,7 +53,7 @@ BLOCK = 1 << 12  # slots sent together
 ORDERS = 6
 JOINT = 3  # bytes of a token whose contexts reach over its start, and bytes before it that they reach
 WORDS_PER_TABLE = 700_000  # words whose counts one task adds up before it sends its tables
-HEAD = 1 << 19  # pairs that are broadcast, of at most HEAD_BYTES bytes each
+HEAD = 1 << 19  # pairs of words that are broadcast, of at most HEAD_BYTES bytes each, and twice as many of joints
 HEAD_BYTES = 64
 SLICE = 1 << 23  # bytes of text whose tokens are counted together
 JOINTS_HELD = 1 << 20  # joints whose counts a task adds up before it sends them
@@ -273,9 +273,10 @@ def table_blocks(vocabulary: DataFrame) -> DataFrame:
                     counts = [np.bincount(run.owner, weights=c, minlength=len(run.tokens)).astype(np.int64) for c in (run.a, run.b)]
                     often = counts[0] + counts[1] > (order == ORDERS - 2)
                     counts = [(c * often)[coded.token] for c in counts]
+                    kept = counts[0] + counts[1] > 0
                     if order < ORDERS - 2 and run.places != WHOLE:
-                        kept = run.places.of(coded)
-                        context, data, counts = context[kept], data[kept], [c[kept] for c in counts]
+                        kept &= run.places.of(coded)
+                    context, data, counts = context[kept], data[kept], [c[kept] for c in counts]
                 else:
                     pairs = spread(run.tokens, run.owner[trained], run.frequent[trained])
                     context, data = with_frequent(context_of(pairs.coded, ORDERS - 2)[pairs.byte], pairs.frequent), pairs.coded.data[pairs.byte]
@@ -530,18 +531,30 @@ def slices_of(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[slice, pa.Ar
         at = end
 
 
+def _placed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of the type large_binary."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    buffer = words.buffers()[2]
+    return offsets, np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(1, np.uint8)
+
+
+def _begin(words: pa.Array, size: int, skip: int = 0) -> np.ndarray:
+    """The first ``size`` bytes behind ``skip`` as a number, zeros where a word has fewer."""
+    offsets, data = _placed(words)
+    number = np.zeros(len(words), np.int64)
+    for at in range(skip, skip + size):
+        number = number << 8 | np.where(np.diff(offsets) > at, data[np.minimum(offsets[:-1] + at, len(data) - 1)], 0)
+    return number
+
+
 def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each word: its last JOINT bytes, spaces where it has fewer, and its first JOINT bytes with their number, each as a number."""
-    offsets = words.offsets if hasattr(words, "offsets") else None
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1] if offsets is None else offsets.to_numpy()
-    buffer = words.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(1, np.uint8)
+    offsets, data = _placed(words)
     size = np.diff(offsets)
-    last, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for i in range(JOINT):
-        last = last << 8 | np.where(size >= JOINT - i, data[np.maximum(offsets[1:] - JOINT + i, 0)], 32)
-        first = first << 8 | np.where(size > i, data[np.minimum(offsets[:-1] + i, len(data) - 1)], 0)
-    return last, first << 2 | np.minimum(size, JOINT)
+    last = np.zeros(len(words), np.int64)
+    for back in range(JOINT, 0, -1):
+        last = last << 8 | np.where(size >= back, data[np.maximum(offsets[1:] - back, 0)], 32)
+    return last, _begin(words, JOINT) << 2 | np.minimum(size, JOINT)
 
 
 def _joints(words: pa.Array, word: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -565,13 +578,10 @@ def joint_words(joints: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(joints), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def joint_numbers(words: pa.Array) -> np.ndarray:
-    """The reverse of ``joint_words``."""
-    held = np.array(words.to_pylist(), f"S{2 * JOINT}").view(np.uint8).reshape(-1, 2 * JOINT)
-    number = np.zeros(len(words), np.int64)
-    for i in range(2 * JOINT):
-        number = number << 8 | held[:, i]
-    return number << 2 | (pc.binary_length(words).to_numpy().astype(np.int64) - JOINT)
+def joint_numbers(words: pa.Array, skip: int = 0) -> np.ndarray:
+    """The reverse of ``joint_words``, for words that begin with ``skip`` other bytes."""
+    words = words.cast(pa.large_binary())
+    return _begin(words, 2 * JOINT, skip) << 2 | (pc.binary_length(words).to_numpy() - JOINT - skip)
 
 
 def read_tokens(texts: pa.Array, frequent: list[bytes]) -> Tokens:
@@ -626,8 +636,14 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
     def rows(joint: bool, words: pa.Array, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), joint)), words.cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), *map(pa.array, counts)], schema=schema)
 
+    def joint_rows(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        keys, back = np.unique(found >> 2, return_inverse=True)
+        fold_of = found & 3
+        counts = [np.bincount(back, weights=n * own, minlength=len(keys)).astype(np.int64) for own in (fold_of == 1, fold_of == 2, fold_of >= 0)]
+        return rows(True, joint_words(keys // (FREQUENT + 1)), keys, counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
+        held = None
         for batch in batches:
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             for at, texts in slices_of(batch.column("text")):
@@ -637,36 +653,25 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
                 a, b = (np.bincount(back[fold_of == f], minlength=len(keys)) for f in (1, 2))
                 n = np.bincount(back, minlength=len(keys))
                 yield rows(False, tokens.words.take(pa.array(keys // (FREQUENT + 1))), keys, [a, b, n])
-                held = added_counts(held, counted(tokens.joint * (FREQUENT + 1) + tokens.frequent, fold_of))
+                held = added_counts(held, np.unique((tokens.joint * (FREQUENT + 1) + tokens.frequent) * 4 + fold_of, return_counts=True))
                 if len(held[0]) > JOINTS_HELD:
-                    yield rows(True, joint_words(held[0] // (FREQUENT + 1)), held[0], list(held[1]))
-                    held = np.zeros(0, np.int64), np.zeros((3, 0), np.int64)
-        if len(held[0]):
-            yield rows(True, joint_words(held[0] // (FREQUENT + 1)), held[0], list(held[1]))
+                    yield joint_rows(*held)
+                    held = None
+        if held is not None:
+            yield joint_rows(*held)
 
     return _texts(docs, text, fold).mapInArrow(run, "joint boolean, word binary, frequent int, a bigint, b bigint, n bigint")
 
 
-def counted(keys: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order; how many of each are in fold 1, in fold 2 and in all."""
-    found, n = np.unique(keys * 4 + fold, return_counts=True)
-    own, back = np.unique(found >> 2, return_inverse=True)
-    counts = np.zeros((3, len(own)), np.int64)
-    for row, f in enumerate((1, 2)):
-        here = found & 3 == f
-        counts[row, back[here]] = n[here]
-    np.add.at(counts[2], back, n)
-    return own, counts
-
-
-def added_counts(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not len(one[0]):
+def added_counts(one: tuple[np.ndarray, np.ndarray] | None, two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of different keys in order and their counts as one."""
+    if one is None:
         return two
-    keys = np.union1d(one[0], two[0])
-    counts = np.zeros((3, len(keys)), np.int64)
-    for own, c in (one, two):
-        counts[:, np.searchsorted(keys, own)] += c
-    return keys, counts
+    keys, n = (np.concatenate(c) for c in zip(one, two))
+    order = np.argsort(keys, kind="stable")  # two runs in order, which are only merged
+    keys, n = keys[order], n[order]
+    at = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+    return keys[at], np.add.reduceat(n, at)
 
 
 def learn(docs: DataFrame, fold: Column, text: str = "text") -> Learned:
@@ -715,29 +720,28 @@ class Head(NamedTuple):
     lp: np.ndarray
 
 
-def head_of(scored: DataFrame, head: int = HEAD, head_bytes: int = HEAD_BYTES) -> Head:
+def in_head(scored: DataFrame, head: int, head_bytes: int = HEAD_BYTES) -> Column:
     """The pairs of a count or more, the smallest count that is sure to leave at most ``head`` of them."""
-    short = scored.filter(F.octet_length("word") <= head_bytes)
+    short = F.octet_length("word") <= head_bytes
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = None, 0
-    for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("m"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # a few hundred rows
+    for r in scored.filter(short).groupBy(level.alias("level")).agg(F.count("*").alias("m"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # a few hundred rows
         total += r["m"]
         if total > head:
             break
         least = r["least"]
-    if least is None:
-        return Head(pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0))
-    found = short.filter(F.col("n") >= least).select(_pair_key().alias("key"), "c", "lp").toArrow()
-    return Head(found.column("key").combine_chunks().cast(pa.large_binary()), found.column("c").to_numpy(), found.column("lp").to_numpy())
-
-
-def joint_head_of(scored: DataFrame, head: int = HEAD) -> Head:
-    found = head_of(scored.filter("joint"), head)
-    if not len(found.keys):
-        return Head(np.zeros(0, np.int64), found.c, found.lp)
-    held = found.keys.to_pylist()
-    frequent = np.frombuffer(b"".join(k[:1] for k in held), np.uint8)
-    keys = joint_numbers(pa.array([k[1:] for k in held], pa.binary())) * (FREQUENT + 1) + frequent
+    return F.lit(False) if least is None else short & (F.col("n") >= least)
+
+
+def head_of(scored: DataFrame, chosen: Column) -> Head:
+    found = scored.filter(chosen).select(_pair_key().alias("key"), "c", "lp").toArrow()
+    keys = found.column("key").cast(pa.large_binary()).combine_chunks()
+    return Head(keys, found.column("c").to_numpy(), found.column("lp").to_numpy())
+
+
+def joint_head_of(scored: DataFrame, chosen: Column) -> Head:
+    found = head_of(scored, chosen)
+    keys = joint_numbers(found.keys, 1) * (FREQUENT + 1) + _begin(found.keys, 1)
     order = np.argsort(keys)
     return Head(keys[order], found.c[order], found.lp[order])
 
@@ -767,7 +771,9 @@ def score(docs: DataFrame, learned: Learned, text: str = "text", doc_id: str = "
     """id, n_tokens, n_known, n_bytes, base_score, score, bits_per_byte: a row per row of ``docs``."""
     scored = materialise(token_scores(learned))  # from here on the tables are not needed
     n, v = learned.train_tokens, learned.train_words
-    shared = docs.sparkSession.sparkContext.broadcast((learned.frequent, head_of(scored.filter("not joint"), head), joint_head_of(scored, head)))
+    words_scored, joints_scored = scored.filter("not joint"), scored.filter("joint")
+    chosen, chosen_joints = in_head(words_scored, head), in_head(joints_scored, 2 * head)
+    shared = docs.sparkSession.sparkContext.broadcast((learned.frequent, head_of(words_scored, chosen), joint_head_of(joints_scored, chosen_joints)))
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens bigint, n_bytes bigint, n_known bigint, base double, lp double, rest array<struct<joint: boolean, frequent: int, word: binary, m: bigint>>"
 
@@ -807,7 +813,8 @@ def score(docs: DataFrame, learned: Learned, text: str = "text", doc_id: str = "
 
     read = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     rest = read.select("row", F.explode("rest").alias("r")).select("row", "r.*")
-    met = rest.join(scored, ["joint", "frequent", "word"]).groupBy("row").agg(
+    behind = scored.filter(~F.when(F.col("joint"), chosen_joints).otherwise(chosen))
+    met = rest.join(behind, ["joint", "frequent", "word"]).groupBy("row").agg(
         F.sum(F.when(~F.col("joint") & (F.col("c") > 0), F.col("m")).otherwise(0)).alias("_known"),
         F.sum(F.when(~F.col("joint"), F.col("m") * F.log10((F.col("c") + 0.1) / (F.lit(float(n)) + 0.1 * (v + 1))))).alias("_base"), F.sum(F.col("m") * F.col("lp")).alias("_lp"))
     added = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
