@@ -56,7 +56,8 @@ WORDS_PER_TABLE = 700_000  # words whose counts one task adds up before it sends
 HEAD = 1 << 19  # pairs of words that are broadcast, of at most HEAD_BYTES bytes each, and twice as many of joints
 HEAD_BYTES = 64
 SLICE = 1 << 23  # bytes of text whose tokens are counted together
-JOINTS_HELD = 1 << 20  # joints whose counts a task adds up before it sends them
+JOINTS_HELD = 1 << 19  # joints (of a fold) whose counts a task adds up before it sends them
+JOINT_ROWS = 1 << 16  # of them sent at once
 SCORED_SLICE = 1 << 21  # bytes of text scored together
 BYTES = 1 << 17  # bytes coded at once
 STEP_BYTES = 1 << 14  # bytes of a gradient step, while learning weights
@@ -538,11 +539,11 @@ def _placed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(1, np.uint8)
 
 
-def _begin(words: pa.Array, size: int, skip: int = 0) -> np.ndarray:
-    """The first ``size`` bytes behind ``skip`` as a number, zeros where a word has fewer."""
+def _begin(words: pa.Array, size: int) -> np.ndarray:
+    """The first ``size`` bytes as a number, zeros where a word has fewer."""
     offsets, data = _placed(words)
     number = np.zeros(len(words), np.int64)
-    for at in range(skip, skip + size):
+    for at in range(size):
         number = number << 8 | np.where(np.diff(offsets) > at, data[np.minimum(offsets[:-1] + at, len(data) - 1)], 0)
     return number
 
@@ -578,10 +579,10 @@ def joint_words(joints: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(joints), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def joint_numbers(words: pa.Array, skip: int = 0) -> np.ndarray:
-    """The reverse of ``joint_words``, for words that begin with ``skip`` other bytes."""
+def joint_numbers(words: pa.Array) -> np.ndarray:
+    """The reverse of ``joint_words``."""
     words = words.cast(pa.large_binary())
-    return _begin(words, 2 * JOINT, skip) << 2 | (pc.binary_length(words).to_numpy() - JOINT - skip)
+    return _begin(words, 2 * JOINT) << 2 | (pc.binary_length(words).to_numpy() - JOINT)
 
 
 def read_tokens(texts: pa.Array, frequent: list[bytes]) -> Tokens:
@@ -636,11 +637,13 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
     def rows(joint: bool, words: pa.Array, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), joint)), words.cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), *map(pa.array, counts)], schema=schema)
 
-    def joint_rows(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        keys, back = np.unique(found >> 2, return_inverse=True)
-        fold_of = found & 3
-        counts = [np.bincount(back, weights=n * own, minlength=len(keys)).astype(np.int64) for own in (fold_of == 1, fold_of == 2, fold_of >= 0)]
-        return rows(True, joint_words(keys // (FREQUENT + 1)), keys, counts)
+    def joint_rows(found: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(found), JOINT_ROWS):
+            part, m = found[at:at + JOINT_ROWS], n[at:at + JOINT_ROWS]
+            keys, back = np.unique(part >> 2, return_inverse=True)
+            fold_of = part & 3
+            counts = [np.bincount(back, weights=m * own, minlength=len(keys)).astype(np.int64) for own in (fold_of == 1, fold_of == 2, fold_of >= 0)]
+            yield rows(True, joint_words(keys // (FREQUENT + 1)), keys, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -655,10 +658,10 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
                 yield rows(False, tokens.words.take(pa.array(keys // (FREQUENT + 1))), keys, [a, b, n])
                 held = added_counts(held, np.unique((tokens.joint * (FREQUENT + 1) + tokens.frequent) * 4 + fold_of, return_counts=True))
                 if len(held[0]) > JOINTS_HELD:
-                    yield joint_rows(*held)
+                    yield from joint_rows(*held)
                     held = None
         if held is not None:
-            yield joint_rows(*held)
+            yield from joint_rows(*held)
 
     return _texts(docs, text, fold).mapInArrow(run, "joint boolean, word binary, frequent int, a bigint, b bigint, n bigint")
 
@@ -713,11 +716,39 @@ def token_scores(learned: Learned) -> DataFrame:
 
 
 class Head(NamedTuple):
-    """The most frequent pairs of a kind: keys (of words the number of the frequent word, then the token; of joints their numbers, in order), training counts, log10 probabilities."""
-
-    keys: pa.Array | np.ndarray
-    c: np.ndarray
-    lp: np.ndarray
+    """The most frequent pairs of a kind, ordered by a number: the hash of a word and its frequent word, or what a joint and its frequent word are as a number."""
+
+    keys: np.ndarray
+    lp: np.ndarray  # log10 probabilities
+    c: np.ndarray | None = None  # training counts
+    words: pa.Array | None = None  # None where the number says it all
+    frequent: np.ndarray | None = None
+    alike: int = 1  # most words of one hash
+
+    def find(self, keys: np.ndarray, words: pa.Array | None = None, frequent: np.ndarray | None = None) -> np.ndarray:
+        """Positions, -1 for what is not in the head."""
+        place = np.full(len(keys), -1)
+        if len(self.keys):
+            first = np.searchsorted(self.keys, keys)
+            for i in range(self.alike):
+                at = np.minimum(first + i, len(self.keys) - 1)
+                same = self.keys[at] == keys
+                if self.words is not None:
+                    same &= (self.frequent[at] == frequent) & pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+                place[same] = at[same]
+        return place
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the words of an array of the type large_binary."""
+    offsets, data = _placed(words)
+    size = np.diff(offsets)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, 0xD1342543DE82EF95, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[offsets[0]:offsets[-1]].astype(np.uint64) + np.uint64(1)) * powers[place])])
+        at = offsets - offsets[0]
+        return mix64((sums[at[1:]] - sums[at[:-1]]) + size.astype(np.uint64) * _P)
 
 
 def in_head(scored: DataFrame, head: int, head_bytes: int = HEAD_BYTES) -> Column:
@@ -734,33 +765,21 @@ def in_head(scored: DataFrame, head: int, head_bytes: int = HEAD_BYTES) -> Colum
 
 
 def head_of(scored: DataFrame, chosen: Column) -> Head:
-    found = scored.filter(chosen).select(_pair_key().alias("key"), "c", "lp").toArrow()
-    keys = found.column("key").cast(pa.large_binary()).combine_chunks()
-    return Head(keys, found.column("c").to_numpy(), found.column("lp").to_numpy())
+    found = scored.filter(chosen).select("word", "frequent", "c", "lp").toArrow().combine_chunks()
+    words = pa.concat_arrays([pa.array([], pa.large_binary()), *found.column("word").cast(pa.large_binary()).chunks])
+    frequent, c, lp = (found.column(name).to_numpy() for name in ("frequent", "c", "lp"))
+    keys = with_frequent(hashes_of(words), frequent)
+    order = np.argsort(keys)
+    alike = int(np.unique(keys, return_counts=True)[1].max(initial=1))
+    return Head(keys[order], lp[order], c[order], words.take(pa.array(order)), frequent[order].astype(np.int8), alike)
 
 
 def joint_head_of(scored: DataFrame, chosen: Column) -> Head:
-    found = head_of(scored, chosen)
-    keys = joint_numbers(found.keys, 1) * (FREQUENT + 1) + _begin(found.keys, 1)
+    found = scored.filter(chosen).select("word", "frequent", "lp").toArrow()
+    words = pa.concat_arrays([pa.array([], pa.large_binary()), *found.column("word").cast(pa.large_binary()).chunks])
+    keys = joint_numbers(words) * (FREQUENT + 1) + found.column("frequent").to_numpy()
     order = np.argsort(keys)
-    return Head(keys[order], found.c[order], found.lp[order])
-
-
-def _pair_key() -> Column:
-    return F.concat(F.unhex(F.lpad(F.hex("frequent"), 2, "0")), F.col("word"))
-
-
-def pair_keys(words: pa.Array, frequent: np.ndarray) -> pa.Array:
-    prefix = pa.array([bytes([f]) for f in range(FREQUENT + 1)], pa.large_binary()).take(pa.array(frequent))
-    return pc.binary_join_element_wise(prefix, words, pa.scalar(b"", pa.large_binary()))
-
-
-def found_at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions in the ordered keys, -1 where they are not among them."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    return Head(keys[order], found.column("lp").to_numpy()[order])
 
 
 def base_log(c, train_tokens: int, train_words: int, alpha: float = 0.1):
@@ -786,13 +805,13 @@ def score(docs: DataFrame, learned: Learned, text: str = "text", doc_id: str = "
                 k = tokens.n_texts
                 pairs, back = np.unique(tokens.word * (FREQUENT + 1) + tokens.frequent, return_inverse=True)
                 words_of, frequent_of = tokens.words.take(pa.array(pairs // (FREQUENT + 1))), pairs % (FREQUENT + 1)
-                place = pc.fill_null(pc.index_in(pair_keys(words_of, frequent_of), known.keys), -1).to_numpy()
-                hit = place[back]
+                hashes = with_frequent(hashes_of(tokens.words)[pairs // (FREQUENT + 1)], frequent_of)
+                hit = known.find(hashes, words_of, frequent_of)[back]
                 met = hit >= 0
                 sums = [np.bincount(tokens.text[met], weights=w[hit[met]], minlength=k) for w in ((known.c > 0).astype(float), base_of, known.lp)]
                 size = pc.binary_length(tokens.words).to_numpy().astype(np.int64)[tokens.word] + 1
                 joints, joint_back = np.unique(tokens.joint * (FREQUENT + 1) + tokens.frequent, return_inverse=True)
-                joint_hit = found_at(known_joints.keys, joints)[joint_back]
+                joint_hit = known_joints.find(joints)[joint_back]
                 joint_met = joint_hit >= 0
                 sums[2] = sums[2] + np.bincount(tokens.text[joint_met], weights=known_joints.lp[joint_hit[joint_met]], minlength=k)
                 # what is not in the heads: pairs of words, then those of joints
