@@ -36,6 +36,8 @@ ROWS = 7  # signature values in a band
 MISS = 1e-4  # chance that a pair at the threshold shares no band
 HUB_GROWTH = 16  # hubs of a band in round i: HUB_GROWTH ** i
 SKETCH = 1024  # signature values that give a bit to the sketch, a multiple of 64
+ASKED_BITS = 1 << 26  # of the map that says whose texts are read again
+MAP_BITS = 1 << 15  # of a row of that map, as bitmap_construct_agg has it
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -121,10 +123,22 @@ def features(docs: DataFrame, k: int, threshold: float, text: str, doc_id: str)
     return map_rows(rows, fn, ["id", "text"], f"id {dict(rows.dtypes)['id']}, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id is among the column ``rep`` of ``wanted``, and a few others whose hash meets the same bit of a map of fixed size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
+    bits = wanted.select(place("rep").alias("_at")).select(F.floor(F.col("_at") / MAP_BITS).alias("_row"), (F.col("_at") % MAP_BITS).alias("_bit"))
+    # one row of the map is made in one place: its rows are few and small, parts of them would be as large as the whole
+    maps = bits.distinct().repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    placed = rows.withColumn("_at", place("id")).withColumn("_row", F.floor(F.col("_at") / MAP_BITS))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_at % {MAP_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = placed.join(F.broadcast(maps), "_row").filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1)
+    return met.select(*rows.columns)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     """digest and shingle set (sorted 64-bit hashes as bytes) of the wanted classes (digest, rep)."""
     rows = docs.select(column(doc_id).alias("id"), column(text).cast("string").alias("text"))
-    found = wanted.join(rows, F.col("rep").eqNullSafe(F.col("id"))).select("digest", "text")
+    found = wanted.join(likely(rows, wanted), F.col("rep").eqNullSafe(F.col("id"))).select("digest", "text")
 
     def fn(digests, texts):
         out = []

@@ -127,3 +127,16 @@ def test_contexts_reach_over_the_starts_of_tokens(spark):
     one, other = (mixlm.spread([b"pocus"], np.zeros(1, np.int64), np.zeros(1, np.int64), np.frombuffer(b, np.uint8).reshape(1, 3)) for b in (b"cus", b"bra"))
     after, elsewhere = (float(mixlm.bits_of(p, 1, learned.tables.array, learned.model)[0]) for p in (one, other))
     assert after < elsewhere
+
+
+def test_only_texts_that_are_asked_for_meet_their_classes(spark):
+    """op3: of the rows, those of the wanted ids (null too) go into the join, and next to no others."""
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) as id", "concat('text ', id) as text")
+    for keyed in (rows, rows.selectExpr("struct(id is null as missing, id, unhex(md5(text)) as digest) as id", "text")):
+        wanted = keyed.filter("text in ('text 7', 'text 0') or text like '%999'").selectExpr("md5(text) as digest", "id as rep")
+        n = wanted.count()
+        found = minhash.likely(keyed, wanted)
+        assert found.columns == ["id", "text"] and n == 22
+        assert found.join(wanted, found.id.eqNullSafe(wanted.rep)).select("text").distinct().count() == n
+        assert n <= found.count() < 100
+        assert minhash.likely(keyed, wanted.limit(0)).count() == 0
