@@ -123,13 +123,13 @@ def features(docs: DataFrame, k: int, threshold: float, text: str, doc_id: str)
     return map_rows(rows, fn, ["id", "text"], f"id {dict(rows.dtypes)['id']}, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
-def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id is among the column ``rep`` of ``wanted``, and a few others whose hash meets the same bit of a map of fixed size."""
+def likely(rows: DataFrame, wanted: DataFrame, key: str = "id", among: str = "rep") -> DataFrame:
+    """The rows whose ``key`` is in the column ``among`` of ``wanted``, and a few others whose hash meets the same bit of a map of fixed size."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
-    bits = wanted.select(place("rep").alias("_at")).select(F.floor(F.col("_at") / MAP_BITS).alias("_row"), (F.col("_at") % MAP_BITS).alias("_bit"))
+    bits = wanted.select(place(among).alias("_at")).select(F.floor(F.col("_at") / MAP_BITS).alias("_row"), (F.col("_at") % MAP_BITS).alias("_bit"))
     # one row of the map is made in one place: its rows are few and small, parts of them would be as large as the whole
     maps = bits.distinct().repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    placed = rows.withColumn("_at", place("id")).withColumn("_row", F.floor(F.col("_at") / MAP_BITS))
+    placed = rows.withColumn("_at", place(key)).withColumn("_row", F.floor(F.col("_at") / MAP_BITS))
     byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_at % {MAP_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     met = placed.join(F.broadcast(maps), "_row").filter(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1)
     return met.select(*rows.columns)
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
     wanted = members.select("digest").distinct().join(classes.select("digest", "rep"), "digest")
     sets = materialise(sets_of(docs, wanted, k, text, doc_id))
     empty_pairs = spark.createDataFrame([], "a binary, b binary, shared bigint, joined bigint")
-    verified, comps, hubs_done = empty_pairs, None, None
+    verified, comps, hubs_done, asked = empty_pairs, None, None, sets
     held = ["bucket", "band", "digest", "n", "core", "ref", "mask", "extra", "sketch", "bands", "component"]
     members, turn = members.withColumns({"component": F.col("digest"), "core": F.col("n"), "ref": F.lit(None).cast("binary"), "mask": F.lit(None).cast("array<bigint>"),
                                         "extra": F.lit(None).cast("bigint")}).select(*held), 0
@@ -262,7 +262,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
             left = materialise(undecided(placed.join(hubs_done, ["bucket", "digest"], "left_anti"), threshold).select(*held))
             if left.isEmpty():
                 break
-            bounded = left.drop("core", "ref", "mask", "extra").join(overlaps(left, sets), "digest")
+            asked = likely(sets, left, "digest", "digest")
+            bounded = left.drop("core", "ref", "mask", "extra").join(overlaps(left, asked), "digest")
             members = materialise(undecided(bounded, threshold).select(*held))
         if members.isEmpty():
             break
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, text: str
             & (F.array_position(F.zip_with("bands", "hb", lambda x, y: x == y), True) == F.col("band") + 1)
             & ((100 + threshold) * most >= threshold * (F.col("n") + F.col("hn"))))
         pairs = pairs.select(F.least("digest", "h").alias("a"), F.greatest("digest", "h").alias("b")).distinct()
-        new = materialise(verify(pairs, sets))
+        new = materialise(verify(pairs, asked))
         linked = 100 * F.col("shared") >= threshold * F.col("joined")
         verified = verified.union(new)
         if comps is None or not new.filter(linked).isEmpty():
