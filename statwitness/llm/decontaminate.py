@@ -332,8 +332,16 @@ def search(chunk: Chunk, embedding: np.ndarray, q: Queries, cosine: float = COSI
     blocks = -(-lengths // STEP)
     first = np.concatenate([[0], np.cumsum(blocks)])
     begin = np.repeat(offsets[:-1] - first[:-1] * STEP, blocks) + np.arange(first[-1]) * STEP
+    until = np.append(begin[1:], chunk.offsets[-1])
+    bins, per_block = bins_of(chunk.words), embedding[bins_of(chunk.words[begin])]
+    for k in range(1, STEP):  # the k-th words of the blocks
+        more = np.nonzero(begin + k < until)[0]
+        if len(more) == len(begin):
+            per_block += embedding[bins[begin + k]]
+        else:
+            per_block[more] += embedding[bins[begin[more] + k]]
     sums = np.zeros((first[-1] + 1, embedding.shape[1]))
-    np.cumsum(np.add.reduceat(embedding[bins_of(chunk.words)], begin, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+    np.cumsum(per_block, axis=0, dtype=np.float64, out=sums[1:])
     lost = ~q.vectors.any(axis=1)
     for k, (size, step) in enumerate(WINDOWS):
         items = np.nonzero(q.tier == k)[0]
@@ -392,19 +400,23 @@ def complete(chunk: Chunk, q: Queries, rare: tuple[np.ndarray, np.ndarray]) -> C
     inside = last < len(place)
     last = np.minimum(last, len(place) - 1)
     ok = inside & (item[last] == item) & (doc[last] == doc) & (place[last] - place < reaches[item])
-    regions: list[list[int]] = []  # document, item, first and last start of windows; those that overlap joined
-    for d, i, a, b in zip(doc[ok].tolist(), item[ok].tolist(), (place - offsets[doc])[ok].tolist(), (place[last] - offsets[doc])[ok].tolist()):
-        margin, size = max(len(q.hashes[i]), 8), int(sizes[i])
-        low = max(0, -(-(b - size - margin + 1) // STEP) * STEP)
-        high = min(a + margin, max(0, int(lengths[d]) - size // 2 - 1)) // STEP * STEP
-        if regions and regions[-1][:2] == [d, i] and low <= regions[-1][3] + STEP:
-            regions[-1][3] = max(regions[-1][3], high)
-        elif low <= high:
-            regions.append([d, i, low, high])
+    doc, item, begins, ends = doc[ok], item[ok], (place - offsets[doc])[ok], (place[last] - offsets[doc])[ok]
+    margin = np.maximum(q.lengths[item], 8)
+    low = np.maximum(0, -(-(ends - sizes[item] - margin + 1) // STEP) * STEP)
+    high = np.minimum(begins + margin, np.maximum(0, lengths[doc] - sizes[item] // 2 - 1)) // STEP * STEP
+    some = low <= high
+    doc, item, low, high = doc[some], item[some], low[some], high[some]
+    if not len(doc):
+        return tuple(out[0])
+    # regions: first and last starts of windows of a document and an item; those that overlap are joined. Both ends grow with the place
+    new = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1] + STEP)]))[0]
+    doc, item, low, high = doc[new], item[new], low[new], high[np.append(new[1:], len(high)) - 1]
     # pieces of a few windows: what the text around all of them cannot hold, none of them holds
-    pieces = np.array([(d, i, start, min(start + span - STEP, high)) for d, i, low, high in regions for span in [max(len(q.hashes[i]) // STEP, 8) * STEP]
-                       for start in range(low, high + 1, span)], np.int64).reshape(-1, 4)
-    doc, item, start, stop = pieces.T
+    span = np.maximum(q.lengths[item] // STEP, 8) * STEP
+    count = (high - low) // span + 1
+    region = np.repeat(np.arange(len(doc)), count)
+    start = low[region] + (np.arange(len(region)) - (np.cumsum(count) - count)[region]) * span[region]
+    doc, item, stop = doc[region], item[region], np.minimum(start + span[region] - STEP, high[region])
     margin = np.maximum(q.lengths[item], 8)
     low, high = offsets[doc] + np.maximum(start - margin, 0), offsets[doc] + np.minimum(stop + sizes[item] + margin, lengths[doc])
     fewest = np.array([needed(len(h)) for h in q.hashes])[item]
