@@ -57,7 +57,8 @@ HEAD = 1 << 19  # pairs of words that are broadcast, of at most HEAD_BYTES bytes
 HEAD_BYTES = 64
 SLICE = 1 << 23  # bytes of text whose tokens are counted together
 JOINTS_HELD = 1 << 19  # joints (of a fold) whose counts a task adds up before it sends them
-JOINT_ROWS = 1 << 16  # of them sent at once
+JOINT_ROWS = 1 << 16  # of them that become rows at once
+JOINT_PARTS = 128  # parts by hash in which they are added
 SCORED_SLICE = 1 << 21  # bytes of text scored together
 BYTES = 1 << 17  # bytes coded at once
 STEP_BYTES = 1 << 14  # bytes of a gradient step, while learning weights
@@ -631,22 +632,9 @@ def count_short_words(docs: DataFrame, text: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str) -> DataFrame:
-    """joint, word, frequent, a, b, n: tokens and joints by fold (1: a, 2: b, 0: only n), sums per slice of a task."""
-    schema = pa.schema([("joint", pa.bool_()), ("word", pa.binary()), ("frequent", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-    def rows(joint: bool, words: pa.Array, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), joint)), words.cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), *map(pa.array, counts)], schema=schema)
-
-    def joint_rows(found: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(found), JOINT_ROWS):
-            part, m = found[at:at + JOINT_ROWS], n[at:at + JOINT_ROWS]
-            keys, back = np.unique(part >> 2, return_inverse=True)
-            fold_of = part & 3
-            counts = [np.bincount(back, weights=m * own, minlength=len(keys)).astype(np.int64) for own in (fold_of == 1, fold_of == 2, fold_of >= 0)]
-            yield rows(True, joint_words(keys // (FREQUENT + 1)), keys, counts)
+    """word, frequent, a, b, n: tokens by fold (1: a, 2: b, 0: only n), sums per slice of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             for at, texts in slices_of(batch.column("text")):
@@ -655,23 +643,84 @@ def count_tokens(docs: DataFrame, fold: Column, frequent: list[bytes], text: str
                 fold_of = folds[at][tokens.text]
                 a, b = (np.bincount(back[fold_of == f], minlength=len(keys)) for f in (1, 2))
                 n = np.bincount(back, minlength=len(keys))
-                yield rows(False, tokens.words.take(pa.array(keys // (FREQUENT + 1))), keys, [a, b, n])
-                held = added_counts(held, np.unique((tokens.joint * (FREQUENT + 1) + tokens.frequent) * 4 + fold_of, return_counts=True))
+                yield pa.RecordBatch.from_arrays(
+                    [tokens.words.take(pa.array(keys // (FREQUENT + 1))).cast(pa.binary()), pa.array((keys % (FREQUENT + 1)).astype(np.int32)), pa.array(a), pa.array(b), pa.array(n)],
+                    names=["word", "frequent", "a", "b", "n"])
+
+    return _texts(docs, text, fold).mapInArrow(run, "word binary, frequent int, a bigint, b bigint, n bigint")
+
+
+def count_joints(docs: DataFrame, fold: Column, frequent: list[bytes], text: str) -> DataFrame:
+    """word (a joint's), uses, c of all joints. A task sends its counts packed, by hash of the joint, and they are added where a hash's joints meet."""
+
+    def packed(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        part = (mix64((found // (4 * (FREQUENT + 1))).astype(np.uint64)) % np.uint64(JOINT_PARTS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")  # keys stay in order inside a part
+        parts, first = np.unique(part[order], return_index=True)
+        blobs = []
+        for rows in np.split(order, first[1:]):
+            planes = found[rows].view(np.uint8).reshape(-1, 8).T  # bytes of one weight together, which are alike in keys in order
+            blobs.append((zlib.compress(planes.tobytes(), 1), _pack(n[rows])))
+        return pa.RecordBatch.from_arrays([pa.array(parts), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(2))], names=["part", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            folds = batch.column("fold").to_numpy(zero_copy_only=False)
+            for at, texts in slices_of(batch.column("text")):
+                tokens = read_tokens(texts, frequent)
+                held = added_counts(held, np.unique((tokens.joint * (FREQUENT + 1) + tokens.frequent) * 4 + folds[at][tokens.text], return_counts=True))
                 if len(held[0]) > JOINTS_HELD:
-                    yield from joint_rows(*held)
+                    yield packed(*held)
                     held = None
         if held is not None:
-            yield from joint_rows(*held)
+            yield packed(*held)
 
-    return _texts(docs, text, fold).mapInArrow(run, "joint boolean, word binary, frequent int, a bigint, b bigint, n bigint")
+    def summed(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, some, size = None, [], 0
+        for part in parts:
+            for keys, counts in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist()):
+                some.append((np.ascontiguousarray(np.frombuffer(zlib.decompress(keys), np.uint8).reshape(8, -1).T).view(np.int64).ravel(), _unpack(counts)))
+                size += len(some[-1][0])
+                if size > JOINTS_HELD:
+                    held, some, size = added_counts(held, *some), [], 0
+        held = added_counts(held, *some)
+        for rows in joint_slices(held[0]):
+            yield joint_uses(held[0][rows], held[1][rows])
+
+    sent = _texts(docs, text, fold).mapInArrow(run, "part int, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(summed, "word binary, uses array<struct<frequent: int, a: bigint, b: bigint, n: bigint>>, c bigint")
+
+
+def joint_slices(found: np.ndarray) -> Iterator[slice]:
+    """Runs of about JOINT_ROWS keys, a joint in one run."""
+    first = np.nonzero(np.diff(found // (4 * (FREQUENT + 1)), prepend=-1))[0]
+    at = 0
+    while at < len(found):
+        later = np.searchsorted(first, at + JOINT_ROWS)
+        end = int(first[later]) if later < len(first) else len(found)
+        yield slice(at, end)
+        at = end
 
 
-def added_counts(one: tuple[np.ndarray, np.ndarray] | None, two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two lists of different keys in order and their counts as one."""
-    if one is None:
-        return two
-    keys, n = (np.concatenate(c) for c in zip(one, two))
-    order = np.argsort(keys, kind="stable")  # two runs in order, which are only merged
+def joint_uses(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of the vocabulary from counted keys: joint, frequent word and fold."""
+    keys, back = np.unique(found >> 2, return_inverse=True)
+    fold = found & 3
+    a, b, every = (np.bincount(back, weights=n * own, minlength=len(keys)).astype(np.int64) for own in (fold == 1, fold == 2, fold >= 0))
+    joints, first = np.unique(keys // (FREQUENT + 1), return_index=True)
+    uses = pa.StructArray.from_arrays([pa.array((keys % (FREQUENT + 1)).astype(np.int32)), pa.array(a), pa.array(b), pa.array(every)], ["frequent", "a", "b", "n"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), uses)
+    return pa.RecordBatch.from_arrays([joint_words(joints), lists, pa.array(np.add.reduceat(a + b, first))], names=["word", "uses", "c"])
+
+
+def added_counts(held: tuple[np.ndarray, np.ndarray] | None, *more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of different keys in order and their counts as one."""
+    every = [*([held] if held is not None else []), *more]
+    if len(every) == 1:
+        return every[0]
+    keys, n = (np.concatenate(c) for c in zip(*every))
+    order = np.argsort(keys, kind="stable")  # runs in order, which are only merged
     keys, n = keys[order], n[order]
     at = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
     return keys[at], np.add.reduceat(n, at)
@@ -682,9 +731,11 @@ def learn(docs: DataFrame, fold: Column, text: str = "text") -> Learned:
     spark = docs.sparkSession
     top = count_short_words(docs.filter(fold > 0), text).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [bytes(r["word"]) for r in top]
-    pairs = count_tokens(docs, fold, frequent, text).repartition("joint", "word").groupBy("joint", "word", "frequent").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
+    pairs = count_tokens(docs, fold, frequent, text).repartition("word").groupBy("word", "frequent").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
     uses = F.array_sort(F.collect_list(F.struct("frequent", "a", "b", "n")))  # at most FREQUENT + 1 of a word
-    vocabulary = materialise(pairs.groupBy("joint", "word").agg(uses.alias("uses"), F.sum(F.col("a") + F.col("b")).alias("c")))
+    words = pairs.groupBy("word").agg(uses.alias("uses"), F.sum(F.col("a") + F.col("b")).alias("c"))
+    kinds = [rows.select(F.lit(joint).alias("joint"), "word", "uses", "c") for rows, joint in ((words, False), (count_joints(docs, fold, frequent, text), True))]
+    vocabulary = materialise(kinds[0].unionByName(kinds[1]))
     of_word = F.when(~F.col("joint"), F.col("c"))
     sums = vocabulary.agg(F.count("*").alias("rows"), F.coalesce(F.sum(of_word), F.lit(0)).alias("n"), F.count_if(of_word > 0).alias("v")).first()
     gathered = rows_of(vocabulary.filter("c > 0")).repartition(max(1, -(-sums["rows"] // WORDS_PER_TABLE)), "joint", "word")
