@@ -738,7 +738,7 @@ def learn(docs: DataFrame, fold: Column, text: str = "text") -> Learned:
     vocabulary = materialise(kinds[0].unionByName(kinds[1]))
     of_word = F.when(~F.col("joint"), F.col("c"))
     sums = vocabulary.agg(F.count("*").alias("rows"), F.coalesce(F.sum(of_word), F.lit(0)).alias("n"), F.count_if(of_word > 0).alias("v")).first()
-    gathered = rows_of(vocabulary.filter("c > 0")).repartition(max(1, -(-sums["rows"] // WORDS_PER_TABLE)), "joint", "word")
+    gathered = rows_of(vocabulary.filter("c > 0")).repartition(max(1, -(-sums["rows"] // WORDS_PER_TABLE)))  # by no key: each task sends whole tables
     larger, both = state_tables(table_blocks(gathered))
     shared = spark.sparkContext.broadcast(larger)
     odds = state_odds(vocabulary, shared)
