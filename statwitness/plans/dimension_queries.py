@@ -32,14 +32,18 @@ def groups(load) -> DataFrame:
     return both.selectExpr("k", "y", "priority", "n", "(2 * c + 10 * n) div (20 * n) as tenths")
 
 
-def statements(load) -> DataFrame:
-    """extraction_id, y, rows of the table, paragraph."""
+def figures(load) -> DataFrame:
+    """One row per customer and year: what its paragraph and the rows of its table show."""
     pick = lambda g, c: F.max(F.when(F.col("priority") == g, F.col(c)))
     wide = groups(load).groupBy("k", "y").agg(
         pick("Urgent", "tenths").alias("u"), pick("Standard", "tenths").alias("s"), pick("Total", "tenths").alias("t"), pick("Urgent", "n").alias("nu"), pick("Total", "n").alias("n"))
-    wide = wide.selectExpr(
+    return wide.selectExpr(
         "*", "(200 * coalesce(nu, 0) + n) div (2 * n) as pu", "concat(y, '/', lpad((y + 1) % 100, 2, '0')) as p",
         "cast(y * 100 + (y + 1) % 100 as string) as time_period", "case when (k + y) % 5 = 0 then u + 10 else u end as wrong")
+
+
+def stated(wide: DataFrame) -> DataFrame:
+    """extraction_id, y, rows of the table, paragraph."""
     row = lambda g, v, share: F.create_map(*[x for name, c in (
         ("time_period", F.col("time_period")), ("priority", F.lit(g)), ("price_average", v), ("share_percent", share)) for x in (F.lit(name), c.cast("string"))])
     shown = lambda c: F.expr(f"concat({c} div 10, '.', {c} % 10)")
@@ -49,9 +53,14 @@ def statements(load) -> DataFrame:
     return wide.select(F.concat(F.lit("ext_"), "k").alias("extraction_id"), "k", "y", rows.alias("rows"), F.expr(_PARAGRAPH).alias("paragraph"))
 
 
+def statements(load) -> DataFrame:
+    return stated(figures(load))
+
+
 def split_extractions(statement: DataFrame) -> DataFrame:
-    """One extraction per customer; rows by year and priority."""
-    listed = statement.groupBy("extraction_id", "k").agg(F.array_sort(F.collect_list(F.struct("y", "paragraph", "rows")), lambda a, b: (a["y"] - b["y"]).cast("int")).alias("r"))
+    """One extraction per customer; rows by year and priority. All that is joined to it is dealt out by extraction_id, so it is too."""
+    listed = statement.groupBy("extraction_id").agg(
+        F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("y", "paragraph", "rows")), lambda a, b: (a["y"] - b["y"]).cast("int")).alias("r"))
     return listed.select(
         "extraction_id", F.concat(F.lit("Prices of customer "), "k").alias("headline_text"), (F.col("k") % 50 + 1).alias("headline_page"),
         F.transform("r", lambda x: x["paragraph"]).alias("paragraphs"), F.flatten(F.transform("r", lambda x: x["rows"])).alias("extracted_table"),
@@ -67,9 +76,9 @@ def linked(statement: DataFrame, extraction: DataFrame) -> DataFrame:
 
 
 def checked(load) -> tuple[DataFrame, DataFrame]:
-    statement = materialise(statements(load))
+    statement = stated(materialise(figures(load)))
     extraction = split_extractions(statement)
-    return D.verify_in_lattice(linked(statement, extraction), V.table_cells(extraction)), extraction
+    return D.verify_in_lattice(materialise(linked(statement, extraction)), V.table_cells(extraction), D.columns_of_tables(extraction)), extraction
 
 
 _T = lambda c: f"({c} // 10 || '.' || {c} % 10)"
@@ -151,6 +160,7 @@ def _(load):
 def _(load):
     """Verified claims back to report, table row and correction."""
     claims, extraction = checked(load)
-    notes = V.suggest_corrections(claims).select("extraction_id", "y", "sentence_no", "claim_no", "suggestion")
-    traced = Q.trace(claims, extraction).join(notes, ["extraction_id", "y", "sentence_no", "claim_no"], "left")
-    return traced.select("extraction_id", "y", "claim_no", "sentence_no", "raw", "status", "row_no", "headline_text", "suggestion")
+    claims = materialise(claims)
+    # a claim is one row, so what is not corrected only lacks a suggestion
+    noted = V.suggest_corrections(claims).unionByName(claims.filter(F.col("status") != "FAIL"), allowMissingColumns=True)
+    return Q.trace(noted, extraction).select("extraction_id", "y", "claim_no", "sentence_no", "raw", "status", "row_no", "headline_text", "suggestion")
