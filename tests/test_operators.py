@@ -1,5 +1,8 @@
 """Operators on small inline rows: edge cases and worked examples."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import Window as W, functions as F
 
